@@ -67,11 +67,12 @@ def sums(name: str, source: str, ids: str, col: str) -> str:
   group by {ids}, dim having sum(sign) <> 0)"""
 
 
-def dense(name: str, source: str, ids: str) -> str:
+def dense(name: str, texts: str, source: str, id_col: str) -> str:
     """The sums as one fixed-size array per id."""
     return f"""{name} as (
-  select {ids}, list_transform(range(64), lambda d: coalesce(m[d], 0)::double)::double[64] as x
-  from (select {ids}, map_from_entries(list((dim, v))) as m from {source} group by {ids}))"""
+  select {id_col}, list(coalesce(v, 0)::double order by dim)::double[64] as x
+  from (select {id_col}, unnest(range(64)) as dim from {texts}) left join {source} using ({id_col}, dim)
+  group by {id_col})"""
 
 
 COS = "case when na * nb > 0 then dot / sqrt(na * nb) else 0.0 end"
@@ -409,12 +410,10 @@ where rank <= 5"""
             "given as (select target, min((doc_id, pair_idx)) as cid from sided where tr group by target)",
             sums("qs", "asked", "target", "target"),
             sums("ss", "given", "target", "target"),
-            dense("qd", "qs", "target"),
-            dense("sd", "ss", "target"),
-            """qv as (select a.target, coalesce(x, list_transform(range(64), lambda d: 0::double)::double[64]) as x from asked a left join qd using (target))""",
-            """sv as (select g.target, cid, coalesce(x, list_transform(range(64), lambda d: 0::double)::double[64]) as x from given g left join sd using (target))""",
-            "qq as (select *, array_inner_product(x, x) as na from qv)",
-            "sq as (select *, array_inner_product(x, x) as nb from sv)",
+            dense("qd", "asked", "qs", "target"),
+            dense("sd", "given", "ss", "target"),
+            "qq as (select target, x, array_inner_product(x, x) as na from qd)",
+            "sq as (select cid, x, array_inner_product(x, x) as nb from sd join given using (target))",
             """best as (
   select qq.target as target, max((case when na * nb > 0 then array_inner_product(qq.x, sq.x) / sqrt(na * nb) else 0.0 end,
     -cid[1], -cid[2])) as top

@@ -356,6 +356,10 @@ def next_concept(spark, folder):
         concepts.concept(F.col("c")).cast("array<float>").alias("context_vec"),
         concepts.concept(F.col("t")).cast("array<float>").alias("target_vec"),
     )
+    # Fitting and scoring both read the vectors, so they are written once.
+    path = fresh_path(spark, "vectors")
+    vectors.write.partitionBy("split").parquet(path)
+    vectors = spark.read.parquet(path)
     weights = predictor.fit_predictor(vectors.where("split = 'train'"))
     scored = predictor.predict(vectors.where("split = 'val'"), weights)
     return scored.select(
