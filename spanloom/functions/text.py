@@ -57,12 +57,3 @@ def unique_chars(c: Column) -> Column:
 def fixed_width(c: Column, width: int) -> Column:
     """The text cut into pieces of ``width`` characters."""
     return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
-
-
-def ngrams(ts: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring tokens, joined by one blank."""
-    if n == 1:
-        return ts
-    starts = F.sequence(F.lit(1), F.size(ts) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(ts, i, F.lit(n)), " "))
-    return F.when(F.size(ts) >= n, grams).otherwise(F.array().cast("array<string>"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,39 +13,43 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.functions import vectors as vec
-from spanloom.functions.hashing import hex_number
 from spanloom.operators.joins import lookup_join
 
 DIMS = 64
 
 
-def token_code(token: Column, dims: int = DIMS) -> Column:
-    """Signed bucket of a token: 1..dims or -dims..-1."""
-    number = hex_number(F.md5(token), 1, 8)
-    bucket = (number % dims + 1).cast("int")
-    return F.when(F.floor(number / dims) % 2 == 0, bucket).otherwise(-bucket)
+@lru_cache(maxsize=1 << 18)
+def token_code(token: str) -> int:
+    """The hash that gives a token its dimension and sign."""
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big")
 
 
 def _signed_counts(dims: int):
     @F.arrow_udf("array<float>")
-    def run(codes: pa.Array) -> pa.Array:
-        n = len(codes)
-        sizes = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False)
-        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        cell = np.repeat(np.arange(n, dtype=np.int64), sizes) * dims + np.abs(flat) - 1
-        sums = np.bincount(cell, weights=np.sign(flat), minlength=n * dims)
+    def run(tokens: pa.Array) -> pa.Array:
+        n = len(tokens)
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        words = tokens.flatten().dictionary_encode()
+        codes = np.array([token_code(w) for w in words.dictionary.to_pylist()], dtype=np.int64)
+        codes = codes[words.indices.to_numpy(zero_copy_only=False)]
+        cell = np.repeat(np.arange(n, dtype=np.int64), sizes) * dims + codes % dims
+        sums = np.bincount(cell, weights=1 - 2 * (codes // dims % 2), minlength=n * dims)
         offsets = np.arange(0, (n + 1) * dims, dims, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.astype(np.float32)))
 
     return run
 
 
-def concept_sums(text: Column, dims: int = DIMS) -> Column:
+def token_sums(tokens: Column, dims: int = DIMS) -> Column:
     """Sum of the signed one-hot token vectors: small whole numbers, exact in a float.
 
     It has the direction of the mean, so cosines may be taken from it without rounding.
     """
-    return _signed_counts(dims)(F.transform(tx.tokens(text), lambda t: token_code(t, dims)))
+    return _signed_counts(dims)(tokens)
+
+
+def concept_sums(text: Column, dims: int = DIMS) -> Column:
+    return token_sums(tx.tokens(text), dims)
 
 
 def concept(sums: Column, *, normalized: bool = True, n_tokens: Column | None = None) -> Column:

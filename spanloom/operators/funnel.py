@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
-from spanloom.functions.text import tokens
+from spanloom.operators.pairs import window_before
 from spanloom.operators.sentences import cut_sentences
+from spanloom.operators.tokens import sentence_tokens
 
 
 def limit_accepted(
@@ -43,6 +44,9 @@ def corpus_counts(
 ) -> DataFrame:
     """The eight counters of a corpus build in one pass, without a shuffle of the texts."""
     cut = cut_sentences(docs, id_col=id_col, **cut_options)
+    if max_tokens is not None:
+        counts = {f"{c}_counts": F.transform(f"{c}_tokens", F.size) for c in ("text", "unit")}
+        cut = sentence_tokens(cut).withColumns(counts)
     made = F.greatest(F.coalesce(F.size("texts"), F.lit(0)) - 1, F.lit(0))
     rejected = F.lit(0)
     if max_tokens is not None:
@@ -72,13 +76,12 @@ def corpus_counts(
 
 
 def _overlong_contexts(max_tokens: int, window_size: int):
-    """Contexts over the token limit in one document row."""
-    texts, units = F.col("texts"), F.col("units")
+    """Contexts over the token limit in one document row, from the counts of its sentences."""
+    texts, units = F.col("text_counts"), F.col("unit_counts")
 
     def too_long(i):
-        first = F.greatest(i - window_size, F.lit(0))
-        head = F.array_join(F.slice(units, first + 1, i - 1 - first), "")
-        return F.size(tokens(F.concat(head, F.element_at(texts, i)))) > max_tokens
+        earlier = window_before(units, i, window_size)
+        return F.aggregate(earlier, F.element_at(texts, i), lambda n, u: n + u) > max_tokens
 
     return F.when(
         F.size(texts) >= 2,
@@ -96,8 +99,10 @@ def require_pairs(pairs: DataFrame, *, min_length: int, min_sentences: int) -> D
     return pairs
 
 
-def drop_overlong(pairs: DataFrame, max_tokens: int | None, col: str = "context") -> DataFrame:
+def drop_overlong(
+    pairs: DataFrame, max_tokens: int | None, *, tokens_col: str = "context_tokens"
+) -> DataFrame:
     """Drop pairs whose context has more than ``max_tokens`` tokens; None turns it off."""
     if not max_tokens:
         return pairs
-    return pairs.where(F.size(tokens(F.col(col))) <= max_tokens)
+    return pairs.where(F.size(tokens_col) <= max_tokens)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
@@ -10,48 +10,73 @@ from spanloom.functions.text import strip
 from spanloom.operators.sentences import cut_sentences
 
 
+def window_before(items: Column, i: Column, window_size: int) -> Column:
+    """The items in front of the ``i``-th (from 1) that share a window of that size with it.
+
+    Items are fetched one by one: a slice would copy the whole array for every position.
+    """
+    first = F.greatest(i - window_size + 1, F.lit(1))
+    places = F.when(first < i, F.sequence(first, i - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda j: F.element_at(items, j))
+
+
 def sentence_pairs(
-    cut: DataFrame, *, window_size: int = 8, id_col: str = "doc_id", carry: tuple[str, ...] = ()
+    cut: DataFrame,
+    *,
+    window_size: int = 8,
+    id_col: str = "doc_id",
+    carry: tuple[str, ...] = (),
+    lists: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Pairs of each document, built inside its row.
 
     The context is the raw slice of the text, so the blanks between its sentences stay.
     It is joined from units rather than cut out of the text: the cost follows the length
     of the contexts and not of the document.
+
+    ``lists`` names columns with one list per unit and one per sentence, such as token ids.
+    Pairs get ``context_<name>`` and ``target_<name>`` from them, so the tokens of a sentence
+    are found once and not for every context it is part of.
     """
     texts, units = F.col("texts"), F.col("units")
 
     def pair(i):
-        first = F.greatest(i - window_size, F.lit(0))
-        head = F.array_join(F.slice(units, first + 1, i - 1 - first), "")
-        return F.struct(
+        earlier = lambda c: window_before(c, i, window_size)
+        fields = [
             (i - 1).alias("pair_idx"),
-            F.concat(head, F.element_at(texts, i)).alias("context"),
+            F.concat(F.array_join(earlier(units), ""), F.element_at(texts, i)).alias("context"),
             F.element_at(texts, i + 1).alias("target"),
-        )
+        ]
+        for name, (unit, text) in (lists or {}).items():
+            last = F.element_at(F.col(text), i)
+            fields.append(
+                F.concat(F.flatten(earlier(F.col(unit))), last).alias(f"context_{name}")
+            )
+            fields.append(F.element_at(F.col(text), i + 1).alias(f"target_{name}"))
+        return F.struct(*fields)
 
     made = F.when(
         F.size(texts) >= 2, F.transform(F.sequence(F.lit(1), F.size(texts) - 1), pair)
     )
+    extra = [f"p.{side}_{name}" for name in lists or {} for side in ("context", "target")]
     # The outer form keeps the optimizer from copying the array expression into a filter.
     return (
         cut.select(id_col, *carry, F.explode_outer(made).alias("p"))
         .where("p is not null")
-        .select(id_col, *carry, "p.pair_idx", "p.context", "p.target")
+        .select(id_col, *carry, "p.pair_idx", "p.context", "p.target", *extra)
     )
 
 
-def split_pairs(
+def split_sentences(
     docs: DataFrame,
     *,
     val_fraction: float = 0.1,
     split: str | None = None,
-    window_size: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
     **cut_options,
 ) -> DataFrame:
-    """Pairs with the ``split`` of their document; with ``split`` only that side.
+    """``cut_sentences`` with the ``split`` of each document; with ``split`` only that side.
 
     The side is decided from the document text before any sentence work.
     """
@@ -62,7 +87,14 @@ def split_pairs(
     side = docs.withColumn("split", F.when(held_out, "val").otherwise("train"))
     if split is not None:
         side = side.where(F.col("split") == split)
-    cut = cut_sentences(side, id_col=id_col, text_col=text_col, carry=("split",), **cut_options)
+    return cut_sentences(side, id_col=id_col, text_col=text_col, carry=("split",), **cut_options)
+
+
+def split_pairs(
+    docs: DataFrame, *, window_size: int = 8, id_col: str = "doc_id", **options
+) -> DataFrame:
+    """Pairs with the split of their document; the options are those of ``split_sentences``."""
+    cut = split_sentences(docs, id_col=id_col, **options)
     return sentence_pairs(cut, window_size=window_size, id_col=id_col, carry=("split",))
 
 

@@ -17,6 +17,7 @@ from spanloom.functions import vectors as vec
 from spanloom.operators.blocks import block_count, matrix, pack
 from spanloom.operators.gram import covariance
 from spanloom.operators.ranking import global_rank
+from spanloom.session import cut_lineage
 
 MAX_BATCH = 16_384
 
@@ -29,7 +30,9 @@ def spearman(rows: DataFrame, a: str, b: str, *ids: str) -> DataFrame:
 
     Fewer than two rows or a constant column give 0.
     """
-    ranked = global_rank(rows.select(*ids, a, b), a, *ids, name="_ra")
+    # Each range shuffle samples its input first; the stored columns spare the work before.
+    slim = cut_lineage(rows.select(*ids, a, b))
+    ranked = global_rank(slim, a, *ids, name="_ra")
     ranked = global_rank(ranked, b, *ids, name="_rb")
     varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
     rho = F.corr(F.col("_ra").cast("double"), F.col("_rb").cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
@@ -40,6 +40,66 @@ def vocabulary(texts: DataFrame, *, text_col: str = "text", size: int | None = N
     )
 
 
+def sentence_tokens(cut: DataFrame) -> DataFrame:
+    """Tokens of each sentence and unit of ``cut_sentences``: ``text_tokens``, ``unit_tokens``.
+
+    A sentence ends at a terminator, a separator or a blank, so no token crosses into the
+    gap behind it, and the tokens of a context are those of its parts in order.
+    """
+    gaps = F.zip_with("units", "texts", lambda u, t: tx.tokens(F.substring(u, F.length(t) + 1, F.length(u))))
+    lists = cut.withColumn("text_tokens", F.transform("texts", tx.tokens))
+    return lists.withColumn("unit_tokens", F.zip_with("text_tokens", gaps, lambda t, g: F.concat(t, g)))
+
+
+def _mapped(values: pa.Array, change) -> pa.Array:
+    """The same nested lists over changed elements."""
+    if not pa.types.is_list(values.type):
+        return change(values)
+    sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), _mapped(values.flatten(), change))
+
+
+def _lookup(spark: SparkSession, head: DataFrame, kind: str):
+    """A column function from token lists to id lists, and the size of its table."""
+    table = head.toPandas()
+    known = spark.sparkContext.broadcast(
+        (table["token"].tolist(), table["token_id"].to_numpy(np.int32))
+    )
+
+    @F.arrow_udf(kind)
+    def run(tokens: pa.Array) -> pa.Array:
+        words, numbers = known.value
+
+        def ids(flat: pa.Array) -> pa.Array:
+            coded = flat.dictionary_encode()
+            at = pc.index_in(coded.dictionary, value_set=pa.array(words, flat.type))
+            return pa.array(numbers).take(at).fill_null(UNK).take(coded.indices)
+
+        return _mapped(tokens, ids)
+
+    return run, len(table)
+
+
+def _head(vocab: DataFrame, size: int) -> DataFrame:
+    return vocab.where(F.col("token_id") < FIRST_WORD + size).select("token", "token_id")
+
+
+def encode_sentences(cut: DataFrame, vocab: DataFrame, *, head_size: int = 500_000) -> DataFrame:
+    """Token ids of the sentences and units of documents: ``text_ids``, ``unit_ids``.
+
+    For a vocabulary of up to ``head_size`` tokens, which is broadcast; a token beyond it gets
+    the unknown id, as in a tokenizer of fixed size.
+    """
+    if vocab.count() > head_size:
+        raise ValueError(f"vocabulary over {head_size} tokens: give it a size, or encode the pairs")
+    run, _ = _lookup(cut.sparkSession, _head(vocab, head_size), "array<array<array<int>>>")
+    both = sentence_tokens(cut).withColumn("_ids", run(F.array("text_tokens", "unit_tokens")))
+    return both.withColumns(
+        {"text_ids": F.col("_ids")[0], "unit_ids": F.col("_ids")[1]}
+    ).drop("_ids", "text_tokens", "unit_tokens")
+
+
 def encode(
     rows: DataFrame,
     vocab: DataFrame,
@@ -54,26 +114,11 @@ def encode(
     row. A larger vocabulary's rare rest is joined by token; no rare token is a hot key.
     ``ids`` must identify a row.
     """
-    head = vocab.where(F.col("token_id") < FIRST_WORD + head_size).select("token", "token_id")
-    pairs = head.toPandas()
-    known = rows.sparkSession.sparkContext.broadcast(
-        (pairs["token"].tolist(), pairs["token_id"].to_numpy(np.int32))
-    )
-
-    @F.arrow_udf("array<int>")
-    def lookup(tokens: pa.Array) -> pa.Array:
-        words, numbers = known.value
-        flat = tokens.flatten()
-        at = pc.index_in(flat, value_set=pa.array(words, flat.type))
-        found = pa.array(numbers).take(at).fill_null(UNK)
-        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), found)
-
+    run, known = _lookup(rows.sparkSession, _head(vocab, head_size), "array<int>")
     cut = rows.withColumn("_tokens", tx.tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    coded = cut.withColumn(out, lookup("_tokens"))
+    coded = cut.withColumn(out, run("_tokens"))
     rest = vocab.where(F.col("token_id") >= FIRST_WORD + head_size).select("token", "token_id")
-    if len(pairs) == head_size and not rest.isEmpty():
+    if known == head_size and not rest.isEmpty():
         coded = _code_rest(coded, rest, ids, out)
     return coded.drop("_tokens")
 

@@ -66,13 +66,25 @@ def _pairs(spark, folder, **options):
     )
 
 
-def _stored_pairs(spark, folder):
-    """Pairs as a written table, for jobs that read them more than once."""
+def _stored_pairs(spark, folder, *columns):
+    """The named pair columns as a written table, for jobs that read them more than once."""
     path = fresh_path(spark, "pairs")
-    sinks.write_pairs(_pairs(spark, folder), path)
+    sinks.write_pairs(_pairs(spark, folder).select(*PAIR, "split", *columns), path)
     return sinks.read_pairs(spark, path)
 
 
+def _split_sentences(spark, folder):
+    return pairs.split_sentences(_docs(spark, folder), val_fraction=VAL, max_sentence_len=None)
+
+
+def _tokenized_pairs(spark, folder):
+    """Pairs with the tokens of both sides."""
+    cut = tokens.sentence_tokens(_split_sentences(spark, folder))
+    return pairs.sentence_pairs(
+        cut, carry=("split",), lists={"tokens": ("unit_tokens", "text_tokens")}
+    )
+
+
 def _sentences(spark, folder):
     cut = sentences.cut_sentences(_docs(spark, folder), max_sentence_len=None, spans=True)
     return sentences.sentence_table(cut)
@@ -183,8 +195,8 @@ def pair_sink(spark, folder):
 
 @query
 def token_limit(spark, folder):
-    kept = funnel.drop_overlong(_pairs(spark, folder), MAX_TOKENS)
-    return kept.select(*PAIR, F.size(tx.tokens(F.col("context"))).alias("n_tokens"))
+    kept = funnel.drop_overlong(_tokenized_pairs(spark, folder), MAX_TOKENS)
+    return kept.select(*PAIR, F.size("context_tokens").alias("n_tokens"))
 
 
 @query
@@ -223,7 +235,7 @@ def shared_prefixes(spark, folder):
 
 @query
 def exact_split(spark, folder):
-    return split.exact_split(_stored_pairs(spark, folder).select(*PAIR), *PAIR)
+    return split.exact_split(_stored_pairs(spark, folder), *PAIR).drop("split")
 
 
 @query
@@ -246,16 +258,21 @@ def vocabulary(spark, folder):
     return tokens.vocabulary(_docs(spark, folder))
 
 
-def _encoded(spark, folder, col="target"):
-    stored = _stored_pairs(spark, folder)
+def _encoded(spark, folder):
+    """Targets as token ids."""
     vocab = tokens.vocabulary(_docs(spark, folder))
-    return tokens.encode(stored, vocab, *PAIR, text_col=col), vocab
+    stored = _stored_pairs(spark, folder, "target")
+    return tokens.encode(stored, vocab, *PAIR, text_col="target"), vocab
 
 
 @query
 def token_batches(spark, folder):
     """Contexts as padded batches of a shuffled epoch."""
-    coded, _ = _encoded(spark, folder, "context")
+    vocab = tokens.vocabulary(_docs(spark, folder))
+    cut = tokens.encode_sentences(_split_sentences(spark, folder), vocab)
+    coded = pairs.sentence_pairs(cut, lists={"ids": ("unit_ids", "text_ids")}).withColumnRenamed(
+        "context_ids", "token_ids"
+    )
     framed = coded.select(
         *PAIR, tokens.with_specials(F.col("token_ids"), MAX_TOKENS).alias("token_ids")
     )
@@ -341,20 +358,23 @@ def losses(spark, folder):
     )
 
 
+def _pair_sums(spark, folder):
+    return _tokenized_pairs(spark, folder).select(
+        *PAIR,
+        "split",
+        concepts.token_sums(F.col("context_tokens")).alias("vec1"),
+        concepts.token_sums(F.col("target_tokens")).alias("vec2"),
+    )
+
+
 @query
 def next_concept(spark, folder):
     """The linear predictor fitted on train pairs, scored on validation pairs."""
-    stored = _stored_pairs(spark, folder)
-    vectors = stored.select(
-        *PAIR,
-        "split",
-        concepts.concept_sums(F.col("context")).alias("c"),
-        concepts.concept_sums(F.col("target")).alias("t"),
-    ).select(
+    vectors = _pair_sums(spark, folder).select(
         *PAIR,
         "split",
-        concepts.concept(F.col("c")).cast("array<float>").alias("context_vec"),
-        concepts.concept(F.col("t")).cast("array<float>").alias("target_vec"),
+        concepts.concept(F.col("vec1")).cast("array<float>").alias("context_vec"),
+        concepts.concept(F.col("vec2")).cast("array<float>").alias("target_vec"),
     )
     # Fitting and scoring both read the vectors, so they are written once.
     path = fresh_path(spark, "vectors")
@@ -399,7 +419,7 @@ def query_report(spark, folder):
 
 def _retrieved(spark, folder):
     """Evaluation targets with the nearest training target as their generation."""
-    stored = _stored_pairs(spark, folder).select(*PAIR, "target")
+    stored = _stored_pairs(spark, folder, "target")
     sided = split.exact_split(stored, *PAIR).withColumn(
         "vec", concepts.concept_sums(F.col("target"))
     )
@@ -445,11 +465,12 @@ def scored_pairs(spark, folder):
 
 
 def _scored_vectors(spark, folder):
-    return _scored(spark, folder).select(
+    rows = tables.scored_pairs(_tokenized_pairs(spark, folder), *PAIR, carry=("context_tokens", "target_tokens"))
+    return rows.select(
         *PAIR,
         "label",
-        concepts.concept_sums(F.col("sentence1")).alias("vec1"),
-        concepts.concept_sums(F.col("sentence2")).alias("vec2"),
+        concepts.token_sums(F.col("context_tokens")).alias("vec1"),
+        concepts.token_sums(F.col("target_tokens")).alias("vec2"),
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cores: int | str = "*", app: str = "spanloom", **conf: str) -> SparkSession:
@@ -67,3 +68,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that a later filter does not compute a second time.
+
+    A filter on a plain column is pushed below it together with a copy of its expression;
+    a generated column stays where it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
+from spanloom.session import compute_once, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,9 +15,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by id; a null text counts as empty."""
-    return table(spark, folder, "documents").select(
+    scan = table(spark, folder, "documents").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text")
     )
+    return spread(scan, "doc_id")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,15 +40,17 @@ def query_texts(
     )
 
 
-def scored_pairs(pairs: DataFrame, *ids: str) -> DataFrame:
+def scored_pairs(pairs: DataFrame, *ids: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Sentence pairs with a score from 0 to 5: five times the word overlap (Jaccard)."""
     words = lambda c: F.array_distinct(tx.rouge_words(F.col(c)))
-    sized = pairs.select(*ids, F.col("context").alias("sentence1"), F.col("target").alias("sentence2"))
+    sized = pairs.select(
+        *ids, *carry, F.col("context").alias("sentence1"), F.col("target").alias("sentence2")
+    )
     sized = sized.withColumn("a", words("sentence1")).withColumn("b", words("sentence2"))
-    both = F.size(F.array_intersect("a", "b"))
-    either = F.size("a") + F.size("b") - both
-    label = F.when(either > 0, both * F.lit(5.0) / either).otherwise(F.lit(0.0))
-    return sized.select(*ids, "sentence1", "sentence2", label.alias("label"))
+    sized = sized.withColumn("both", F.size(F.array_intersect("a", "b")))
+    either = F.size("a") + F.size("b") - F.col("both")
+    label = F.when(either > 0, F.col("both") * F.lit(5.0) / either).otherwise(F.lit(0.0))
+    return compute_once(sized, "label", label).drop("a", "b", "both")
 
 
 def labelled_texts(
