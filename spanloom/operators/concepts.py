@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as tx
 from spanloom.functions import vectors as vec
 from spanloom.operators.joins import lookup_join
+from spanloom.operators.tokens import sentence_tokens
 
 DIMS = 64
 
@@ -24,20 +25,25 @@ def token_code(token: str) -> int:
     return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big")
 
 
-def _signed_counts(dims: int):
-    @F.arrow_udf("array<float>")
-    def run(tokens: pa.Array) -> pa.Array:
-        n = len(tokens)
-        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        words = tokens.flatten().dictionary_encode()
-        codes = np.array([token_code(w) for w in words.dictionary.to_pylist()], dtype=np.int64)
-        codes = codes[words.indices.to_numpy(zero_copy_only=False)]
-        cell = np.repeat(np.arange(n, dtype=np.int64), sizes) * dims + codes % dims
-        sums = np.bincount(cell, weights=1 - 2 * (codes // dims % 2), minlength=n * dims)
-        offsets = np.arange(0, (n + 1) * dims, dims, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.astype(np.float32)))
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _count_signed(tokens: pa.Array, dims: int) -> np.ndarray:
+    """One row of signed token counts per token list."""
+    n = len(tokens)
+    words = tokens.flatten().dictionary_encode()
+    codes = np.array([token_code(w) for w in words.dictionary.to_pylist()], dtype=np.int64)
+    codes = codes[words.indices.to_numpy(zero_copy_only=False)]
+    cell = np.repeat(np.arange(n, dtype=np.int64), _lengths(tokens)) * dims + codes % dims
+    sums = np.bincount(cell, weights=1 - 2 * (codes // dims % 2), minlength=n * dims)
+    return sums.reshape(n, dims)
+
 
-    return run
+def _as_lists(rows: np.ndarray) -> pa.Array:
+    n, dims = rows.shape
+    offsets = np.arange(0, n * dims + 1, dims, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.astype(np.float32).ravel()))
 
 
 def token_sums(tokens: Column, dims: int = DIMS) -> Column:
@@ -45,13 +51,47 @@ def token_sums(tokens: Column, dims: int = DIMS) -> Column:
 
     It has the direction of the mean, so cosines may be taken from it without rounding.
     """
-    return _signed_counts(dims)(tokens)
+
+    @F.arrow_udf("array<float>")
+    def run(lists: pa.Array) -> pa.Array:
+        return _as_lists(_count_signed(lists, dims))
+
+    return run(tokens)
 
 
 def concept_sums(text: Column, dims: int = DIMS) -> Column:
     return token_sums(tx.tokens(text), dims)
 
 
+def pair_sums(
+    cut: DataFrame, *, window_size: int = 8, dims: int = DIMS, out: str = "sums"
+) -> DataFrame:
+    """Token sums of the context and the target of each pair of a document.
+
+    Adds a struct of two arrays with one vector per pair, for ``sentence_pairs(ready=...)``.
+    Every sentence is hashed once; contexts are differences of running sums.
+    """
+
+    @F.arrow_udf("context array<array<float>>, target array<array<float>>")
+    def run(texts: pa.Array, gaps: pa.Array) -> pa.Array:
+        sizes = _lengths(texts).astype(np.int64)
+        own = _count_signed(texts.flatten(), dims)
+        whole = own + _count_signed(gaps.flatten(), dims)
+        before = np.concatenate([np.zeros((1, dims)), np.cumsum(whole, axis=0)])
+        place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        target = np.flatnonzero(place > 0)
+        first = target - np.minimum(place[target], window_size)
+        context = before[target - 1] - before[first] + own[target - 1]
+        offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes - 1, 0))]).astype(np.int32)
+        nested = [
+            pa.ListArray.from_arrays(pa.array(offsets), _as_lists(rows))
+            for rows in (context, own[target])
+        ]
+        return pa.StructArray.from_arrays(nested, names=["context", "target"])
+
+    return sentence_tokens(cut).withColumn(out, run("text_tokens", "gap_tokens"))
+
+
 def concept(sums: Column, *, normalized: bool = True, n_tokens: Column | None = None) -> Column:
     """Concept vector: the mean over tokens, at unit length unless switched off."""
     if normalized:

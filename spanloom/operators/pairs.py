@@ -27,6 +27,7 @@ def sentence_pairs(
     id_col: str = "doc_id",
     carry: tuple[str, ...] = (),
     lists: dict[str, tuple[str, str]] | None = None,
+    ready: dict[str, str] | None = None,
 ) -> DataFrame:
     """Pairs of each document, built inside its row.
 
@@ -36,7 +37,8 @@ def sentence_pairs(
 
     ``lists`` names columns with one list per unit and one per sentence, such as token ids.
     Pairs get ``context_<name>`` and ``target_<name>`` from them, so the tokens of a sentence
-    are found once and not for every context it is part of.
+    are found once and not for every context it is part of. ``ready`` names array columns that
+    already hold one entry per pair.
     """
     texts, units = F.col("texts"), F.col("units")
 
@@ -53,12 +55,14 @@ def sentence_pairs(
                 F.concat(F.flatten(earlier(F.col(unit))), last).alias(f"context_{name}")
             )
             fields.append(F.element_at(F.col(text), i + 1).alias(f"target_{name}"))
+        fields += [F.element_at(F.col(c), i).alias(name) for name, c in (ready or {}).items()]
         return F.struct(*fields)
 
     made = F.when(
         F.size(texts) >= 2, F.transform(F.sequence(F.lit(1), F.size(texts) - 1), pair)
     )
     extra = [f"p.{side}_{name}" for name in lists or {} for side in ("context", "target")]
+    extra += [f"p.{name}" for name in ready or {}]
     # The outer form keeps the optimizer from copying the array expression into a filter.
     return (
         cut.select(id_col, *carry, F.explode_outer(made).alias("p"))

@@ -41,14 +41,17 @@ def vocabulary(texts: DataFrame, *, text_col: str = "text", size: int | None = N
 
 
 def sentence_tokens(cut: DataFrame) -> DataFrame:
-    """Tokens of each sentence and unit of ``cut_sentences``: ``text_tokens``, ``unit_tokens``.
+    """Tokens of each sentence of ``cut_sentences``, of the gap behind it, and of both.
 
     A sentence ends at a terminator, a separator or a blank, so no token crosses into the
-    gap behind it, and the tokens of a context are those of its parts in order.
+    gap, and the tokens of a context are those of its parts in order.
     """
-    gaps = F.zip_with("units", "texts", lambda u, t: tx.tokens(F.substring(u, F.length(t) + 1, F.length(u))))
-    lists = cut.withColumn("text_tokens", F.transform("texts", tx.tokens))
-    return lists.withColumn("unit_tokens", F.zip_with("text_tokens", gaps, lambda t, g: F.concat(t, g)))
+    gap = F.zip_with(
+        "units", "texts", lambda u, t: tx.tokens(F.substring(u, F.length(t) + 1, F.length(u)))
+    )
+    lists = cut.withColumn("text_tokens", F.transform("texts", tx.tokens)).withColumn("gap_tokens", gap)
+    both = F.zip_with("text_tokens", "gap_tokens", lambda t, g: F.concat(t, g))
+    return lists.withColumn("unit_tokens", both)
 
 
 def _mapped(values: pa.Array, change) -> pa.Array:
@@ -94,10 +97,10 @@ def encode_sentences(cut: DataFrame, vocab: DataFrame, *, head_size: int = 500_0
     if vocab.count() > head_size:
         raise ValueError(f"vocabulary over {head_size} tokens: give it a size, or encode the pairs")
     run, _ = _lookup(cut.sparkSession, _head(vocab, head_size), "array<array<array<int>>>")
-    both = sentence_tokens(cut).withColumn("_ids", run(F.array("text_tokens", "unit_tokens")))
-    return both.withColumns(
-        {"text_ids": F.col("_ids")[0], "unit_ids": F.col("_ids")[1]}
-    ).drop("_ids", "text_tokens", "unit_tokens")
+    lists = sentence_tokens(cut).withColumn("_ids", run(F.array("text_tokens", "gap_tokens")))
+    units = F.zip_with(F.col("_ids")[0], F.col("_ids")[1], lambda t, g: F.concat(t, g))
+    coded = lists.withColumns({"text_ids": F.col("_ids")[0], "unit_ids": units})
+    return coded.drop("_ids", "text_tokens", "gap_tokens", "unit_tokens")
 
 
 def encode(

@@ -66,6 +66,12 @@ def _pairs(spark, folder, **options):
     )
 
 
+def _stored(rows, label):
+    path = fresh_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _stored_pairs(spark, folder, *columns):
     """The named pair columns as a written table, for jobs that read them more than once."""
     path = fresh_path(spark, "pairs")
@@ -276,7 +282,8 @@ def token_batches(spark, folder):
     framed = coded.select(
         *PAIR, tokens.with_specials(F.col("token_ids"), MAX_TOKENS).alias("token_ids")
     )
-    ordered = split.epoch_order(framed, *PAIR, epoch=1)
+    # Every epoch would read the written sequences in another order.
+    ordered = split.epoch_order(_stored(framed, "sequences"), *PAIR, epoch=1)
     batches = tokens.make_batches(ordered, "position", BATCH)
     total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x)
     return batches.select(
@@ -359,11 +366,10 @@ def losses(spark, folder):
 
 
 def _pair_sums(spark, folder):
-    return _tokenized_pairs(spark, folder).select(
-        *PAIR,
-        "split",
-        concepts.token_sums(F.col("context_tokens")).alias("vec1"),
-        concepts.token_sums(F.col("target_tokens")).alias("vec2"),
+    """Pairs with the token sums of both sides."""
+    cut = concepts.pair_sums(_split_sentences(spark, folder))
+    return pairs.sentence_pairs(
+        cut, carry=("split",), ready={"vec1": "sums.context", "vec2": "sums.target"}
     )
 
 
@@ -377,9 +383,7 @@ def next_concept(spark, folder):
         concepts.concept(F.col("vec2")).cast("array<float>").alias("target_vec"),
     )
     # Fitting and scoring both read the vectors, so they are written once.
-    path = fresh_path(spark, "vectors")
-    vectors.write.partitionBy("split").parquet(path)
-    vectors = spark.read.parquet(path)
+    vectors = _stored(vectors, "vectors")
     weights = predictor.fit_predictor(vectors.where("split = 'train'"))
     scored = predictor.predict(vectors.where("split = 'val'"), weights)
     return scored.select(
@@ -465,13 +469,7 @@ def scored_pairs(spark, folder):
 
 
 def _scored_vectors(spark, folder):
-    rows = tables.scored_pairs(_tokenized_pairs(spark, folder), *PAIR, carry=("context_tokens", "target_tokens"))
-    return rows.select(
-        *PAIR,
-        "label",
-        concepts.token_sums(F.col("context_tokens")).alias("vec1"),
-        concepts.token_sums(F.col("target_tokens")).alias("vec2"),
-    )
+    return tables.scored_pairs(_pair_sums(spark, folder), *PAIR, carry=("vec1", "vec2"))
 
 
 @query
@@ -667,10 +665,7 @@ def concept_similarity(spark, folder):
 def generation_report(spark, folder):
     """All scores of the retrieved generations."""
     rows, train = _retrieved(spark, folder)
-    path = fresh_path(spark, "generations")
-    rows.write.parquet(path)
-    stored = spark.read.parquet(path)
-    report = textgen.report(stored, train.select("text"), *PAIR)
+    report = textgen.report(_stored(rows, "generations"), train.select("text"), *PAIR)
     return report.select("metric", r6(F.col("value")).alias("value"))
 
 
