@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.functions.text import LINE_BREAKS, TOKEN_PATTERN, UNIT_PATTERN, WHITESPACE  # noqa: F401
+from spanloom.functions.text import LINE_BREAKS, TOKEN_PATTERN, WHITESPACE
 
 WS = f"'{WHITESPACE}'"
 TILE = "'[^.!?\n]*[.!?\n]+|[^.!?\n]+'"
@@ -143,6 +143,55 @@ PAIR_VECTORS = ",\n".join(
     ]
 )
 
+# Long sentences, separator by separator; ``ord`` keeps the order of the pieces.
+SEPARATORS = ["...", "\n", "!", "?", ";", ":", ".", ",", "\t", " "]
+PACK = f"""list_reduce([[w] for w in list_filter(regexp_split_to_array(seg, '[{WHITESPACE}]+'), lambda w: w <> '')],
+      lambda acc, w: case when length(acc[len(acc)]) + 1 + length(w[1]) <= 256
+        then acc[1:len(acc) - 1] || [acc[len(acc)] || ' ' || w[1]] else acc || w end)"""
+
+
+def _pieces(source: str, name: str, parts: str) -> str:
+    return f"""{name} as (
+  select doc_id, ord || [k] as ord, seg from (
+    select doc_id, ord, unnest(parts) as seg, unnest(range(len(parts))) as k
+    from (select doc_id, ord, case when length(seg) <= 256 then [seg] else {parts} end as parts from {source})))"""
+
+
+def _cut_at(level: int, separator: str) -> str:
+    trimmed = f"list_filter([trim(x, {WS}) for x in string_split(seg, '{separator}')], lambda x: x <> '')"
+    parts = f"case when {trimmed} = [seg] then {PACK} else {trimmed} end"
+    return _pieces(f"cut{level}", f"cut{level + 1}", parts)
+
+
+RESPLIT = ",\n".join(
+    [
+        "cut0 as (select doc_id, [i] as ord, text as seg from solid)",
+        *[_cut_at(level, separator) for level, separator in enumerate(SEPARATORS)],
+        _pieces(f"cut{len(SEPARATORS)}", "pieces", PACK),
+        """folded as (
+  select doc_id, list_reduce(
+    [{'seg': '', 'cur': 0::bigint, 'spans': []::struct(a bigint, b bigint)[]}]
+      || [{'seg': s, 'cur': 0::bigint, 'spans': []::struct(a bigint, b bigint)[]} for s in segs],
+    lambda acc, x: case when strpos(substr(t, acc.cur + 1), x.seg) > 0 then
+      {'seg': '', 'cur': acc.cur + strpos(substr(t, acc.cur + 1), x.seg) - 1 + length(x.seg),
+       'spans': acc.spans || [{'a': acc.cur + strpos(substr(t, acc.cur + 1), x.seg) - 1,
+         'b': acc.cur + strpos(substr(t, acc.cur + 1), x.seg) - 1 + length(x.seg)}]}
+      else acc end).spans as spans
+  from (select doc_id, list(seg order by ord) as segs from pieces group by doc_id) join docs using (doc_id)
+  where len(segs) >= 2)""",
+        """sents as (
+  select doc_id, unnest(range(len(spans))) as sent_idx, unnest([s.a for s in spans]) as start_idx,
+    unnest([s.b for s in spans]) as end_idx from folded)""",
+    ]
+)
+SOLID = CUT[: CUT.index(",\nnumbered as")]
+
+# A row of the table of common subsequence lengths per word of the original.
+LCS = """list_reduce([{'w': '', 'row': [0::bigint for y in h]}] || [{'w': x, 'row': []::bigint[]} for x in r],
+    lambda acc, x: {'w': '', 'row': [list_max([
+      greatest(acc.row[j], case when h[j] = x.w then coalesce(acc.row[j - 1], 0) + 1 else 0 end)
+      for j in range(1, k + 1)]) for k in range(1, len(h) + 1)]}).row[len(h)]"""
+
 COPIED = """copied as (
   select a.doc_id, a.sent_idx as pair_idx, b.text as original, a.text as generated
   from sents a join sents b on a.doc_id = b.doc_id and b.sent_idx = a.sent_idx + 1)"""
@@ -251,6 +300,9 @@ def all_oracles() -> dict[str, str]:
     )
     sql["sentence_pairs"] = ALL_PAIRS + "select doc_id, split, pair_idx, context, target from pairs"
     sql["stream_pairs"] = sql["sentence_pairs"]
+    sql["sentence_pairs_resplit"] = _with(DOCS, SPLIT, SOLID, RESPLIT, SPANS, PAIRS) + (
+        "select doc_id, split, pair_idx, context, target from pairs"
+    )
     sql["pair_spans"] = _with(DOCS, CUT, SPANS) + (
         "select doc_id, pair_idx, c0 as context_start, c1 as context_end, "
         "t0 as target_start, t1 as target_end from pair_spans"
@@ -341,10 +393,10 @@ select doc_id, coalesce(pad_id, eos_id) as pad, coalesce(bos_id, cls_id, pad_id,
             sums("s", "documents", "doc_id", "text"),
             "n as (select doc_id, sqrt(sum(v * v)::double) as len from s group by doc_id)",
         )
-        + f"""select doc_id, d as dim, {r6("coalesce(v / greatest(len, 1e-12), 0)")} as value
-from (select doc_id, unnest(range(64)) as d from documents) left join s on s.doc_id = doc_id and dim = d
+        + f"""select doc_id, dim, {r6("coalesce(v / greatest(len, 1e-12), 0)")} as value
+from (select doc_id, unnest(range(64)) as dim from documents) left join s using (doc_id, dim)
   left join n using (doc_id)"""
-    ).replace("left join s on s.doc_id = doc_id and dim = d", "left join (select doc_id, dim as d, v from s) using (doc_id, d)")
+    )
     sql["masked_mean"] = (
         _with(
             """e as (select vec_id // 8 as seq_id, (label <> 0)::int as w, unnest(range(64)) as dim,
@@ -385,18 +437,15 @@ where rank <= 5"""
     sql["query_report"] = (
         _with(
             query_sums,
-            "n as (select item_id, sqrt(sum(v * v)::double) as len from qs group by all)",
+            "n as (select item_id, sqrt(sum(v * v)::double) as len from qs group by item_id)",
         )
         + "select b.item_id as query_id, "
         + ", ".join(
             f"round(coalesce(max(v) filter (dim = {d}) / max(len), 0), 6) + 0.0 as dim{d}" for d in range(8)
         )
         + ", case when max(len) > 0 then 1.0 else 0.0 end as norm from benchmark b "
-        "left join qs using (item_id) left join n using (item_id) group by all"
-    ).replace("group by all", "group by b.item_id", 99).replace(
-        "from qs group by b.item_id", "from qs group by item_id"
+        "left join qs using (item_id) left join n using (item_id) group by b.item_id"
     )
-    sql["query_report"] = sql["query_report"].replace("group by item_id, dim", "group by item_id, dim")
     sql["retrieval_decode"] = (
         _with(
             DOCS,
@@ -416,8 +465,8 @@ where rank <= 5"""
             "sq as (select cid, x, array_inner_product(x, x) as nb from sd join given using (target))",
             """best as (
   select qq.target as target, max((case when na * nb > 0 then array_inner_product(qq.x, sq.x) / sqrt(na * nb) else 0.0 end,
-    -cid[1], -cid[2])) as top
-  from qq, sq group by qq.target)""".replace("cid[1]", "struct_extract(cid, 1)").replace("cid[2]", "struct_extract(cid, 2)"),
+    -struct_extract(cid, 1), -struct_extract(cid, 2))) as top
+  from qq, sq group by qq.target)""",
         )
         + """select s.doc_id, s.pair_idx, c.target as generated, round(struct_extract(top, 1), 6) + 0.0 as similarity
 from sided s join best b on b.target = s.target
@@ -549,6 +598,10 @@ select doc_id, pair_idx, """
         )
         + " from copied left join overlap using (doc_id, pair_idx) group by doc_id, pair_idx"
     )
+    sql["rouge_l"] = ALL_COPIED + f"""select doc_id, pair_idx, round(case when len(r) > 0 and len(h) > 0 and m > 0
+    then 2 * (m / len(h)) * (m / len(r)) / (m / len(h) + m / len(r)) else 0.0 end, 6) + 0.0 as rougeL
+from (select *, case when len(r) > 0 and len(h) > 0 then {LCS} else 0 end as m from (
+  select doc_id, pair_idx, {ROUGE_WORDS.format(c="original")} as r, {ROUGE_WORDS.format(c="generated")} as h from copied))"""
     steps = lambda name, side: f"""{name} as (
   select prev, next, count(*) as n from (
     select unnest(w[1:len(w) - 1]) as prev, unnest(w[2:]) as next from (
