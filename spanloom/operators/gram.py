@@ -45,12 +45,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gram(rows: DataFrame, *vec_cols: str) -> np.ndarray:
     """Z'Z for Z = [1, the given vectors end to end]; rows with a null vector are left out.
 
-    Each task sends one matrix, the matrices are added in a second stage of few tasks, and
-    only the final square of dimensions reaches the driver.
+    Each task sends one matrix. On a cluster (many shuffle partitions) the matrices are added
+    in a second stage first. Only the final square of dimensions reaches the driver.
     """
-    rows = rows.select(*vec_cols).dropna()
-    tasks = rows.rdd.getNumPartitions()
-    sums = rows.mapInArrow(_products, "sums array<double>")
+    sums = rows.select(*vec_cols).dropna().mapInArrow(_products, "sums array<double>")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if tasks > 16:
         sums = sums.repartition(math.isqrt(tasks)).mapInArrow(_added, "sums array<double>")
     flat = sums.select(F.posexplode("sums").alias("pos", "x")).groupBy("pos").agg(F.sum("x"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions import text as tx
-from spanloom.session import spread
 
 # Separators tried in this order on a sentence that is too long.
 FALLBACK_SEPARATORS = ("...", "\n", "!", "?", ";", ":", ".", ",", "\t", " ")
@@ -162,7 +161,7 @@ def cut_sentences(
     """
     require_text(docs, text_col)
     keep = [id_col, *carry]
-    base = spread(docs.select(*keep, F.col(text_col).alias("text")), id_col).select(
+    base = docs.select(*keep, F.col(text_col).alias("text")).select(
         *keep, tx.strip(F.coalesce("text", F.lit(""))).alias("text")
     )
     long_enough = F.length("text") >= min_length

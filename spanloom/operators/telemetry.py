@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.operators.joins import lookup_join
 from spanloom.operators.ranking import global_rank
 
 
@@ -46,7 +45,8 @@ def mark_best(
     carried = lows.select("_block", F.min("_low").over(before).alias("_carried"))
     inside = Window.partitionBy("_block").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     least = F.least(F.col("_carried"), F.min(value).over(inside))
-    joined = lookup_join(blocked, carried, "_block", step)
+    # Blocks are of equal size; the join and the window share one partitioning by block.
+    joined = blocked.join(carried, "_block")
     return joined.withColumn(out, F.col(value) < F.coalesce(least, F.lit(float("inf")))).drop(
         "_block", "_carried"
     )

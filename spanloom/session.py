@@ -56,18 +56,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Give a scan with fewer splits than cores one partition per core.
 
     A large table already has far more splits than cores and is left alone, so no
-    shuffle is added there.
+    shuffle is added there. Meant for plain scans, whose splits are known without a job.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
 
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:

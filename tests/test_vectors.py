@@ -132,6 +132,18 @@ def test_gram_and_predictor(spark):
     assert near.agg(F.min("c")).first()[0] > 1 - 1e-6
 
 
+def test_gram_in_two_stages(spark):
+    x = RNG.normal(size=(90, 3))
+    rows = [([float(v) for v in a],) for a in x]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(30)
+    z = np.hstack([np.ones((90, 1)), x])
+    spark.conf.set("spark.sql.shuffle.partitions", "25")
+    try:
+        assert np.allclose(gram.gram(df, "v"), z.T @ z)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_spearman_fixtures(spark):
     def rho(a, b):
         rows = spark.createDataFrame(
