@@ -26,6 +26,7 @@ def sentence_pairs(
     window_size: int = 8,
     id_col: str = "doc_id",
     carry: tuple[str, ...] = (),
+    sides: tuple[str, ...] = ("context", "target"),
     lists: dict[str, tuple[str, str]] | None = None,
     ready: dict[str, str] | None = None,
 ) -> DataFrame:
@@ -35,7 +36,7 @@ def sentence_pairs(
     It is joined from units rather than cut out of the text: the cost follows the length
     of the contexts and not of the document.
 
-    ``lists`` names columns with one list per unit and one per sentence, such as token ids.
+    ``sides`` names the texts to build; a job on ids or vectors needs none. ``lists`` names columns with one list per unit and one per sentence, such as token ids.
     Pairs get ``context_<name>`` and ``target_<name>`` from them, so the tokens of a sentence
     are found once and not for every context it is part of. ``ready`` names array columns that
     already hold one entry per pair.
@@ -44,11 +45,11 @@ def sentence_pairs(
 
     def pair(i):
         earlier = lambda c: window_before(c, i, window_size)
-        fields = [
-            (i - 1).alias("pair_idx"),
-            F.concat(F.array_join(earlier(units), ""), F.element_at(texts, i)).alias("context"),
-            F.element_at(texts, i + 1).alias("target"),
-        ]
+        built = {
+            "context": lambda: F.concat(F.array_join(earlier(units), ""), F.element_at(texts, i)),
+            "target": lambda: F.element_at(texts, i + 1),
+        }
+        fields = [(i - 1).alias("pair_idx"), *[built[side]().alias(side) for side in sides]]
         for name, (unit, text) in (lists or {}).items():
             last = F.element_at(F.col(text), i)
             fields.append(
@@ -67,7 +68,7 @@ def sentence_pairs(
     return (
         cut.select(id_col, *carry, F.explode_outer(made).alias("p"))
         .where("p is not null")
-        .select(id_col, *carry, "p.pair_idx", "p.context", "p.target", *extra)
+        .select(id_col, *carry, "p.pair_idx", *[f"p.{side}" for side in sides], *extra)
     )
 
 
@@ -95,11 +96,18 @@ def split_sentences(
 
 
 def split_pairs(
-    docs: DataFrame, *, window_size: int = 8, id_col: str = "doc_id", **options
+    docs: DataFrame,
+    *,
+    window_size: int = 8,
+    id_col: str = "doc_id",
+    sides: tuple[str, ...] = ("context", "target"),
+    **options,
 ) -> DataFrame:
     """Pairs with the split of their document; the options are those of ``split_sentences``."""
     cut = split_sentences(docs, id_col=id_col, **options)
-    return sentence_pairs(cut, window_size=window_size, id_col=id_col, carry=("split",))
+    return sentence_pairs(
+        cut, window_size=window_size, id_col=id_col, carry=("split",), sides=sides
+    )
 
 
 def span_pairs(

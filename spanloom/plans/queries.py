@@ -75,7 +75,7 @@ def _stored(rows, label):
 def _stored_pairs(spark, folder, *columns):
     """The named pair columns as a written table, for jobs that read them more than once."""
     path = fresh_path(spark, "pairs")
-    sinks.write_pairs(_pairs(spark, folder).select(*PAIR, "split", *columns), path)
+    sinks.write_pairs(_pairs(spark, folder, sides=columns), path)
     return sinks.read_pairs(spark, path)
 
 
@@ -87,7 +87,7 @@ def _tokenized_pairs(spark, folder):
     """Pairs with the tokens of both sides."""
     cut = tokens.sentence_tokens(_split_sentences(spark, folder))
     return pairs.sentence_pairs(
-        cut, carry=("split",), lists={"tokens": ("unit_tokens", "text_tokens")}
+        cut, carry=("split",), sides=(), lists={"tokens": ("unit_tokens", "text_tokens")}
     )
 
 
@@ -136,8 +136,18 @@ def _train_log(spark, folder):
     )
 
 
-def _scored(spark, folder):
-    return tables.scored_pairs(_pairs(spark, folder), *PAIR)
+def _scored(spark, folder, *, vectors=False):
+    """Pairs with their word overlap as the score, and with their token sums."""
+    cut = _split_sentences(spark, folder).withColumns(
+        {"text_words": F.transform("texts", tx.rouge_words), "unit_words": F.transform("units", tx.rouge_words)}
+    )
+    ready = {"vec1": "sums.context", "vec2": "sums.target"} if vectors else {}
+    made = pairs.sentence_pairs(
+        concepts.pair_sums(cut) if vectors else cut,
+        lists={"words": ("unit_words", "text_words")},
+        ready=ready,
+    )
+    return tables.scored_pairs(made, *PAIR, carry=tuple(ready))
 
 
 def _logits(spark, folder):
@@ -231,7 +241,7 @@ def document_split(spark, folder):
 
 @query
 def leaked_documents(spark, folder):
-    return split.leaked_documents(_pairs(spark, folder))
+    return split.leaked_documents(_pairs(spark, folder, sides=()))
 
 
 @query
@@ -276,9 +286,9 @@ def token_batches(spark, folder):
     """Contexts as padded batches of a shuffled epoch."""
     vocab = tokens.vocabulary(_docs(spark, folder))
     cut = tokens.encode_sentences(_split_sentences(spark, folder), vocab)
-    coded = pairs.sentence_pairs(cut, lists={"ids": ("unit_ids", "text_ids")}).withColumnRenamed(
-        "context_ids", "token_ids"
-    )
+    coded = pairs.sentence_pairs(
+        cut, sides=(), lists={"ids": ("unit_ids", "text_ids")}
+    ).withColumnRenamed("context_ids", "token_ids")
     framed = coded.select(
         *PAIR, tokens.with_specials(F.col("token_ids"), MAX_TOKENS).alias("token_ids")
     )
@@ -369,7 +379,7 @@ def _pair_sums(spark, folder):
     """Pairs with the token sums of both sides."""
     cut = concepts.pair_sums(_split_sentences(spark, folder))
     return pairs.sentence_pairs(
-        cut, carry=("split",), ready={"vec1": "sums.context", "vec2": "sums.target"}
+        cut, carry=("split",), sides=(), ready={"vec1": "sums.context", "vec2": "sums.target"}
     )
 
 
@@ -469,7 +479,7 @@ def scored_pairs(spark, folder):
 
 
 def _scored_vectors(spark, folder):
-    return tables.scored_pairs(_pair_sums(spark, folder), *PAIR, carry=("vec1", "vec2"))
+    return _scored(spark, folder, vectors=True)
 
 
 @query
@@ -779,7 +789,7 @@ def ema_scheduled(spark, folder):
 @query
 def step_budget(spark, folder):
     return telemetry.step_budget(
-        _pairs(spark, folder, split="train"), batch_size=BATCH, accum=8, world_size=4, epochs=5
+        _pairs(spark, folder, split="train", sides=()), batch_size=BATCH, accum=8, world_size=4, epochs=5
     )
 
 

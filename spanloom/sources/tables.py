@@ -40,13 +40,25 @@ def query_texts(
     )
 
 
-def scored_pairs(pairs: DataFrame, *ids: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Sentence pairs with a score from 0 to 5: five times the word overlap (Jaccard)."""
-    words = lambda c: F.array_distinct(tx.rouge_words(F.col(c)))
+def scored_pairs(
+    pairs: DataFrame,
+    *ids: str,
+    carry: tuple[str, ...] = (),
+    words: tuple[str, str] = ("context_words", "target_words"),
+) -> DataFrame:
+    """Sentence pairs with a score from 0 to 5: five times the word overlap (Jaccard).
+
+    ``words`` names the word lists of both sides.
+    """
+    a, b = (F.array_distinct(c) for c in words)
     sized = pairs.select(
-        *ids, *carry, F.col("context").alias("sentence1"), F.col("target").alias("sentence2")
+        *ids,
+        *carry,
+        F.col("context").alias("sentence1"),
+        F.col("target").alias("sentence2"),
+        a.alias("a"),
+        b.alias("b"),
     )
-    sized = sized.withColumn("a", words("sentence1")).withColumn("b", words("sentence2"))
     sized = sized.withColumn("both", F.size(F.array_intersect("a", "b")))
     either = F.size("a") + F.size("b") - F.col("both")
     label = F.when(either > 0, F.col("both") * F.lit(5.0) / either).otherwise(F.lit(0.0))
