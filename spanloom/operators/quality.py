@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import vectors as vec
-from spanloom.operators.blocks import block_count, matrix, pack
+from spanloom.operators.blocks import block_count, pack
 from spanloom.operators.gram import covariance
 from spanloom.operators.ranking import global_rank
 from spanloom.session import cut_lineage
@@ -107,8 +106,11 @@ def uniformity(
                 [pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], names=["s", "c"]
             )
 
-    return paired.mapInArrow(scan, "s double, c bigint").agg(
-        F.ln(F.sum("s") / F.sum("c")).alias("uniformity"), F.sum("c").alias("n_ordered_pairs")
+    total = paired.mapInArrow(scan, "s double, c bigint").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    mean = F.when(F.col("c") > 0, F.col("s") / F.col("c"))
+    return total.select(
+        F.coalesce(F.ln(mean), F.lit(float("nan"))).alias("uniformity"),
+        F.coalesce("c", F.lit(0)).alias("n_ordered_pairs"),
     )
 
 

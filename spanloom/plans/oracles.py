@@ -198,7 +198,7 @@ COPIED = """copied as (
 ALL_COPIED = _with(DOCS, CUT, COPIED)
 
 
-def overlap(word_expr: str, orders: int) -> str:
+def overlap(word_expr: str, orders: int, tag: str = "") -> str:
     """Matches and totals per pair and order, by counting each n-gram on both sides."""
     grams = "\n union all ".join(
         f"""select doc_id, pair_idx, {n} as n, {own} as own,
@@ -207,9 +207,10 @@ def overlap(word_expr: str, orders: int) -> str:
         for n in range(1, orders + 1)
         for c, own in (("original", 0), ("generated", 1))
     )
-    return f"""grams as ({grams}),
-counts as (select doc_id, pair_idx, n, g, sum(own) as h, sum(1 - own) as r from grams group by all),
-overlap as (select doc_id, pair_idx, n, sum(least(h, r)) as m, sum(h) as h, sum(r) as r from counts group by all)"""
+    return f"""grams{tag} as ({grams}),
+counts{tag} as (select doc_id, pair_idx, n, g, sum(own) as h, sum(1 - own) as r from grams{tag} group by all),
+overlap{tag} as (
+  select doc_id, pair_idx, n, sum(least(h, r)) as m, sum(h) as h, sum(r) as r from counts{tag} group by all)"""
 
 
 SPACE_WORDS = "list_filter(regexp_split_to_array({c}, '[" + WHITESPACE + "]+'), lambda x: x <> '')"
@@ -237,6 +238,38 @@ BLEU = (
 )
 
 
+ROUGE = (
+    "select doc_id, pair_idx, "
+    + ", ".join(
+        f"coalesce(max(case when m > 0 then 2 * (m / h) * (m / r) / (m / h + m / r) else 0.0 end) "
+        f"filter (n = {n}), 0) as rouge{n}"
+        for n in (1, 2)
+    )
+    + " from copied left join overlap{tag} using (doc_id, pair_idx) group by doc_id, pair_idx"
+)
+ROUGE_L = f"""select doc_id, pair_idx, case when len(r) > 0 and len(h) > 0 and m > 0
+    then 2 * (m / len(h)) * (m / len(r)) / (m / len(h) + m / len(r)) else 0.0 end as rougeL
+from (select *, case when len(r) > 0 and len(h) > 0 then {LCS} else 0 end as m from (
+  select doc_id, pair_idx, {ROUGE_WORDS.format(c="original")} as r, {ROUGE_WORDS.format(c="generated")} as h from copied))"""
+
+
+def _bigrams(name: str, texts: str) -> str:
+    return f"""{name} as (
+  select prev, next, count(*) as n from (
+    select unnest(w[1:len(w) - 1]) as prev, unnest(w[2:]) as next from (
+      select ['<s>'] || {tokens("text")} || ['</s>'] as w from ({texts}))) group by all)"""
+
+
+CHANCES = (
+    "prevs as (select prev, sum(n) as n_prev from seen group by prev)",
+    "v as (select count(distinct next) + 1 as v from seen)",
+)
+PERPLEXITY = (
+    "exp(-sum(wanted.n * ln((coalesce(seen.n, 0) + 1)::double / (coalesce(n_prev, 0) + v))) / sum(wanted.n))"
+)
+SCORED_BIGRAMS = "from wanted left join seen using (prev, next) left join prevs using (prev), v"
+
+
 def hash_order(source: str, ids: str, seed: int) -> str:
     parts = " || '|' || ".join(["'%d'" % seed, *ids.split(", ")])
     return f"(select *, row_number() over (order by sha256({parts})) - 1 as position from {source})"
@@ -446,32 +479,59 @@ where rank <= 5"""
         + ", case when max(len) > 0 then 1.0 else 0.0 end as norm from benchmark b "
         "left join qs using (item_id) left join n using (item_id) group by b.item_id"
     )
-    sql["retrieval_decode"] = (
-        _with(
-            DOCS,
-            SPLIT,
-            CUT,
-            SPANS,
-            PAIRS,
-            "o as " + hash_order("pairs", "doc_id, pair_idx", 42),
-            "sided as (select doc_id, pair_idx, target, position < floor((select count(*) from pairs) * 0.9::double) as tr from o)",
-            "asked as (select target, min((doc_id, pair_idx)) as qid from sided where not tr group by target)",
-            "given as (select target, min((doc_id, pair_idx)) as cid from sided where tr group by target)",
-            sums("qs", "asked", "target", "target"),
-            sums("ss", "given", "target", "target"),
-            dense("qd", "asked", "qs", "target"),
-            dense("sd", "given", "ss", "target"),
-            "qq as (select target, x, array_inner_product(x, x) as na from qd)",
-            "sq as (select cid, x, array_inner_product(x, x) as nb from sd join given using (target))",
-            """best as (
+    retrieved = (
+        DOCS,
+        SPLIT,
+        CUT,
+        SPANS,
+        PAIRS,
+        "o as " + hash_order("pairs", "doc_id, pair_idx", 42),
+        "sided as (select doc_id, pair_idx, target, position < floor((select count(*) from pairs) * 0.9::double) as tr from o)",
+        "asked as (select target, min((doc_id, pair_idx)) as qid from sided where not tr group by target)",
+        "given as (select target, min((doc_id, pair_idx)) as cid from sided where tr group by target)",
+        sums("qs", "asked", "target", "target"),
+        sums("ss", "given", "target", "target"),
+        dense("qd", "asked", "qs", "target"),
+        dense("sd", "given", "ss", "target"),
+        "qq as (select target, x, array_inner_product(x, x) as na from qd)",
+        "sq as (select cid, x, array_inner_product(x, x) as nb from sd join given using (target))",
+        """best as (
   select qq.target as target, max((case when na * nb > 0 then array_inner_product(qq.x, sq.x) / sqrt(na * nb) else 0.0 end,
     -struct_extract(cid, 1), -struct_extract(cid, 2))) as top
   from qq, sq group by qq.target)""",
-        )
-        + """select s.doc_id, s.pair_idx, c.target as generated, round(struct_extract(top, 1), 6) + 0.0 as similarity
-from sided s join best b on b.target = s.target
+    )
+    answers = """from sided s join best b on b.target = s.target
   join sided c on c.doc_id = -struct_extract(top, 2) and c.pair_idx = -struct_extract(top, 3)
 where not s.tr"""
+    sql["retrieval_decode"] = _with(*retrieved) + (
+        "select s.doc_id, s.pair_idx, c.target as generated, round(struct_extract(top, 1), 6) + 0.0 as similarity "
+        + answers
+    )
+    totals = ", ".join(
+        f"sum({c})::double as {c}" for c in [*(f"{x}{n}" for n in range(1, 5) for x in "mt"), "hyp", "ref"]
+    )
+    sql["generation_report"] = (
+        _with(
+            *retrieved,
+            "copied as (select s.doc_id, s.pair_idx, s.target as original, c.target as generated, "
+            f"struct_extract(top, 1) as similarity {answers})",
+            BLEU_TERMS,
+            overlap(ROUGE_WORDS, 2, "_rouge"),
+            f"rouge as ({ROUGE.format(tag='_rouge')})",
+            f"rouge_l as ({ROUGE_L})",
+            _bigrams("seen", "select target as text from sided where tr"),
+            _bigrams("wanted", "select original as text from copied"),
+            *CHANCES,
+        )
+        + f"""select metric, round(value, 6) + 0.0 as value from (
+  select 'bleu' as metric, {BLEU} as value from (select {totals} from terms)
+  union all select 'rouge1', avg(rouge1) from rouge
+  union all select 'rouge2', avg(rouge2) from rouge
+  union all select 'rougeL', avg(rougeL) from rouge_l
+  union all select 'perplexity', {PERPLEXITY} {SCORED_BIGRAMS}
+  union all select 'concept_similarity', avg(similarity) from copied
+  union all select 'diversity', count(distinct w) / count(w) from (
+    select unnest({SPACE_WORDS.format(c='generated')}) as w from copied))"""
     )
     sql["sentence_lines"] = (
         "select line, count(*) as n from (select trim(unnest(regexp_split_to_array("
@@ -582,43 +642,16 @@ from sims join pairs using (doc_id, pair_idx)"""
 
     # generated text
     bleu = ALL_COPIED.rstrip() + ",\n" + BLEU_TERMS + "\n"
-    totals = ", ".join(f"sum({c})::double as {c}" for c in [*(f"{x}{n}" for n in range(1, 5) for x in "mt"), "hyp", "ref"])
     sql["corpus_bleu"] = bleu + f"select round({BLEU}, 6) + 0.0 as bleu from (select {totals} from terms)"
     sql["sentence_bleu"] = bleu + f"select doc_id, pair_idx, round({BLEU}, 6) + 0.0 as bleu from terms"
-    sql["rouge"] = (
-        ALL_COPIED.rstrip()
-        + ",\n"
-        + overlap(ROUGE_WORDS, 2)
-        + """
-select doc_id, pair_idx, """
-        + ", ".join(
-            f"round(coalesce(max(case when m > 0 then 2 * (m / h) * (m / r) / (m / h + m / r) else 0.0 end) "
-            f"filter (n = {n}), 0), 6) + 0.0 as rouge{n}"
-            for n in (1, 2)
-        )
-        + " from copied left join overlap using (doc_id, pair_idx) group by doc_id, pair_idx"
+    sql["rouge"] = _with(DOCS, CUT, COPIED, overlap(ROUGE_WORDS, 2)) + (
+        f"select doc_id, pair_idx, {r6('rouge1')} as rouge1, {r6('rouge2')} as rouge2 from ({ROUGE.format(tag='')})"
     )
-    sql["rouge_l"] = ALL_COPIED + f"""select doc_id, pair_idx, round(case when len(r) > 0 and len(h) > 0 and m > 0
-    then 2 * (m / len(h)) * (m / len(r)) / (m / len(h) + m / len(r)) else 0.0 end, 6) + 0.0 as rougeL
-from (select *, case when len(r) > 0 and len(h) > 0 then {LCS} else 0 end as m from (
-  select doc_id, pair_idx, {ROUGE_WORDS.format(c="original")} as r, {ROUGE_WORDS.format(c="generated")} as h from copied))"""
-    steps = lambda name, side: f"""{name} as (
-  select prev, next, count(*) as n from (
-    select unnest(w[1:len(w) - 1]) as prev, unnest(w[2:]) as next from (
-      select ['<s>'] || {tokens("coalesce(text, '')")} || ['</s>'] as w
-      from documents join sides using (doc_id) where split = '{side}')) group by all)"""
+    sql["rouge_l"] = ALL_COPIED + f"select doc_id, pair_idx, {r6('rougeL')} as rougeL from ({ROUGE_L})"
+    sided_text = "select coalesce(text, '') as text from documents join sides using (doc_id) where split = '{}'"
     sql["perplexity"] = (
-        _with(
-            DOCS,
-            SPLIT,
-            steps("seen", "train"),
-            steps("asked", "val"),
-            "prevs as (select prev, sum(n) as n_prev from seen group by prev)",
-            "v as (select count(distinct next) + 1 as v from seen)",
-        )
-        + """select round(exp(-sum(asked.n * ln((coalesce(seen.n, 0) + 1)::double / (coalesce(n_prev, 0) + v)))
-    / sum(asked.n)), 6) + 0.0 as perplexity, sum(asked.n)::bigint as n_tokens
-from asked left join seen using (prev, next) left join prevs using (prev), v"""
+        _with(DOCS, SPLIT, _bigrams("seen", sided_text.format("train")), _bigrams("wanted", sided_text.format("val")), *CHANCES)
+        + f"select round({PERPLEXITY}, 6) + 0.0 as perplexity, sum(wanted.n)::bigint as n_tokens " + SCORED_BIGRAMS
     )
     sql["word_diversity"] = (
         "select round(count(distinct w) / count(w), 6) + 0.0 as diversity from (select unnest("

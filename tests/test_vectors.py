@@ -167,6 +167,8 @@ def test_uniformity_in_blocks(spark):
         row = quality.uniformity(vectors(spark, x), "id", rows_per_block=rows_per_block).first()
         assert math.isclose(row.uniformity, math.log(near.mean()), rel_tol=1e-9)
         assert row.n_ordered_pairs == 83 * 82
+    alone = quality.uniformity(vectors(spark, x[:1]), "id").first()
+    assert math.isnan(alone.uniformity) and alone.n_ordered_pairs == 0
 
 
 def test_spread_measures_equal_a_direct_decomposition(spark):
