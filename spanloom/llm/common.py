@@ -36,3 +36,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def crc_class(name: str, classes: int) -> Column:
+    """The remainder of the CRC32 of a number written as text; null for null."""
+    return F.crc32(F.encode(F.col(name).cast("string"), "utf-8")) % classes

@@ -7,8 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat_trees, quality_lines, secret_ledger, url_filter
-from spanloom.llm.common import table
+import public_tokenizers
+
+from spanloom.llm import (
+    chat_trees,
+    decontaminate,
+    lm_trie,
+    pack_bins,
+    quality_lines,
+    secret_ledger,
+    simhash_trie,
+    suffix_dedup,
+    toxicity_cnn,
+    url_filter,
+)
+from spanloom.llm.common import crc_class, table
+
+
+def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _ = lm_trie.score(table(spark, sf_dir, "documents"), crc_class("doc_id", 7) == 2)
+    return scores
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +55,29 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_class("doc_id", 4) == 2
+    model = toxicity_cnn.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    return toxicity_cnn.score(docs, model).select(
+        "doc_id",
+        F.coalesce(held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "threshold",
+        "flagged",
+    )
+
+
 def op6_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.judge(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op7_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_bins.pack(pack_bins.token_pieces(table(spark, sf_dir, "documents"), path))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame(
@@ -57,5 +98,19 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+QUERIES = (
+    op1_simhash_trie, op2_lm_score, op3_url_filter, op4_secret_scan, op5_toxicity,
+    op6_quality_lines, op7_best_fit_pack, op8_chat_format, op9_decontaminate, op10_suffix_dedup,
+)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_secret_scan, op6_quality_lines, op8_chat_format)}
+    return {f.__name__: f for f in QUERIES}
