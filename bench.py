@@ -23,12 +23,19 @@ HEADLINES = (
     "token_batches",
     "document_concepts",
     "nearest_sentences",
+    "retrieval_decode",
+    "decoded_targets",
+    "next_concept",
+    "text_probe",
+    "corpus_funnel_limit",
+    "sentence_pairs_unique",
     "sts_spearman",
     "uniformity",
     "validation_metrics",
     "corpus_bleu",
     "rouge",
     "rouge_l",
+    "generation_report",
     "perplexity",
     "top_p_filter",
     "ema_by_user",
@@ -42,7 +49,7 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     names = sys.argv[1:] or HEADLINES
     queries = all_queries()
-    spark = build_session(cores, "bench")
+    spark = build_session(cores, "bench", spark__spanloom__inputParts=cores)
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/documents.parquet").write.format("noop").mode("overwrite").save()
     seconds = {}

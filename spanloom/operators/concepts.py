@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.functions import vectors as vec
+from spanloom.operators.blocks import matrix
 from spanloom.operators.joins import lookup_join
 from spanloom.operators.tokens import sentence_tokens
 
@@ -99,28 +101,71 @@ def concept(sums: Column, *, normalized: bool = True, n_tokens: Column | None =
     return vec.scaled(sums, F.greatest(n_tokens, F.lit(1)).cast("double"))
 
 
-def masked_mean(
-    hidden: DataFrame, dims: int, *keys: str, vec_col: str = "vec", mask_col: str = "mask"
-) -> DataFrame:
-    """Mean of the unmasked token vectors of each sequence; all padding gives zeros.
+def summed_vectors(rows: DataFrame, *keys: str, vec_col: str, weight: Column | None = None) -> DataFrame:
+    """Per key: ``n`` rows, ``w`` (sum of weights), and the arrays ``s`` and ``q`` with the weighted sum and sum of
+    squares of each dimension. Works at any width.
 
-    The sums of all dimensions are combined before the shuffle, so a sequence of any length
-    sends one row per input task.
+    Each batch adds up its rows per key first, so a key of any size sends one row per batch, and
+    plans do not grow with the width.
     """
-    weight = F.col(mask_col).cast("double")
-    sums = [
-        F.sum(F.col(vec_col)[i].cast("double") * weight).alias(f"_s{i}") for i in range(dims)
-    ]
-    total = hidden.groupBy(*keys).agg(*sums, F.sum(weight).alias("_w"))
-    count = F.greatest(F.col("_w"), F.lit(1.0))
-    pooled = F.array(*[F.col(f"_s{i}") / count for i in range(dims)])
-    return total.select(*keys, pooled.alias(vec_col))
+    group = F.struct(*keys) if keys else F.lit(0)
+    weight = F.lit(1.0) if weight is None else weight
+    slim = rows.select(
+        F.to_json(group).alias("g") if keys else F.lit("").alias("g"),
+        *[F.col(k) for k in keys],
+        weight.cast("double").alias("_w"),
+        F.col(vec_col).cast("array<double>").alias("_v"),
+    ).where("_v is not null and _w is not null")
+    fields = [slim.schema[k] for k in keys]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(len(keys) + 2)).astype(np.float64)
+            w = batch.column(len(keys) + 1).to_numpy(zero_copy_only=False)
+            own = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            _, first, own = np.unique(own, return_index=True, return_inverse=True)
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(len(first)))
+            sums = np.add.reduceat((x * w[:, None])[order], cuts, axis=0)
+            squares = np.add.reduceat((x * x * w[:, None])[order], cuts, axis=0)
+            offsets = pa.array(np.arange(0, sums.size + 1, max(x.shape[1], 1), dtype=np.int32))
+            arrays = [batch.column(k + 1).take(pa.array(first)) for k in range(len(keys))]
+            arrays += [
+                pa.array(np.bincount(own).astype(np.int64)),
+                pa.array(np.bincount(own, weights=w)),
+                pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())),
+                pa.ListArray.from_arrays(offsets, pa.array(squares.ravel())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "n", "w", "s", "q"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    parts = slim.mapInArrow(add, ", ".join([*kinds, "n bigint", "w double", "s array<double>", "q array<double>"]))
+    flat = parts.select(*keys, "n", "w", F.posexplode(F.arrays_zip("s", "q")).alias("pos", "x"))
+    dims = flat.groupBy(*keys, "pos").agg(
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("x.s").alias("s"), F.sum("x.q").alias("q")
+    )
+    whole = dims.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.max("w").alias("w"),
+        F.array_sort(F.collect_list(F.struct("pos", "s", "q"))).alias("x"),
+    )
+    return whole.select(*keys, "n", "w", F.col("x.s").alias("s"), F.col("x.q").alias("q"))
+
+
+def masked_mean(
+    hidden: DataFrame, *keys: str, vec_col: str = "vec", mask_col: str = "mask"
+) -> DataFrame:
+    """Mean of the unmasked token vectors of each sequence; all padding gives zeros."""
+    total = summed_vectors(hidden, *keys, vec_col=vec_col, weight=F.col(mask_col))
+    count = F.greatest(F.col("w"), F.lit(1.0))
+    return total.select(*keys, F.transform("s", lambda x: x / count).alias(vec_col))
 
 
 def pooled_concepts(
     texts: DataFrame,
     token_vectors: DataFrame,
-    dims: int,
     *ids: str,
     text_col: str = "text",
 ) -> DataFrame:
@@ -135,5 +180,5 @@ def pooled_concepts(
         .agg(F.count("*").alias("mask"))
     )
     found = lookup_join(counts, token_vectors, "token", *ids)
-    pooled = masked_mean(found, dims, *ids)
+    pooled = masked_mean(found, *ids)
     return pooled.withColumn("vec", vec.normalize(F.col("vec")))

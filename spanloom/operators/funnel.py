@@ -10,27 +10,41 @@ from spanloom.operators.pairs import window_before
 from spanloom.operators.sentences import cut_sentences
 from spanloom.operators.tokens import sentence_tokens
 
+FRAME = 2  # a begin and an end token
+
 
 def limit_accepted(
     docs: DataFrame, limit: int | None, *, id_col: str = "doc_id", **cut_options
 ) -> DataFrame:
     """The scan up to the document that completes ``limit`` accepted ones.
 
-    Only the id of that document is looked up; the filter on it reaches the scan.
+    A widening range of ids is cut until it holds enough accepted documents; its filter reaches the
+    scan, so no document far behind the limit is cut.
     """
     if not limit:
         return docs
-    accepted = cut_sentences(docs, id_col=id_col, **cut_options).where("reason = 'processed'")
-    row = (
-        accepted.select(id_col)
-        .orderBy(id_col)
-        .limit(limit)
-        .agg(F.max(id_col).alias("last"), F.count("*").alias("n"))
-        .first()
-    )
-    if row["n"] < limit:
-        return docs
-    return docs.where(F.col(id_col) <= F.lit(row["last"]))
+    reach = 2 * limit
+    while True:
+        # The first ``reach`` ids: a bounded head that the scan can filter by.
+        head = docs.select(id_col).orderBy(id_col).limit(reach).agg(
+            F.max(id_col).alias("last"), F.count("*").alias("n")
+        ).first()
+        if head["n"] == 0:
+            return docs
+        part = docs.where(F.col(id_col) <= F.lit(head["last"]))
+        accepted = cut_sentences(part, id_col=id_col, **cut_options).where("reason = 'processed'")
+        row = (
+            accepted.select(id_col)
+            .orderBy(id_col)
+            .limit(limit)
+            .agg(F.max(id_col).alias("last"), F.count("*").alias("n"))
+            .first()
+        )
+        if row["n"] >= limit:
+            return docs.where(F.col(id_col) <= F.lit(row["last"]))
+        if head["n"] < reach:
+            return docs
+        reach *= 4
 
 
 def corpus_counts(
@@ -42,7 +56,10 @@ def corpus_counts(
     id_col: str = "doc_id",
     **cut_options,
 ) -> DataFrame:
-    """The eight counters of a corpus build in one pass, without a shuffle of the texts."""
+    """The counters of a corpus build in one pass, without a shuffle of the texts.
+
+    ``max_tokens`` counts the begin and end tokens that frame a context.
+    """
     cut = cut_sentences(docs, id_col=id_col, **cut_options)
     if max_tokens is not None:
         counts = {f"{c}_counts": F.transform(f"{c}_tokens", F.size) for c in ("text", "unit")}
@@ -81,7 +98,7 @@ def _overlong_contexts(max_tokens: int, window_size: int):
 
     def too_long(i):
         earlier = window_before(units, i, window_size)
-        return F.aggregate(earlier, F.element_at(texts, i), lambda n, u: n + u) > max_tokens
+        return F.aggregate(earlier, F.element_at(texts, i), lambda n, u: n + u) + FRAME > max_tokens
 
     return F.when(
         F.size(texts) >= 2,
@@ -102,7 +119,7 @@ def require_pairs(pairs: DataFrame, *, min_length: int, min_sentences: int) -> D
 def drop_overlong(
     pairs: DataFrame, max_tokens: int | None, *, tokens_col: str = "context_tokens"
 ) -> DataFrame:
-    """Drop pairs whose context has more than ``max_tokens`` tokens; None turns it off."""
+    """Drop pairs whose framed context has more than ``max_tokens`` tokens; None turns it off."""
     if not max_tokens:
         return pairs
-    return pairs.where(F.size(tokens_col) <= max_tokens)
+    return pairs.where(F.size(tokens_col) + FRAME <= max_tokens)

@@ -45,18 +45,19 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gram(rows: DataFrame, *vec_cols: str) -> np.ndarray:
     """Z'Z for Z = [1, the given vectors end to end]; rows with a null vector are left out.
 
-    Each task sends one matrix. On a cluster (many shuffle partitions) the matrices are added
-    in a second stage first. Only the final square of dimensions reaches the driver.
+    Each task sends one matrix, and the matrices are added in a second stage. Only the final square
+    of dimensions reaches the driver: at most ``MAX_DIMS`` of them, which is checked first.
     """
-    sums = rows.select(*vec_cols).dropna().mapInArrow(_products, "sums array<double>")
+    whole = rows.select(*vec_cols).dropna()
+    first = whole.select(sum((F.size(c) for c in vec_cols), F.lit(1)).alias("n")).first()
+    if first is not None and first["n"] > MAX_DIMS:
+        raise ValueError(f"{first['n']} dimensions: the square does not fit the driver")
+    sums = whole.mapInArrow(_products, "sums array<double>")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if tasks > 16:
-        sums = sums.repartition(math.isqrt(tasks)).mapInArrow(_added, "sums array<double>")
+    sums = sums.repartition(math.isqrt(tasks) + 1).mapInArrow(_added, "sums array<double>")
     flat = sums.select(F.posexplode("sums").alias("pos", "x")).groupBy("pos").agg(F.sum("x"))
     cells = flat.orderBy("pos").toPandas().to_numpy()
     side = math.isqrt(len(cells))
-    if side > MAX_DIMS:
-        raise ValueError(f"{side} dimensions: the square does not fit the driver")
     return cells[:, 1].reshape(side, side)
 
 

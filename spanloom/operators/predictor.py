@@ -27,12 +27,12 @@ def predict(
     """Add the predicted vector, at unit length."""
     held = rows.sparkSession.sparkContext.broadcast(weights)
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf("array<double>")
     def score(vectors: pa.Array) -> pa.Array:
         n = len(vectors)
         made = matrix(vectors, n).astype(np.float64) @ held.value if n else np.zeros((0, 1))
         length = np.linalg.norm(made, axis=1, keepdims=True)
-        unit = (made / np.maximum(length, 1e-12)).astype(np.float32)
+        unit = made / np.maximum(length, 1e-12)
         offsets = np.arange(0, unit.size + 1, unit.shape[1], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
 

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import vectors as vec
-from spanloom.operators.blocks import block_count, pack
-from spanloom.operators.gram import covariance
+from spanloom.operators.blocks import block_count, matrix, pack
+from spanloom.operators.concepts import summed_vectors
+from spanloom.operators.gram import covariance, gram
 from spanloom.operators.ranking import global_rank
 from spanloom.session import cut_lineage
 
-MAX_BATCH = 16_384
+MAX_BATCH = 16_384  # a batch travels as one row and is measured by one matrix product
 
 # Limits below which a run counts as collapsed.
 MIN_RANK, MIN_STD, MIN_DIVERSITY, PINNED_COSINE = 10.0, 0.05, 1e-3, 0.999
@@ -29,11 +30,13 @@ def spearman(rows: DataFrame, a: str, b: str, *ids: str) -> DataFrame:
 
     Fewer than two rows or a constant column give 0.
     """
-    # Each range shuffle samples its input first; the stored columns spare the work before.
+    # Each range shuffle samples its input first; the stored columns spare the work before. Each sort carries
+    # one value beside the ids: the rank replaces it.
     slim = cut_lineage(rows.select(*ids, a, b))
-    ranked = global_rank(slim, a, *ids, name="_ra")
+    limits = slim.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
+    varies = F.lit(bool(limits[0] is not None and limits[0] < limits[1] and limits[2] < limits[3]))
+    ranked = global_rank(slim, a, *ids, name="_ra").drop(a)
     ranked = global_rank(ranked, b, *ids, name="_rb")
-    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
     rho = F.corr(F.col("_ra").cast("double"), F.col("_rb").cast("double"))
     return ranked.agg(
         F.when(varies, rho).otherwise(F.lit(0.0)).alias("rho"), F.count("*").alias("n_pairs")
@@ -65,43 +68,47 @@ def alignment(
 
 
 def uniformity(
-    rows: DataFrame, *ids: str, vec_col: str = "vec", t: float = 2.0, rows_per_block: int = 4096
+    rows: DataFrame, *, vec_col: str = "vec", t: float = 2.0, rows_per_block: int = 4096
 ) -> DataFrame:
     """Log of the mean of exp(-t d2) over all ordered pairs of different unit vectors.
 
-    Every pair of row blocks is one matrix product and yields one sum.
+    The measure is quadratic by definition and every row counts. Equal vectors are grouped first;
+    then every pair of blocks of different vectors is one matrix product and yields one sum. A task
+    holds two blocks: ``rows_per_block`` bounds its memory.
     """
-    blocks = block_count(rows, rows_per_block)
-    packed = pack(rows, list(ids), vec_col, blocks, "block")
+    vectors = rows.groupBy(F.col(vec_col).cast("array<float>").alias(vec_col)).agg(
+        F.count("*").alias("_n")
+    )
+    vectors = cut_lineage(vectors.select(F.xxhash64(vec_col).alias("_h"), "_n", vec_col))
+    blocks = block_count(vectors, rows_per_block)
+    packed = pack(vectors, ["_h", "_n"], vec_col, blocks, "block")
     left = packed.select(
         F.col("block").alias("one"),
         F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("two"),
-        F.size(ids[0]).alias("m"),
+        F.col("_n").alias("m"),
         F.col(vec_col).alias("x"),
     )
-    right = packed.select(
-        F.col("block").alias("two"), F.size(ids[0]).alias("n"), F.col(vec_col).alias("y")
-    )
+    right = packed.select(F.col("block").alias("two"), F.col("_n").alias("n"), F.col(vec_col).alias("y"))
     paired = left.join(right, "two").select("one", "two", "m", "n", "x", "y")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums, counts = [], []
             for i in range(batch.num_rows):
-                one, two, m, n = (batch.column(c)[i].as_py() for c in range(4))
-                x, y = (
-                    batch.column(c)[i].values.to_numpy(zero_copy_only=False)
-                    .astype(np.float64)
-                    .reshape(k, -1)
-                    for c, k in ((4, m), (5, n))
+                one, two = (batch.column(c)[i].as_py() for c in range(2))
+                m, n, x, y = (
+                    batch.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    for c in range(2, 6)
                 )
-                near = np.exp(-t * (2.0 - 2.0 * (x @ y.T)))
+                near = np.exp(-t * (2.0 - 2.0 * (x.reshape(len(m), -1) @ y.reshape(len(n), -1).T)))
+                whole = float(m @ near @ n)
                 if one == two:
-                    sums.append(near.sum() - np.trace(near))
-                    counts.append(m * (m - 1))
+                    # A row is no pair with itself; its copies are.
+                    sums.append(whole - float(m @ np.diag(near)))
+                    counts.append(int(m.sum() * (m.sum() - 1)))
                 else:
-                    sums.append(2.0 * near.sum())
-                    counts.append(2 * m * n)
+                    sums.append(2.0 * whole)
+                    counts.append(2 * int(m.sum() * n.sum()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], names=["s", "c"]
             )
@@ -134,24 +141,22 @@ def losses(rows: DataFrame, pred: str = "pred", target: str = "target") -> DataF
     )
 
 
-def diversity(rows: DataFrame, dims: int, *keys: str, vec_col: str = "pred") -> DataFrame:
+def diversity(rows: DataFrame, *keys: str, vec_col: str = "pred") -> DataFrame:
     """One minus the mean dot product of different rows, from the sum vector in one pass."""
-    sums = [F.sum(F.col(vec_col)[i].cast("double")).alias(f"_s{i}") for i in range(dims)]
-    total = rows.groupBy(*keys).agg(
-        *sums, F.sum(vec.sum_squares(F.col(vec_col))).alias("_own"), F.count("*").alias("n")
-    )
-    square = sum((F.col(f"_s{i}") * F.col(f"_s{i}") for i in range(dims)), F.lit(0.0))
-    pairs = F.col("n") * (F.col("n") - 1)
-    mean = F.when(F.col("n") > 1, (square - F.col("_own")) / pairs)
+    total = summed_vectors(rows, *keys, vec_col=vec_col)
+    added = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    square = added(F.transform("s", lambda x: x * x))
+    mean = F.when(F.col("n") > 1, (square - added("q")) / (F.col("n") * (F.col("n") - 1)))
     return total.select(*keys, "n", (1.0 - mean).alias("diversity"))
 
 
-def mean_std(rows: DataFrame, dims: int, *keys: str, vec_col: str = "target") -> DataFrame:
+def mean_std(rows: DataFrame, *keys: str, vec_col: str = "target") -> DataFrame:
     """Mean over the dimensions of the sample standard deviation."""
-    stds = [F.stddev_samp(F.col(vec_col)[i].cast("double")).alias(f"_d{i}") for i in range(dims)]
-    total = rows.groupBy(*keys).agg(*stds)
-    mean = sum((F.col(f"_d{i}") for i in range(dims)), F.lit(0.0)) / dims
-    return total.select(*keys, mean.alias("std_mean"))
+    total = summed_vectors(rows, *keys, vec_col=vec_col)
+    n = F.col("n")
+    spread = F.zip_with("s", "q", lambda s, q: F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
+    mean = F.aggregate(spread, F.lit(0.0), lambda acc, x: acc + x) / F.size("s")
+    return total.select(*keys, F.when(n > 1, mean).alias("std_mean"))
 
 
 def rank_from_singular(values: np.ndarray, floor: float = 1e-10) -> float:
@@ -295,3 +300,32 @@ def linear_probe(
         F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("probe_acc"),
         F.count("*").alias("n_val"),
     )
+
+
+def least_squares_probe(
+    train: DataFrame, held_out: DataFrame, *, vec_col: str = "vec", label: str = "label", ridge: float = 1.0
+) -> DataFrame:
+    """Accuracy of the least-squares classifier, one class against the rest, ties to the lowest.
+
+    One pass adds up the products of vectors and class marks; the solve is dims by dims. The
+    classes are few: their list and the weights go to every task.
+    """
+    classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
+    marks = F.array(*[(F.col(label) == F.lit(c)).cast("double") for c in classes])
+    z = gram(train.withColumn("_marks", marks), vec_col, "_marks")
+    dims = len(z) - len(classes)
+    own = np.eye(dims) * ridge
+    own[0, 0] = 0.0
+    weights = np.linalg.solve(z[:dims, :dims] + own, z[:dims, dims:])
+
+    @F.arrow_udf("bigint")
+    def choose(vectors: pa.Array) -> pa.Array:
+        n = len(vectors)
+        if not n:
+            return pa.array([], pa.int64())
+        x = np.hstack([np.ones((n, 1)), matrix(vectors, n).astype(np.float64)])
+        return pa.array((x @ weights).argmax(axis=1).astype(np.int64))
+
+    named = F.array(*[F.lit(c) for c in classes])
+    right = F.get(named, choose(vec_col).cast("int")) == F.col(label)
+    return held_out.agg(F.avg(right.cast("double")).alias("probe_acc"), F.count("*").alias("n_val"))

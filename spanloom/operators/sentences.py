@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions import text as tx
+from spanloom.session import compute_once
 
 # Separators tried in this order on a sentence that is too long.
 FALLBACK_SEPARATORS = ("...", "\n", "!", "?", ";", ":", ".", ",", "\t", " ")
@@ -64,8 +65,37 @@ def find_spans(text: str, sentences: list[str]) -> list[tuple[int, int]]:
     return spans
 
 
+PIECE = "struct<s:string,u:string>"
+
+
+def _cut_long(limit: int):
+    """Arrow step over the sentences that are too long; the others arrive as nulls.
+
+    A piece comes with its raw slice up to the next piece. A sentence whose pieces do not tile
+    it (a blank was normalized, or it begins with a separator) gives an empty list.
+    """
+
+    def pieces(sentence: str) -> list[dict]:
+        cut = shorten(sentence, limit)
+        spans = find_spans(sentence, cut)
+        if len(spans) < len(cut) or spans[0][0] > 0:
+            return []
+        stops = [a for a, _ in spans[1:]] + [len(sentence)]
+        return [{"s": s, "u": sentence[a:b]} for s, (a, _), b in zip(cut, spans, stops, strict=True)]
+
+    @F.arrow_udf(f"array<array<{PIECE}>>")
+    def run(lists: pa.Array) -> pa.Array:
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0)
+        offsets = np.concatenate(([0], np.cumsum(sizes.to_numpy(zero_copy_only=False)))).astype(np.int32)
+        flat = [None if x is None else pieces(x) for x in lists.flatten().to_pylist()]
+        kind = pa.list_(pa.struct([("s", pa.string()), ("u", pa.string())]))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+    return run
+
+
 def _recut(limit: int | None, min_unique: int):
-    """Arrow-batched step for the documents the built-in expressions cannot finish."""
+    """Arrow-batched step for the documents that only a search in the text can finish."""
 
     @F.pandas_udf("n_split int, texts array<string>, units array<string>, starts array<int>")
     def recut(texts: pd.Series, sentences: pd.Series) -> pd.DataFrame:
@@ -93,6 +123,62 @@ def _recut(limit: int | None, min_unique: int):
     return recut
 
 
+def _with_pieces(cut: DataFrame, limit: int) -> DataFrame:
+    """Put the pieces of long sentences in their place; ``hard`` marks texts where they do not tile."""
+    is_long = lambda s: F.length(s) > limit
+    has_long = F.exists("texts", is_long)
+    only_long = F.transform("texts", lambda s: F.when(is_long(s), s))
+    cut = cut.withColumn("parts", _cut_long(limit)(F.when(has_long, only_long)))
+    own = lambda t: F.array(F.struct(t["texts"].alias("s"), t["units"].alias("u")))
+
+    def tiled(t: Column, p: Column) -> Column:
+        gap = F.substring(t["units"], F.length(t["texts"]) + 1, F.length(t["units"]))
+        rest = F.transform(
+            p,
+            lambda x, k: F.struct(
+                x["s"].alias("s"),
+                F.when(k == F.size(p) - 1, F.concat(x["u"], gap)).otherwise(x["u"]).alias("u"),
+            ),
+        )
+        return F.when(p.isNull(), own(t)).otherwise(rest)
+
+    items = F.flatten(F.zip_with(F.arrays_zip("texts", "units"), "parts", tiled))
+    cut = compute_once(cut, "items", F.when(F.size("parts") > 0, items))
+    return cut.withColumns(
+        {
+            "hard": F.coalesce(F.exists("parts", lambda p: F.size(p) == 0), F.lit(False)),
+            "texts": F.coalesce(F.col("items.s"), F.col("texts")),
+            "units": F.coalesce(F.col("items.u"), F.col("units")),
+        }
+    ).drop("parts", "items")
+
+
+def _without_monotone(cut: DataFrame, min_unique: int) -> DataFrame:
+    """Drop sentences of few distinct characters; their raw slices go to the one before."""
+    kept = F.filter(
+        F.sequence(F.lit(0), F.size("texts") - 1),
+        lambda i: tx.unique_chars(F.get("texts", i)) > min_unique,
+    )
+    cut = compute_once(cut, "kept", F.when(F.size("texts") > 0, kept))
+    last = F.size("units") - 1
+    joined = F.transform(
+        "kept",
+        lambda i, k: F.array_join(
+            F.transform(
+                F.sequence(i, F.coalesce(F.get("kept", k + 1) - 1, last)), lambda j: F.get("units", j)
+            ),
+            "",
+        ),
+    )
+    return cut.withColumns(
+        {
+            "starts": F.transform("kept", lambda i: F.get("starts", i)),
+            "texts": F.when(F.size("texts") > 0, F.transform("kept", lambda i: F.get("texts", i))).otherwise(F.col("texts")),
+            "units": F.when(F.size("texts") > 0, joined).otherwise(F.col("units")),
+        }
+    ).drop("kept")
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def running_starts(lengths: pa.Array) -> pa.Array:
     """Offset of each unit in its text, from the unit lengths."""
@@ -183,15 +269,18 @@ def cut_sentences(
         given = F.filter(F.transform("units", tx.strip), lambda s: s != "")
         cut = cut.withColumn("texts", given)
 
-    recut_all = splitter is not None or min_unique_chars > 0
-    if max_sentence_len is not None or recut_all:
-        if recut_all:
-            hard = ~bypass
-        else:
-            hard = F.exists("texts", lambda s: F.length(s) > max_sentence_len)
-        cut = cut.withColumn("hard", hard)
+    cut = cut.withColumn("hard", F.lit(splitter is not None) & ~bypass)
+    # The given sentences, for the texts that need a search.
+    cut = cut.withColumn("given", F.col("texts"))
+    if splitter is None and max_sentence_len is not None:
+        cut = _with_pieces(cut, max_sentence_len)
+    if spans or min_unique_chars > 0:
+        cut = cut.withColumn("starts", running_starts(F.transform("units", F.length)))
+    if splitter is None and min_unique_chars > 0:
+        cut = _without_monotone(cut, min_unique_chars)
+    if splitter is not None or max_sentence_len is not None:
         again = _recut(max_sentence_len, min_unique_chars)(
-            F.when(F.col("hard"), F.col("text")), F.when(F.col("hard"), F.col("texts"))
+            F.when(F.col("hard"), F.col("text")), F.when(F.col("hard"), F.col("given"))
         )
         cut = cut.withColumn("again", again)
         pick = lambda name, plain: F.when(F.col("hard"), F.col(f"again.{name}")).otherwise(plain)
@@ -204,8 +293,7 @@ def cut_sentences(
         "texts": pick("texts", F.col("texts")),
     }
     if spans:
-        plain_starts = running_starts(F.transform("units", F.length))
-        fields["starts"] = pick("starts", plain_starts)
+        fields["starts"] = pick("starts", F.col("starts"))
     out = cut.select(*keep, "text", "error", *[c.alias(n) for n, c in fields.items()])
     reason = (
         F.when(F.length("text") < min_length, "length")

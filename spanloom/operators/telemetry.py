@@ -30,19 +30,31 @@ def meter(rows: DataFrame, *keys: str, value: str, step: str, weight: str | None
     )
 
 
+SUPER = 1024  # blocks that are carried over together
+
+
+def _before(order):
+    return order.rowsBetween(Window.unboundedPreceding, -1)
+
+
 def mark_best(
     rows: DataFrame, *, value: str, step: str, block_rows: int = 100_000, out: str = "is_best"
 ) -> DataFrame:
     """True where a value is strictly below all earlier ones.
 
     ``step`` is a dense row number. The running minimum is taken inside blocks of steps; the
-    blocks' minima, one row each, carry it from block to block.
+    blocks' minima carry it from block to block, on two levels.
     """
     block = F.floor(F.col(step) / block_rows)
     blocked = rows.withColumn("_block", block)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     lows = blocked.groupBy("_block").agg(F.min(value).alias("_low"))
-    carried = lows.select("_block", F.min("_low").over(before).alias("_carried"))
+    lows = lows.withColumn("_super", F.floor(F.col("_block") / SUPER))
+    # A level above the blocks: one row per SUPER * block_rows steps meets in one place.
+    upper = lows.groupBy("_super").agg(F.min("_low").alias("_low"))
+    upper = upper.select("_super", F.min("_low").over(_before(Window.orderBy("_super"))).alias("_above"))
+    within = _before(Window.partitionBy("_super").orderBy("_block"))
+    carried = lows.select("_super", "_block", F.min("_low").over(within).alias("_own")).join(upper, "_super")
+    carried = carried.select("_block", F.least("_own", "_above").alias("_carried"))
     inside = Window.partitionBy("_block").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     least = F.least(F.col("_carried"), F.min(value).over(inside))
     # Blocks are of equal size; the join and the window share one partitioning by block.
@@ -81,13 +93,28 @@ def _replay(start: pd.Series, values: pd.Series, momenta: pd.Series) -> pd.Serie
     return pd.Series([run(*row) for row in zip(start, values, momenta, strict=True)])
 
 
-def _carry(rows: pd.DataFrame) -> pd.DataFrame:
+def _compose(rows: pd.DataFrame) -> pd.DataFrame:
+    """The effect of consecutive blocks on a state as one factor and one summand."""
     rows = rows.sort_values("_block")
-    state, states = rows["_first"].iloc[0], []
-    for keep, add in zip(rows["_keep"], rows["_add"], strict=True):
-        states.append(state)
-        state = keep * state + add
-    return pd.DataFrame({"_key": rows["_key"], "_block": rows["_block"], "_start": states})
+    keep, add = 1.0, 0.0
+    for k, a in zip(rows["_keep"], rows["_add"], strict=True):
+        keep, add = k * keep, k * add + a
+    first = rows.iloc[:1]
+    return pd.DataFrame(
+        {"_key": first["_key"], "_super": first["_super"], "_first": first["_first"], "_keep": keep, "_add": add}
+    )
+
+
+def _carry(level: str):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(level)
+        state, states = rows["_first"].iloc[0], []
+        for keep, add in zip(rows["_keep"], rows["_add"], strict=True):
+            states.append(state)
+            state = keep * state + add
+        return pd.DataFrame({"_key": rows["_key"], level: rows[level], "_start": states})
+
+    return run
 
 
 def ema(
@@ -129,8 +156,18 @@ def ema(
         ),
     )
     kind = ranked.schema["_key"].dataType.simpleString()
-    starts = borders.groupBy("_key").applyInPandas(
-        _carry, f"_key {kind}, _block bigint, _start double"
+    # Two levels: a key's groups of SUPER blocks are composed first, so what meets in one place
+    # is one row per SUPER * block_rows rows, and each group is then carried over on its own.
+    borders = borders.withColumn("_super", F.floor(F.col("_block") / SUPER))
+    groups = borders.groupBy("_key", "_super").applyInPandas(
+        _compose, f"_key {kind}, _super bigint, _first double, _keep double, _add double"
+    )
+    begins = groups.groupBy("_key").applyInPandas(
+        _carry("_super"), f"_key {kind}, _super bigint, _start double"
+    )
+    borders = borders.join(begins, ["_key", "_super"]).withColumn("_first", F.col("_start")).drop("_start")
+    starts = borders.groupBy("_key", "_super").applyInPandas(
+        _carry("_block"), f"_key {kind}, _block bigint, _start double"
     )
     begun = series.join(starts, ["_key", "_block"], "left").withColumn(
         "_start", F.coalesce("_start", F.col("s")[0]["_x"])

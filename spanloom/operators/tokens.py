@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as tx
 from spanloom.operators.joins import lookup_join
 from spanloom.operators.ranking import global_rank
+from spanloom.session import compute_once
 
 # Ids of the special tokens; words follow them.
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 FIRST_WORD = 4
 
+# The broadcast head of a vocabulary: at most so many tokens of at most so many bytes.
+HEAD_TOKENS = 200_000
+HEAD_TOKEN_BYTES = 64
+
 
 def vocabulary(texts: DataFrame, *, text_col: str = "text", size: int | None = None) -> DataFrame:
     """Tokens by falling count (ties by token) with their ids.
@@ -63,44 +68,111 @@ def _mapped(values: pa.Array, change) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), _mapped(values.flatten(), change))
 
 
+# The words of the current broadcast head and their lookup, built once per worker process.
+_CURRENT: list = [None, {}]
+
+
+def _head(vocab: DataFrame, size: int) -> DataFrame:
+    """The frequent tokens of at most HEAD_TOKEN_BYTES bytes: a table of bounded bytes."""
+    kept = (F.col("token_id") < FIRST_WORD + size) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    return vocab.where(kept).select("token", "token_id")
+
+
+def _rest(vocab: DataFrame, size: int) -> DataFrame:
+    kept = (F.col("token_id") < FIRST_WORD + size) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    return vocab.where(~kept).select("token", "token_id")
+
+
+def _known(table) -> dict[str, int]:
+    """The table as a dictionary, built once per worker; an older one is dropped."""
+    words, numbers = table.value
+    if _CURRENT[0] is not words:
+        _CURRENT[:] = [words, dict(zip(words, numbers, strict=True))]
+    return _CURRENT[1]
+
+
 def _lookup(spark: SparkSession, head: DataFrame, kind: str):
-    """A column function from token lists to id lists, and the size of its table."""
-    table = head.toPandas()
-    known = spark.sparkContext.broadcast(
-        (table["token"].tolist(), table["token_id"].to_numpy(np.int32))
-    )
+    """A column function from (nested) token lists to the same lists of ids."""
+    rows = head.toArrow()
+    words, numbers = rows["token"].to_pylist(), rows["token_id"].to_pylist()
+    shared = spark.sparkContext.broadcast((words, numbers))
 
     @F.arrow_udf(kind)
     def run(tokens: pa.Array) -> pa.Array:
-        words, numbers = known.value
+        known = _known(shared)
 
         def ids(flat: pa.Array) -> pa.Array:
             coded = flat.dictionary_encode()
-            at = pc.index_in(coded.dictionary, value_set=pa.array(words, flat.type))
-            return pa.array(numbers).take(at).fill_null(UNK).take(coded.indices)
+            own = [known.get(w, UNK) for w in coded.dictionary.to_pylist()]
+            return pa.array(own, pa.int32()).take(coded.indices)
 
         return _mapped(tokens, ids)
 
-    return run, len(table)
+    return run
 
 
-def _head(vocab: DataFrame, size: int) -> DataFrame:
-    return vocab.where(F.col("token_id") < FIRST_WORD + size).select("token", "token_id")
+def _filled(ids: str, tokens: str, words: Column, numbers: Column) -> Column:
+    """Ids with the unknown ones filled from each row's own (token, id) pairs."""
+
+    def fill(own: list, said: list, found: dict) -> list:
+        if not own or not isinstance(own[0], list):
+            return [found.get(w, i) if i == UNK else i for i, w in zip(own, said, strict=True)]
+        return [fill(x, y, found) for x, y in zip(own, said, strict=True)]
+
+    @F.arrow_udf("array<array<array<int>>>")
+    def run(ids: pa.Array, tokens: pa.Array, words: pa.Array, numbers: pa.Array) -> pa.Array:
+        rows = []
+        for own, said, names, values in zip(
+            ids.to_pylist(), tokens.to_pylist(), words.to_pylist(), numbers.to_pylist(), strict=True
+        ):
+            if names and own is not None:
+                own = fill(own, said, dict(zip(names, values, strict=True)))
+            rows.append(own)
+        return pa.array(rows, pa.list_(pa.list_(pa.list_(pa.int32()))))
+
+    return run(ids, tokens, words, numbers)
 
 
-def encode_sentences(cut: DataFrame, vocab: DataFrame, *, head_size: int = 500_000) -> DataFrame:
+def _coded(rows: DataFrame, vocab: DataFrame, lists: Column, ids: tuple[str, ...], head_size: int) -> DataFrame:
+    """Add ``_tokens`` (the nested lists) and ``_ids``.
+
+    Tokens of the broadcast head are looked up in the row. The rest are joined by token, once
+    per row and token however often the row holds it; no rare token is a hot key.
+    """
+    run = _lookup(rows.sparkSession, _head(vocab, head_size), "array<array<array<int>>>")
+    coded = rows.withColumn("_tokens", lists)
+    coded = compute_once(coded, "_ids", run("_tokens"))
+    rest = _rest(vocab, head_size)
+    if rest.isEmpty():
+        return coded
+    flat = lambda c: F.flatten(F.flatten(F.coalesce(c, F.array().cast("array<array<array<string>>>"))))
+    unknown = F.filter(
+        F.arrays_zip(flat(F.col("_tokens")).alias("t"), F.flatten(F.flatten("_ids")).alias("i")),
+        lambda x: x["i"] == UNK,
+    )
+    asked = coded.select(*ids, F.explode(F.array_distinct(F.transform(unknown, lambda x: x["t"]))).alias("token"))
+    found = (
+        asked.join(rest, "token")
+        .groupBy(*ids)
+        .agg(F.collect_list(F.struct("token", F.col("token_id").cast("int").alias("token_id"))).alias("_found"))
+    )
+    joined = coded.join(found, list(ids), "left")
+    filled = _filled("_ids", "_tokens", F.col("_found.token"), F.col("_found.token_id"))
+    return joined.withColumn("_ids", filled).drop("_found")
+
+
+def encode_sentences(
+    cut: DataFrame, vocab: DataFrame, *, id_col: str = "doc_id", head_size: int = HEAD_TOKENS
+) -> DataFrame:
     """Token ids of the sentences and units of documents: ``text_ids``, ``unit_ids``.
 
-    For a vocabulary of up to ``head_size`` tokens, which is broadcast; a token beyond it gets
-    the unknown id, as in a tokenizer of fixed size.
+    A token outside the vocabulary gets the unknown id. ``id_col`` must identify a row.
     """
-    if vocab.count() > head_size:
-        raise ValueError(f"vocabulary over {head_size} tokens: give it a size, or encode the pairs")
-    run, _ = _lookup(cut.sparkSession, _head(vocab, head_size), "array<array<array<int>>>")
-    lists = sentence_tokens(cut).withColumn("_ids", run(F.array("text_tokens", "gap_tokens")))
+    lists = sentence_tokens(cut)
+    coded = _coded(lists, vocab, F.array("text_tokens", "gap_tokens"), (id_col,), head_size)
     units = F.zip_with(F.col("_ids")[0], F.col("_ids")[1], lambda t, g: F.concat(t, g))
-    coded = lists.withColumns({"text_ids": F.col("_ids")[0], "unit_ids": units})
-    return coded.drop("_ids", "text_tokens", "gap_tokens", "unit_tokens")
+    coded = coded.withColumns({"text_ids": F.col("_ids")[0], "unit_ids": units})
+    return coded.drop("_ids", "_tokens", "text_tokens", "gap_tokens", "unit_tokens")
 
 
 def encode(
@@ -109,41 +181,15 @@ def encode(
     *ids: str,
     text_col: str = "text",
     out: str = "token_ids",
-    head_size: int = 500_000,
+    head_size: int = HEAD_TOKENS,
 ) -> DataFrame:
     """Token ids of each text; a token outside the vocabulary gets the unknown id.
 
-    The ``head_size`` most frequent tokens are looked up in a broadcast table, inside the
-    row. A larger vocabulary's rare rest is joined by token; no rare token is a hot key.
     ``ids`` must identify a row.
     """
-    run, known = _lookup(rows.sparkSession, _head(vocab, head_size), "array<int>")
-    cut = rows.withColumn("_tokens", tx.tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    coded = cut.withColumn(out, run("_tokens"))
-    rest = vocab.where(F.col("token_id") >= FIRST_WORD + head_size).select("token", "token_id")
-    if known == head_size and not rest.isEmpty():
-        coded = _code_rest(coded, rest, ids, out)
-    return coded.drop("_tokens")
-
-
-def _code_rest(coded: DataFrame, rest: DataFrame, ids: tuple[str, ...], out: str) -> DataFrame:
-    """Ids of the rare tokens by a join; only positions still unknown are shuffled."""
-    unknown = coded.select(
-        *ids, F.posexplode(F.arrays_zip(F.col("_tokens").alias("t"), F.col(out).alias("i")))
-    ).where(F.col("col.i") == UNK)
-    found = (
-        unknown.select(*ids, "pos", F.col("col.t").alias("token"))
-        .join(rest, "token")
-        .groupBy(*ids)
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "token_id"))).alias("_found"))
-    )
-    pick = F.transform(
-        out, lambda x, i: F.coalesce(F.col("_found")[i].cast("int"), x)
-    )
-    joined = coded.join(found, list(ids), "left")
-    return joined.withColumn(
-        out, F.when(F.col("_found").isNull(), F.col(out)).otherwise(pick)
-    ).drop("_found")
+    lists = F.array(F.array(tx.tokens(F.coalesce(F.col(text_col), F.lit("")))))
+    coded = _coded(rows, vocab, lists, ids, head_size)
+    return coded.withColumn(out, F.col("_ids")[0][0]).drop("_ids", "_tokens")
 
 
 def with_specials(ids: Column, max_length: int | None) -> Column:

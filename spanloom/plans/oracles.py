@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.functions.text import LINE_BREAKS, TOKEN_PATTERN, WHITESPACE
+# Fixed values, stated here again so that a wrong pattern in the engine shows up: blanks that are
+# stripped, a token, and the ends of lines.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+TOKEN_PATTERN = rf"[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}{WHITESPACE}]"
+LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 WS = f"'{WHITESPACE}'"
 TILE = "'[^.!?\n]*[.!?\n]+|[^.!?\n]+'"
@@ -79,7 +86,7 @@ COS = "case when na * nb > 0 then dot / sqrt(na * nb) else 0.0 end"
 
 
 def r6(e: str) -> str:
-    return f"round({e}, 6) + 0.0"
+    return f"round_even(({e})::double * 1e6, 0) / 1e6 + 0.0"
 
 
 NEIGHBOURS = """nb as (
@@ -144,6 +151,7 @@ PAIR_VECTORS = ",\n".join(
 )
 
 # Long sentences, separator by separator; ``ord`` keeps the order of the pieces.
+# Separators in the order they are tried.
 SEPARATORS = ["...", "\n", "!", "?", ";", ":", ".", ",", "\t", " "]
 PACK = f"""list_reduce([[w] for w in list_filter(regexp_split_to_array(seg, '[{WHITESPACE}]+'), lambda w: w <> '')],
       lambda acc, w: case when length(acc[len(acc)]) + 1 + length(w[1]) <= 256
@@ -289,7 +297,7 @@ every as (
 
 
 def _funnel(source: str, max_tokens: str | None) -> str:
-    over = f"len({tokens('context')}) > {max_tokens}" if max_tokens else "false"
+    over = f"len({tokens('context')}) + 2 > {max_tokens}" if max_tokens else "false"
     return f"""
 , d as (select s.doc_id, length(t) as n, split = 'val' as v, coalesce(k.n_sent, 0) as k
   from {source} s left join (select distinct doc_id, n_sent from numbered) k using (doc_id)),
@@ -316,6 +324,58 @@ y as (
 select k as {key}, event_id, {r6('ema')} as ema from y"""
 
 
+def _eigenvalues(name: str, source: str, n: int, sweeps: int = 8) -> str:
+    """Eigenvalues of symmetric n x n matrices (n even), source(g, a) with the cells row by row.
+
+    Rounds of n / 2 rotations of disjoint pairs, paired as in a round-robin; a sweep meets every pair.
+    """
+    m = n - 1
+    other = f"(r - k + {m}) % {m}"
+    paired = f"case when k = {m} then (r * {n // 2}) % {m} when {other} = k then {m} else {other} end"
+    low, high = "least(k, w[k + 1])", "greatest(k, w[k + 1])"
+    i, j = f"(x // {n})", f"(x % {n})"
+    cell = lambda row, col: f"a[{row} * {n} + {col} + 1]"
+    wi, wj = f"w[{i} + 1]", f"w[{j} + 1]"
+    return f"""{name}_steps as (
+  select g, 0 as r, a from {source}
+  union all
+  select g, r + 1, [
+    c[{j} + 1] * (c[{i} + 1] * {cell(i, j)} + s[{i} + 1] * {cell(wi, j)})
+      + s[{j} + 1] * (c[{i} + 1] * {cell(i, wj)} + s[{i} + 1] * {cell(wi, wj)}) for x in range({n * n})]
+  from (
+    select *, [1 / sqrt(1 + t * t) for t in ts] as c,
+      [case when k < w[k + 1] then -ts[k + 1] else ts[k + 1] end / sqrt(1 + ts[k + 1] * ts[k + 1])
+        for k in range({n})] as s
+    from (
+      select *, [coalesce(case when u >= 0 then 1.0 else -1.0 end / (abs(u) + sqrt(1 + u * u)), 0.0) for u in us] as ts
+      from (
+        select g, r, a, w,
+          [({cell(high, high)} - {cell(low, low)}) / nullif(2 * {cell(low, high)}, 0) for k in range({n})] as us
+        from (select g, r, a, [{paired} for k in range({n})] as w from {name}_steps where r < {sweeps * m}))))),
+{name} as (select g, [a[k * {n + 1} + 1] for k in range({n})] as eig from {name}_steps where r = {sweeps * m})"""
+
+
+def _solved(name: str, source: str, n: int, k: int) -> str:
+    """Gauss-Jordan on source(a): n rows of a definite matrix and k right sides, row by row."""
+    w = n + k
+    return f"""{name}_steps as (
+  select 0 as r, a from {source}
+  union all
+  select r + 1, [case when x // {w} = r then a[x + 1] / a[r * {w} + r + 1]
+      else a[x + 1] - a[(x // {w}) * {w} + r + 1] / a[r * {w} + r + 1] * a[r * {w} + x % {w} + 1] end
+    for x in range({n * w})]
+  from {name}_steps where r < {n}),
+{name} as (
+  select x // {w} as i, x % {w} - {n} as o, v from (
+    select unnest(range({n * w})) as x, unnest(a) as v from {name}_steps where r = {n}) where x % {w} >= {n})"""
+
+
+def _rank(values: str) -> str:
+    """Exponential of the entropy of a list of singular values."""
+    share = f"[v / list_sum({values}) for v in {values}]"
+    return f"case when len({values}) = 0 then 0.0 else exp(-list_sum([p * ln(p) for p in {share}])) end"
+
+
 def all_oracles() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -336,6 +396,17 @@ def all_oracles() -> dict[str, str]:
     sql["sentence_pairs_resplit"] = _with(DOCS, SPLIT, SOLID, RESPLIT, SPANS, PAIRS) + (
         "select doc_id, split, pair_idx, context, target from pairs"
     )
+    sql["sentence_pairs_unique"] = _with(
+        DOCS,
+        SPLIT,
+        SOLID,
+        RESPLIT.replace(
+            "list(seg order by ord) as segs",
+            "list_filter(list(seg order by ord), lambda x: len(list_distinct(string_split(x, ''))) > 9) as segs",
+        ),
+        SPANS,
+        PAIRS,
+    ) + "select doc_id, split, pair_idx, context, target from pairs"
     sql["pair_spans"] = _with(DOCS, CUT, SPANS) + (
         "select doc_id, pair_idx, c0 as context_start, c1 as context_end, "
         "t0 as target_start, t1 as target_end from pair_spans"
@@ -348,7 +419,7 @@ def all_oracles() -> dict[str, str]:
     )
     sql["token_limit"] = ALL_PAIRS + (
         f"select * from (select doc_id, pair_idx, len({tokens('context')}) as n_tokens from pairs) "
-        "where n_tokens <= 128"
+        "where n_tokens + 2 <= 128"
     )
     sql["corpus_funnel"] = ALL_PAIRS + _funnel("sides", "128")
     sql["corpus_funnel_limit"] = (
@@ -367,8 +438,23 @@ upto as (select * from sides where (select n from last) < 500 or doc_id <= (sele
     # splits and shards
     sql["document_split"] = _with(DOCS, SPLIT) + "select doc_id, bucket, split from sides"
     sql["leaked_documents"] = ALL_PAIRS + (
-        "select doc_id from pairs group by doc_id having count(distinct split) > 1"
+        "select doc_id from (select doc_id, position < floor((select count(*) from pairs) * 0.9::double) as tr from "
+        + hash_order("pairs", "doc_id, pair_idx", 42)
+        + ") group by doc_id having count(distinct tr) > 1"
     )
+    sql["corpus_funnel_failing"] = _with(DOCS, SPLIT) + f""",
+k as (select doc_id, split = 'val' as v, length(t) < 100 as short, length(t) >= 100 and contains(t, '|') as failed,
+    len(list_filter(string_split(t, chr(10)), lambda x: trim(x, {WS}) <> '')) as k from sides)
+select count(*) as total_docs,
+  count(*) filter (not short and not failed and k >= 2) as docs_processed,
+  count(*) filter (short) as docs_rejected_length,
+  count(*) filter (not short and not failed and k < 2) as docs_rejected_sentences,
+  coalesce(sum(k - 1) filter (not short and not failed and k >= 2), 0)::bigint as context_target_pairs,
+  0::bigint as pairs_rejected_length,
+  count(*) filter (not short and not failed and k >= 2 and v) as docs_val,
+  coalesce(sum(k - 1) filter (not short and not failed and k >= 2 and v), 0)::bigint as pairs_val,
+  count(*) filter (failed) as docs_failed
+from k"""
     sql["shared_prefixes"] = _with(DOCS, SPLIT) + (
         "select sha256(substr(t, 1, 200)) as prefix_hash, count(*) as n_docs, min(split) as first_side, "
         "max(split) as last_side from sides group by 1 having count(*) > 1"
@@ -443,7 +529,7 @@ from (select doc_id, unnest(range(64)) as dim from documents) left join s using
         f"select vec_id, {r6('cosine')} as cosine, {r6('pn')} as pred_norm from scored"
     )
     sql["losses"] = _with(NEIGHBOURS) + (
-        "select round(avg(l), 6) + 0.0 as smooth_l1, round(1 - avg(cosine), 6) + 0.0 as cosine_loss from ("
+        "select round_even((avg(l))::double * 1e6, 0) / 1e6 + 0.0 as smooth_l1, round_even((1 - avg(cosine))::double * 1e6, 0) / 1e6 + 0.0 as cosine_loss from ("
         "select cosine, list_sum([case when abs(x) < 1 then 0.5 * x * x else abs(x) - 0.5 end "
         "for x in [a[1] - a[2] for a in list_zip(p, t)]]) / len(p) as l from scored)"
     )
@@ -474,7 +560,7 @@ where rank <= 5"""
         )
         + "select b.item_id as query_id, "
         + ", ".join(
-            f"round(coalesce(max(v) filter (dim = {d}) / max(len), 0), 6) + 0.0 as dim{d}" for d in range(8)
+            f"round_even((coalesce(max(v) filter (dim = {d}) / max(len), 0))::double * 1e6, 0) / 1e6 + 0.0 as dim{d}" for d in range(8)
         )
         + ", case when max(len) > 0 then 1.0 else 0.0 end as norm from benchmark b "
         "left join qs using (item_id) left join n using (item_id) group by b.item_id"
@@ -504,9 +590,17 @@ where rank <= 5"""
   join sided c on c.doc_id = -struct_extract(top, 2) and c.pair_idx = -struct_extract(top, 3)
 where not s.tr"""
     sql["retrieval_decode"] = _with(*retrieved) + (
-        "select s.doc_id, s.pair_idx, c.target as generated, round(struct_extract(top, 1), 6) + 0.0 as similarity "
+        "select s.doc_id, s.pair_idx, c.target as generated, round_even(struct_extract(top, 1) * 1e6, 0) / 1e6 + 0.0 as similarity "
         + answers
     )
+    made = (
+        "copied as (select s.doc_id, s.pair_idx, s.target as original, c.target as generated, "
+        f"struct_extract(top, 1) as similarity {answers})"
+    )
+    sql["generation_samples"] = _with(*retrieved, made, BLEU_TERMS) + (
+        f"select doc_id, pair_idx, original, generated, {r6(BLEU)} as bleu "
+        "from terms join copied using (doc_id, pair_idx)"
+    )
     totals = ", ".join(
         f"sum({c})::double as {c}" for c in [*(f"{x}{n}" for n in range(1, 5) for x in "mt"), "hyp", "ref"]
     )
@@ -523,7 +617,7 @@ where not s.tr"""
             _bigrams("wanted", "select original as text from copied"),
             *CHANCES,
         )
-        + f"""select metric, round(value, 6) + 0.0 as value from (
+        + f"""select metric, round_even((value)::double * 1e6, 0) / 1e6 + 0.0 as value from (
   select 'bleu' as metric, {BLEU} as value from (select {totals} from terms)
   union all select 'rouge1', avg(rouge1) from rouge
   union all select 'rouge2', avg(rouge2) from rouge
@@ -532,6 +626,24 @@ where not s.tr"""
   union all select 'concept_similarity', avg(similarity) from copied
   union all select 'diversity', count(distinct w) / count(w) from (
     select unnest({SPACE_WORDS.format(c='generated')}) as w from copied))"""
+    )
+    sql["line_search"] = (
+        _with(
+            f"""raw as (select trim(unnest(regexp_split_to_array(coalesce(text, ''), {LINES})), {WS}) as line
+  from documents)""",
+            "lines as (select line, row_number() over (order by line) - 1 as line_id "
+            "from (select distinct line from raw where line <> ''))",
+            query_sums,
+            sums("ls", "lines", "line_id", "line"),
+            "qn as (select item_id, sum(v * v)::double as na from qs group by all)",
+            "ln as (select line_id, sum(v * v)::double as nb from ls group by all)",
+            """dots as (select item_id, line_id, sum(qs.v * ls.v)::double as dot
+  from qs join ls using (dim) group by all)""",
+            f"near as (select item_id, line_id, {COS} as s from dots join qn using (item_id) join ln using (line_id))",
+        )
+        + f"""select item_id as query_id, rank, line, {r6('s')} as similarity from (
+  select *, row_number() over (partition by item_id order by s desc, line_id) as rank from near)
+join lines using (line_id) where rank <= 3"""
     )
     sql["sentence_lines"] = (
         "select line, count(*) as n from (select trim(unnest(regexp_split_to_array("
@@ -549,7 +661,7 @@ where not s.tr"""
     )
     sql["sts_spearman"] = (
         _with(DOCS, SPLIT, CUT, SPANS, PAIRS, LABELLED, PAIR_VECTORS)
-        + """select round(corr(ra, rb), 6) + 0.0 as sts_spearman, count(*) as n_pairs from (
+        + """select round_even((corr(ra, rb))::double * 1e6, 0) / 1e6 + 0.0 as sts_spearman, count(*) as n_pairs from (
   select row_number() over (order by cosine, doc_id, pair_idx) as ra,
     row_number() over (order by label, doc_id, pair_idx) as rb
   from sims join labelled using (doc_id, pair_idx))"""
@@ -557,18 +669,27 @@ where not s.tr"""
     # For unit vectors the squared distance is 2 - 2 cos; a zero vector is at distance 1 of any unit one.
     sql["alignment"] = (
         _with(DOCS, SPLIT, CUT, SPANS, PAIRS, LABELLED, PAIR_VECTORS)
-        + """select coalesce(round(avg(case when na > 0 and nb > 0 then 2 - 2 * cosine
-    when na > 0 or nb > 0 then 1.0 else 0.0 end), 6) + 0.0, 'nan'::double) as alignment, count(*) as n_pos
+        + """select coalesce(round_even((avg(case when na > 0 and nb > 0 then 2 - 2 * cosine
+    when na > 0 or nb > 0 then 1.0 else 0.0 end))::double * 1e6, 0) / 1e6 + 0.0, 'nan'::double) as alignment, count(*) as n_pos
 from sims join labelled using (doc_id, pair_idx) where label > 4.0"""
     )
-    sql["uniformity"] = """select round(ln(avg(exp(-2.0 * (2.0 - 2.0 *
-    list_dot_product(a.embedding::double[], b.embedding::double[]))))), 6) + 0.0 as uniformity,
+    sql["uniformity"] = """select round_even((ln(avg(exp(-2.0 * (2.0 - 2.0 *
+    list_dot_product(a.embedding::double[], b.embedding::double[]))))))::double * 1e6, 0) / 1e6 + 0.0 as uniformity,
   count(*) as n_ordered_pairs from embeddings a join embeddings b on a.vec_id <> b.vec_id"""
+    sql["text_uniformity"] = _with(
+        query_sums,
+        "un as (select item_id, dim, v / sqrt(sum(v * v) over (partition by item_id)) as x from qs)",
+        "dots as (select a.item_id as i, b.item_id as j, sum(a.x * b.x) as dot from un a join un b using (dim) group by all)",
+        """every as (select a.item_id as i, b.item_id as j from benchmark a join benchmark b on a.item_id <> b.item_id)""",
+    ) + (
+        f"select {r6('ln(avg(exp(-2.0 * (2.0 - 2.0 * coalesce(dot, 0)))))')} as uniformity, count(*) as n_ordered_pairs "
+        "from every left join dots using (i, j)"
+    )
     sql["labelled_head"] = """select doc_id, quality as label, length(coalesce(text, '')) as n_chars
 from (select * from labels order by doc_id limit 5000) join documents using (doc_id)"""
     sql["similarity_stats"] = _with(NEIGHBOURS) + (
-        "select round(avg(cosine), 6) + 0.0 as avg_similarity, round(avg(pn), 6) + 0.0 as pred_norm, "
-        "round(avg(tn), 6) + 0.0 as target_norm, count(*) as n from scored"
+        "select round_even((avg(cosine))::double * 1e6, 0) / 1e6 + 0.0 as avg_similarity, round_even((avg(pn))::double * 1e6, 0) / 1e6 + 0.0 as pred_norm, "
+        "round_even((avg(tn))::double * 1e6, 0) / 1e6 + 0.0 as target_norm, count(*) as n from scored"
     )
     batch = f"""{NEIGHBOURS},
 sizes as (select batch_id, count(*) as n, avg(cosine) as avg_similarity, avg(pn) as pred_norm from scored group by all),
@@ -585,41 +706,105 @@ stds as (select batch_id, avg(s) as target_std_mean from (
 covs as (select batch_id, sum(abs(c)) as target_off_diag_cov_l1 from (
   select a.batch_id, a.d, b.d as e, covar_samp(a.x, b.x) as c from flat a
     join flat b on a.batch_id = b.batch_id and a.vec_id = b.vec_id and a.d <> b.d group by all) group by all),
+centred as (select batch_id, row_number() over (partition by batch_id, d order by vec_id) - 1 as i, d,
+  x - avg(x) over (partition by batch_id, d) as x from flat),
+grams as (select a.batch_id, a.i * 32 + b.i as x, sum(a.x * b.x) as v
+  from centred a join centred b using (batch_id, d) group by all),
+squares as (select batch_id as g, list(coalesce(v, 0.0) order by x) as a
+  from (select batch_id, unnest(range(1024)) as x from sizes) left join grams using (batch_id, x) group by batch_id),
+{_eigenvalues("own", "squares", 32)},
+ranks as (select g as batch_id, {_rank("sv")} as target_eff_rank from (
+  select g, [sqrt(e) for e in eig if e > 1e-12] as sv from own)),
 batches as (select * from sizes join hits using (batch_id) join spread using (batch_id)
-  join stds using (batch_id) join covs using (batch_id))"""
+  join stds using (batch_id) join covs using (batch_id) join ranks using (batch_id))"""
     names = [
         "avg_similarity",
         "hit_rate",
         "pred_norm",
         "diversity",
         "target_std_mean",
+        "target_eff_rank",
         "target_off_diag_cov_l1",
     ]
+    batch = "with recursive " + batch + "\n"
     sql["batch_metrics"] = (
-        _with(batch)
+        batch
         + "select batch_id, n, "
-        + ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in names)
+        + ", ".join(f"round_even(({c})::double * 1e6, 0) / 1e6 + 0.0 as {c}" for c in names)
         + " from batches"
     )
     sql["validation_metrics"] = (
-        _with(batch)
+        batch
         + "select "
-        + ", ".join(f"round(sum({c} * n) / sum(n), 6) + 0.0 as {c}" for c in names)
+        + ", ".join(f"round_even((sum({c} * n) / sum(n))::double * 1e6, 0) / 1e6 + 0.0 as {c}" for c in names)
         + ", sum(n)::bigint as total_samples from batches"
     )
-    sql["diversity_by_label"] = """select label, any_value(n) as n, round(1 - avg(dot), 6) + 0.0 as diversity from (
+    mean = lambda c: f"sum({c} * n) / sum(n)"
+    sql["collapse_flags"] = batch + (
+        f"select {mean('target_eff_rank')} < 10 as rank_collapsed, {mean('target_std_mean')} < 0.05 as std_collapsed, "
+        f"{mean('diversity')} < 1e-3 as diversity_collapsed, {mean('avg_similarity')} > 0.999 as cosine_pinned from batches"
+    )
+    sql["diversity_by_label"] = """select label, any_value(n) as n, round_even((1 - avg(dot))::double * 1e6, 0) / 1e6 + 0.0 as diversity from (
   select a.label, list_dot_product(a.embedding::double[], b.embedding::double[]) as dot, n
   from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id
   join (select label, count(*) as n from embeddings group by label) c on c.label = a.label) group by label"""
     flat = "flat as (select vec_id, unnest(range(64)) as d, unnest(embedding)::double as x from embeddings)"
     sql["target_std"] = _with(flat) + (
-        "select round(avg(s), 6) + 0.0 as std_mean from (select d, stddev_samp(x) as s from flat group by d)"
+        "select round_even((avg(s))::double * 1e6, 0) / 1e6 + 0.0 as std_mean from (select d, stddev_samp(x) as s from flat group by d)"
     )
     sql["covariance_l1"] = _with(flat) + (
-        "select round(sum(abs(c)), 6) + 0.0 as off_diag_cov_l1, (select count(*) from embeddings) as n from ("
+        "select round_even((sum(abs(c)))::double * 1e6, 0) / 1e6 + 0.0 as off_diag_cov_l1, (select count(*) from embeddings) as n from ("
         "select a.d, b.d as e, covar_samp(a.x, b.x) as c from flat a join flat b "
         "on a.vec_id = b.vec_id and a.d <> b.d group by all)"
     )
+    sql["effective_rank"] = f"""with recursive {flat},
+cells as (select a.d * 64 + b.d as x, covar_samp(a.x, b.x) as c from flat a join flat b using (vec_id) group by all),
+whole as (select 0 as g, list(c order by x) as a from cells),
+{_eigenvalues("own", "whole", 64)},
+kept as (select [sqrt(e) for e in eig if e > list_max(eig) * 64 * 2.220446049250313e-16] as sv from own)
+select {r6(_rank("sv"))} as effective_rank, (select count(*) from embeddings) as n from kept"""
+    sql["least_squares_probe"] = f"""with recursive sided as (
+  select vec_id, label, embedding, position < floor((select count(*) from embeddings) * 0.8::double) as tr
+  from {hash_order("embeddings", "vec_id", 42)}),
+kinds as (select label, row_number() over (order by label) - 1 as o from (select distinct label from sided where tr)),
+xs as (select vec_id, tr, unnest(range(65)) as d, unnest([1.0::double] || embedding::double[]) as x from sided),
+ys as (select vec_id, o, (s.label = k.label)::int as y from sided s cross join kinds k),
+n as (select count(*) as k from kinds),
+normal as (select a.d as i, b.d as j, sum(a.x * b.x) as v
+  from xs a join xs b using (vec_id) where a.tr group by all
+  union all select x.d, 65 + y.o, sum(x.x * y.y) from xs x join ys y using (vec_id) where x.tr group by all),
+square as (select list(coalesce(v, 0.0) + (i = j and i > 0)::int order by i, j) as a from (
+  select unnest(range(65)) as i, j from (select unnest(range(75)) as j)) left join normal using (i, j)),
+{_solved("w", "square", 65, 10)},
+scores as (select vec_id, o, sum(x * v) as s from xs join w on w.i = xs.d where not tr and o < (select k from n) group by all),
+best as (select vec_id, arg_max(o, (s, -o)) as o from scores group by vec_id)
+select {r6("avg((k.label = s.label)::int)")} as probe_acc, count(*) as n_val
+from best join kinds k using (o) join sided s using (vec_id)"""
+    unit = lambda name, source: f"""{name} as (select doc_id, pair_idx, dim, v / sqrt(sum(v * v) over (partition by doc_id, pair_idx)) as x
+  from {source})"""
+    sql["next_concept"] = "with recursive " + ",\n".join(
+        [
+            DOCS, SPLIT, CUT, SPANS, PAIRS,
+            sums("cs", "pairs", "doc_id, pair_idx", "context"),
+            sums("ts", "pairs", "doc_id, pair_idx", "target"),
+            unit("cu", "cs"),
+            unit("tu", "ts"),
+            """normal as (
+  select a.dim as i, b.dim as j, sum(a.x * b.x) as v from cu a join cu b using (doc_id, pair_idx)
+    join pairs p using (doc_id, pair_idx) where split = 'train' group by all
+  union all select a.dim, 64 + b.dim, sum(a.x * b.x) from cu a join tu b using (doc_id, pair_idx)
+    join pairs p using (doc_id, pair_idx) where split = 'train' group by all)""",
+            """square as (select list(coalesce(v, 0.0) + (i = j)::int order by i, j) as a from (
+  select unnest(range(64)) as i, j from (select unnest(range(128)) as j)) left join normal using (i, j))""",
+            _solved("w", "square", 64, 64),
+            """made as (select doc_id, pair_idx, o as dim, sum(x * w.v) as x from cu join w on w.i = cu.dim
+    join pairs using (doc_id, pair_idx) where split = 'val' group by all)""",
+            "lengths as (select doc_id, pair_idx, sqrt(sum(x * x)) as l from made group by all)",
+            "dots as (select doc_id, pair_idx, sum(made.x * tu.x) as dot from made join tu using (doc_id, pair_idx, dim) group by all)",
+        ]
+    ) + f"""
+select doc_id, pair_idx, {r6("coalesce(case when l > 0 then dot / l end, 0.0)")} as similarity
+from pairs left join dots using (doc_id, pair_idx) left join lengths using (doc_id, pair_idx) where split = 'val'"""
     sql["similarity_histogram"] = _with(NEIGHBOURS) + (
         "select case when cosine < -1 then 0 when cosine >= 1 then 21 "
         "else floor((cosine + 1) / 2 * 20)::bigint + 1 end as bin, count(*) as n from scored group by 1"
@@ -634,16 +819,17 @@ batches as (select * from sizes join hits using (batch_id) join spread using (ba
             "pairs as (select * from every_pair order by doc_id, pair_idx limit 5)",
             PAIR_VECTORS,
         )
-        + """select doc_id, pair_idx, round(cosine, 6) + 0.0 as similarity, round(sqrt(na), 6) + 0.0 as context_norm,
-  unnest(range((length(context) + 99) // 100)) as line_no,
-  unnest([substr(context, 100 * j + 1, 100) for j in range((length(context) + 99) // 100)]) as line
-from sims join pairs using (doc_id, pair_idx)"""
+        + f"""select doc_id, pair_idx, {r6('cosine')} as similarity, {r6('sqrt(na)')} as context_norm,
+  {r6('sqrt(nb)')} as target_norm, side, unnest(range((length(x) + 99) // 100)) as line_no,
+  unnest([substr(x, 100 * j + 1, 100) for j in range((length(x) + 99) // 100)]) as line
+from sims join (select doc_id, pair_idx, 'context' as side, context as x from pairs
+  union all select doc_id, pair_idx, 'target', target from pairs) using (doc_id, pair_idx)"""
     )
 
     # generated text
     bleu = ALL_COPIED.rstrip() + ",\n" + BLEU_TERMS + "\n"
-    sql["corpus_bleu"] = bleu + f"select round({BLEU}, 6) + 0.0 as bleu from (select {totals} from terms)"
-    sql["sentence_bleu"] = bleu + f"select doc_id, pair_idx, round({BLEU}, 6) + 0.0 as bleu from terms"
+    sql["corpus_bleu"] = bleu + f"select round_even(({BLEU})::double * 1e6, 0) / 1e6 + 0.0 as bleu from (select {totals} from terms)"
+    sql["sentence_bleu"] = bleu + f"select doc_id, pair_idx, round_even(({BLEU})::double * 1e6, 0) / 1e6 + 0.0 as bleu from terms"
     sql["rouge"] = _with(DOCS, CUT, COPIED, overlap(ROUGE_WORDS, 2)) + (
         f"select doc_id, pair_idx, {r6('rouge1')} as rouge1, {r6('rouge2')} as rouge2 from ({ROUGE.format(tag='')})"
     )
@@ -651,10 +837,10 @@ from sims join pairs using (doc_id, pair_idx)"""
     sided_text = "select coalesce(text, '') as text from documents join sides using (doc_id) where split = '{}'"
     sql["perplexity"] = (
         _with(DOCS, SPLIT, _bigrams("seen", sided_text.format("train")), _bigrams("wanted", sided_text.format("val")), *CHANCES)
-        + f"select round({PERPLEXITY}, 6) + 0.0 as perplexity, sum(wanted.n)::bigint as n_tokens " + SCORED_BIGRAMS
+        + f"select round_even(({PERPLEXITY})::double * 1e6, 0) / 1e6 + 0.0 as perplexity, sum(wanted.n)::bigint as n_tokens " + SCORED_BIGRAMS
     )
     sql["word_diversity"] = (
-        "select round(count(distinct w) / count(w), 6) + 0.0 as diversity from (select unnest("
+        "select round_even((count(distinct w) / count(w))::double * 1e6, 0) / 1e6 + 0.0 as diversity from (select unnest("
         + SPACE_WORDS.format(c="text")
         + ") as w from documents)"
     )
@@ -670,7 +856,7 @@ from sims join pairs using (doc_id, pair_idx)"""
             "an as (select doc_id, pair_idx, sum(v * v)::double as na from a group by all)",
             "bn as (select doc_id, pair_idx, sum(v * v)::double as nb from b group by all)",
         )
-        + """select round(avg(case when coalesce(na * nb, 0) > 0 then coalesce(dot, 0) / sqrt(na * nb) else 0.0 end), 6) + 0.0
+        + """select round_even((avg(case when coalesce(na * nb, 0) > 0 then coalesce(dot, 0) / sqrt(na * nb) else 0.0 end))::double * 1e6, 0) / 1e6 + 0.0
     as concept_similarity
 from copied left join dots using (doc_id, pair_idx) left join an using (doc_id, pair_idx)
   left join bn using (doc_id, pair_idx)"""
@@ -717,7 +903,7 @@ from copied left join dots using (doc_id, pair_idx) left join an using (doc_id,
     )
     sql["logged_steps"] = _with(LOG) + "select epoch, step, loss from log where step % 50 = 0"
     sql["loss_meter"] = _with(LOG) + (
-        "select epoch, arg_max(loss, step) as last, round(sum(loss) / count(*), 6) + 0.0 as avg, "
+        "select epoch, arg_max(loss, step) as last, round_even((sum(loss) / count(*))::double * 1e6, 0) / 1e6 + 0.0 as avg, "
         "round(sum(loss), 4) as sum, count(*) as count, min(loss) as min, max(loss) as max from log group by epoch"
     )
     sql["best_steps"] = _with(LOG) + (
@@ -725,10 +911,10 @@ from copied left join dots using (doc_id, pair_idx) left join an using (doc_id,
         "preceding and 1 preceding) as low from log) where low is null or loss < low"
     )
     sql["accumulated_steps"] = _with(LOG) + (
-        "select step // 8 as step, round(avg(loss), 6) + 0.0 as loss, 1024 as effective_batch from log "
+        "select step // 8 as step, round_even((avg(loss))::double * 1e6, 0) / 1e6 + 0.0 as loss, 1024 as effective_batch from log "
         "group by step // 8 having count(*) = 8"
     )
-    sql["momentum_schedule"] = _with(LOG) + "select step, round(momentum, 6) + 0.0 as momentum from log"
+    sql["momentum_schedule"] = _with(LOG) + "select step, round_even((momentum)::double * 1e6, 0) / 1e6 + 0.0 as momentum from log"
     sql["ema_by_user"] = _ema("user_id", "0.9::double")
     sql["ema_scheduled"] = _ema(
         "event_type",

@@ -24,13 +24,13 @@ from spanloom.operators import (
     textgen,
     tokens,
 )
+from spanloom.operators.ranking import global_rank
 from spanloom.session import fresh_path
 from spanloom.sources import sinks, tables
 from spanloom.streaming import documents as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-DIMS = 64  # of the stored embeddings
 VAL = 0.1
 BATCH = 32
 MAX_TOKENS = 128
@@ -49,7 +49,8 @@ def all_queries() -> dict[str, Query]:
 
 
 def r6(c: Column) -> Column:
-    return F.round(c, 6) + F.lit(0.0)
+    """Six digits by one binary rule (halves to even) that other engines share."""
+    return F.rint(c.cast("double") * 1e6) / 1e6 + F.lit(0.0)
 
 
 # ---------------------------------------------------------------- shared inputs
@@ -144,6 +145,7 @@ def _scored(spark, folder, *, vectors=False):
     ready = {"vec1": "sums.context", "vec2": "sums.target"} if vectors else {}
     made = pairs.sentence_pairs(
         concepts.pair_sums(cut) if vectors else cut,
+        sides=(),
         lists={"words": ("unit_words", "text_words")},
         ready=ready,
     )
@@ -192,6 +194,13 @@ def sentence_pairs_resplit(spark, folder):
     return _pairs(spark, folder, max_sentence_len=256)
 
 
+@query
+def sentence_pairs_unique(spark, folder):
+    """The default path without sentences of few distinct characters: dropped before they are
+    counted and located."""
+    return _pairs(spark, folder, max_sentence_len=256, min_unique_chars=9)
+
+
 @query
 def pair_spans(spark, folder):
     return pairs.span_pairs(_sentences(spark, folder), block_rows=256)
@@ -229,6 +238,21 @@ def corpus_funnel_limit(spark, folder):
     return funnel.corpus_counts(docs, val_fraction=VAL, max_sentence_len=None).drop("docs_failed")
 
 
+def _lines_without_bars(texts: list[str]) -> list[list[str]]:
+    """A splitter that cannot handle every document: a line with a bar is an error."""
+    if any("|" in t for t in texts):
+        raise ValueError("a bar in the text")
+    return [t.split("\n") for t in texts]
+
+
+@query
+def corpus_funnel_failing(spark, folder):
+    """The funnel of a splitter that fails on some documents; the others go on."""
+    return funnel.corpus_counts(
+        _docs(spark, folder), val_fraction=VAL, max_sentence_len=None, splitter=_lines_without_bars
+    )
+
+
 # ---------------------------------------------------------------- splits and shards
 
 
@@ -241,7 +265,9 @@ def document_split(spark, folder):
 
 @query
 def leaked_documents(spark, folder):
-    return split.leaked_documents(_pairs(spark, folder, sides=()))
+    """Documents on both sides of a split by pairs; the split by documents has none (tests)."""
+    sided = split.exact_split(_pairs(spark, folder, sides=()).drop("split"), *PAIR)
+    return split.leaked_documents(sided.withColumnRenamed("side", "split"))
 
 
 @query
@@ -285,15 +311,22 @@ def _encoded(spark, folder):
 def token_batches(spark, folder):
     """Contexts as padded batches of a shuffled epoch."""
     vocab = tokens.vocabulary(_docs(spark, folder))
-    cut = tokens.encode_sentences(_split_sentences(spark, folder), vocab)
-    coded = pairs.sentence_pairs(
-        cut, sides=(), lists={"ids": ("unit_ids", "text_ids")}
-    ).withColumnRenamed("context_ids", "token_ids")
-    framed = coded.select(
-        *PAIR, tokens.with_specials(F.col("token_ids"), MAX_TOKENS).alias("token_ids")
-    )
-    # Every epoch would read the written sequences in another order.
-    ordered = split.epoch_order(_stored(framed, "sequences"), *PAIR, epoch=1)
+    cut = _split_sentences(spark, folder)
+    # Only ids are ranked; each document gets the places of its pairs, and the sequences move once,
+    # to their batch.
+    places = split.epoch_order(pairs.sentence_pairs(cut, sides=()), *PAIR, epoch=1)
+    places = places.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("pair_idx", "position"))).alias("p")
+    )
+    coded = tokens.encode_sentences(cut, vocab).join(
+        places.select("doc_id", F.col("p.position").alias("positions")), "doc_id"
+    )
+    made = pairs.sentence_pairs(
+        coded, sides=(), lists={"ids": ("unit_ids", "text_ids")}, ready={"position": "positions"}
+    )
+    ordered = made.select(
+        *PAIR, "position", tokens.with_specials(F.col("context_ids"), MAX_TOKENS).alias("token_ids")
+    )
     batches = tokens.make_batches(ordered, "position", BATCH)
     total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x)
     return batches.select(
@@ -353,7 +386,7 @@ def masked_mean(spark, folder):
         (F.col("label") != 0).cast("int").alias("mask"),
         F.col("embedding").alias("vec"),
     )
-    pooled = concepts.masked_mean(hidden, DIMS, "seq_id")
+    pooled = concepts.masked_mean(hidden, "seq_id")
     unit = pooled.withColumn("unit", vec.normalize(F.col("vec")))
     flat = unit.select("seq_id", F.posexplode(F.arrays_zip("vec", "unit")).alias("dim", "x"))
     return flat.select("seq_id", "dim", r6(F.col("x.vec")).alias("mean"), r6(F.col("x.unit")).alias("unit"))
@@ -389,8 +422,8 @@ def next_concept(spark, folder):
     vectors = _pair_sums(spark, folder).select(
         *PAIR,
         "split",
-        concepts.concept(F.col("vec1")).cast("array<float>").alias("context_vec"),
-        concepts.concept(F.col("vec2")).cast("array<float>").alias("target_vec"),
+        concepts.concept(F.col("vec1")).alias("context_vec"),
+        concepts.concept(F.col("vec2")).alias("target_vec"),
     )
     # Fitting and scoring both read the vectors, so they are written once.
     vectors = _stored(vectors, "vectors")
@@ -434,25 +467,31 @@ def query_report(spark, folder):
 def _retrieved(spark, folder):
     """Evaluation targets with the nearest training target as their generation."""
     stored = _stored_pairs(spark, folder, "target")
-    sided = split.exact_split(stored, *PAIR).withColumn(
-        "vec", concepts.concept_sums(F.col("target"))
+    # Side, hash and vector of each target are found once and written.
+    sided = split.exact_split(stored, *PAIR).select(
+        *PAIR,
+        "side",
+        "target",
+        F.xxhash64("target").alias("hash"),
+        concepts.concept_sums(F.col("target")).alias("vec"),
     )
+    sided = _stored(sided, "sided-targets")
     held = sided.where("side = 'eval'")
-    asked = held.groupBy("target").agg(
+    asked = held.groupBy("hash", "target").agg(
         F.min(F.struct(*PAIR)).alias("id"), F.first("vec").alias("vec")
     )
     # Equal targets ask the same question: the one with the lowest id stands for them.
     asked = asked.select(
-        F.col("id.doc_id").alias("q_doc"), F.col("id.pair_idx").alias("q_pair"), "target", "vec"
+        F.col("id.doc_id").alias("q_doc"), F.col("id.pair_idx").alias("q_pair"), "hash", "target", "vec"
     )
     train = sided.where("side = 'train'").select(*PAIR, F.col("target").alias("text"), "vec")
     key = ("q_doc", "q_pair")
     answers = retrieval.retrieve_text(asked, train, *PAIR, query_ids=key)
-    texts = answers.join(asked.select(*key, "target"), list(key)).select(
-        F.col("target").alias("original"), "generated", "similarity"
+    texts = answers.join(asked.select(*key, "hash", "target"), list(key)).select(
+        "hash", F.col("target").alias("original"), "generated", "similarity"
     )
-    rows = held.select(*PAIR, F.col("target").alias("original")).join(texts, "original")
-    return rows, train
+    rows = held.select(*PAIR, "hash", F.col("target").alias("original")).join(texts, ["hash", "original"])
+    return rows.drop("hash"), train
 
 
 @query
@@ -462,12 +501,38 @@ def retrieval_decode(spark, folder):
 
 
 @query
-def sentence_lines(spark, folder):
+def generation_samples(spark, folder):
+    """The sample table of an evaluation: original, generated text and their BLEU."""
+    rows = _stored(_retrieved(spark, folder)[0], "generations")
+    scored = textgen.sentence_bleu(rows, *PAIR).select(*PAIR, "bleu")
+    return rows.join(scored, list(PAIR)).select(
+        *PAIR, "original", "generated", r6(F.col("bleu")).alias("bleu")
+    )
+
+
+def _line_counts(spark, folder):
     """Documents written as text files, read back one sentence a line."""
     path = fresh_path(spark, "lines")
     _docs(spark, folder).select("text").write.option("lineSep", "\n").text(path)
-    lines = tables.text_lines(spark, path)
-    return lines.groupBy("line").agg(F.count("*").alias("n"))
+    return tables.text_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query
+def sentence_lines(spark, folder):
+    return _line_counts(spark, folder)
+
+
+@query
+def line_search(spark, folder):
+    """A query list against a corpus of lines: the three nearest different lines of each query."""
+    asked = tables.query_rows(tables.table(spark, folder, "benchmark"), "item_id")
+    asked = asked.select("query_id", concepts.concept_sums(F.col("text")).alias("vec"))
+    lines = _stored(global_rank(_line_counts(spark, folder).select("line"), "line", name="line_id"), "line-ids")
+    corpus = lines.select("line_id", concepts.concept_sums(F.col("line")).alias("vec"))
+    top = retrieval.nearest(asked, corpus, "line_id", k=3)
+    return top.join(lines, "line_id").select(
+        "query_id", "rank", "line", r6(F.col("similarity")).alias("similarity")
+    )
 
 
 # ---------------------------------------------------------------- evaluation of vectors
@@ -512,7 +577,17 @@ def positive_pairs(spark, folder):
 @query
 def uniformity(spark, folder):
     rows = tables.table(spark, folder, "embeddings")
-    result = quality.uniformity(rows, "vec_id", vec_col="embedding", rows_per_block=256)
+    result = quality.uniformity(rows, vec_col="embedding", rows_per_block=256)
+    return result.select(r6(F.col("uniformity")).alias("uniformity"), "n_ordered_pairs")
+
+
+@query
+def text_uniformity(spark, folder):
+    """Uniformity of the concepts of the benchmark texts."""
+    items = tables.table(spark, folder, "benchmark")
+    sums = items.select(concepts.concept_sums(F.col("text")).alias("s"))
+    unit = sums.select(concepts.concept(F.col("s")).alias("vec"))
+    result = quality.uniformity(unit, rows_per_block=64)
     return result.select(r6(F.col("uniformity")).alias("uniformity"), "n_ordered_pairs")
 
 
@@ -526,16 +601,29 @@ def linear_probe(spark, folder):
     return result.select(r6(F.col("probe_acc")).alias("probe_acc"), "n_val")
 
 
+@query
+def least_squares_probe(spark, folder):
+    """The closed-form probe: one pass over the training rows, one against the rest."""
+    rows = tables.table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    sided = split.exact_split(rows, "vec_id", eval_ratio=0.2)
+    result = quality.least_squares_probe(
+        sided.where("side = 'train'"), sided.where("side = 'eval'"), vec_col="embedding"
+    )
+    return result.select(r6(F.col("probe_acc")).alias("probe_acc"), "n_val")
+
+
 @query
 def text_probe(spark, folder):
     """Document quality from frozen concepts; the train side is a head slice of the labels."""
     docs, labels = _docs(spark, folder), tables.table(spark, folder, "labels")
     head = labels.count() * 4 // 5
+    # The id at the cut, from a range sort of the ids alone.
+    ids = global_rank(labels.select("doc_id"), "doc_id")
     rows = tables.labelled_texts(docs, labels)
     vectors = rows.select(
         "doc_id", "label", concepts.concept_sums(F.col("text")).alias("s")
     ).withColumn("vec", concepts.concept(F.col("s")))
-    first = labels.orderBy("doc_id").limit(head).agg(F.max("doc_id")).first()[0]
+    first = ids.where(F.col("rank") == head - 1).first()["doc_id"]
     result = quality.linear_probe(
         vectors.where(F.col("doc_id") <= first), vectors.where(F.col("doc_id") > first)
     )
@@ -559,14 +647,14 @@ def similarity_stats(spark, folder):
 @query
 def batch_metrics(spark, folder):
     rows = quality.batch_metrics(_neighbours(spark, folder), "vec_id", BATCH)
-    names = [c for c in rows.columns if c not in ("batch_id", "n", "target_eff_rank")]
+    names = [c for c in rows.columns if c not in ("batch_id", "n")]
     return rows.select("batch_id", "n", *[r6(F.col(c)).alias(c) for c in names])
 
 
 @query
 def validation_metrics(spark, folder):
     rows = quality.batch_metrics(_neighbours(spark, folder), "vec_id", BATCH)
-    run = quality.running_metrics(rows).drop("target_eff_rank")
+    run = quality.running_metrics(rows)
     return run.select(*[r6(F.col(c)).alias(c) for c in run.columns[:-1]], "total_samples")
 
 
@@ -580,13 +668,13 @@ def collapse_flags(spark, folder):
 @query
 def diversity_by_label(spark, folder):
     rows = tables.table(spark, folder, "embeddings")
-    out = quality.diversity(rows, DIMS, "label", vec_col="embedding")
+    out = quality.diversity(rows, "label", vec_col="embedding")
     return out.select("label", "n", r6(F.col("diversity")).alias("diversity"))
 
 
 @query
 def target_std(spark, folder):
-    out = quality.mean_std(tables.table(spark, folder, "embeddings"), DIMS, vec_col="embedding")
+    out = quality.mean_std(tables.table(spark, folder, "embeddings"), vec_col="embedding")
     return out.select(r6(F.col("std_mean")).alias("std_mean"))
 
 
@@ -610,19 +698,26 @@ def similarity_histogram(spark, folder):
 
 @query
 def example_sampler(spark, folder):
-    """The first five pairs with their similarity, the context in lines of 100 characters."""
+    """The first five pairs with their similarity and norms, both sides in lines of 100 characters."""
     first = _pairs(spark, folder).orderBy(*PAIR).limit(5)
     rows = first.select(
         *PAIR,
         "context",
+        "target",
         concepts.concept_sums(F.col("context")).alias("a"),
         concepts.concept_sums(F.col("target")).alias("b"),
     )
-    return rows.select(
+    side = lambda name: F.struct(F.lit(name).alias("side"), tx.fixed_width(F.col(name), 100).alias("lines"))
+    rows = rows.select(
         *PAIR,
         r6(vec.cosine(F.col("a"), F.col("b"))).alias("similarity"),
         r6(vec.norm(F.col("a"))).alias("context_norm"),
-        F.posexplode(tx.fixed_width(F.col("context"), 100)).alias("line_no", "line"),
+        r6(vec.norm(F.col("b"))).alias("target_norm"),
+        F.explode(F.array(side("context"), side("target"))).alias("s"),
+    )
+    return rows.select(
+        *PAIR, "similarity", "context_norm", "target_norm", "s.side",
+        F.posexplode("s.lines").alias("line_no", "line"),
     )
 
 

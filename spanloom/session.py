@@ -9,20 +9,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(cores: int | str = "*", app: str = "spanloom", **conf: str) -> SparkSession:
-    """A local session with the settings the jobs are tuned for."""
+def build_session(cores: int | str | None = None, app: str = "spanloom", **conf: str) -> SparkSession:
+    """A session with the settings the jobs are tuned for.
+
+    The master is left to the cluster (or spark-submit); only with ``cores`` it is a local one.
+    ``spark.sql.shuffle.partitions`` is only set there: a cluster takes it from its size, and adaptive
+    execution joins what is too small.
+    """
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "16g")
+        builder = builder.config("spark.sql.shuffle.partitions", "8").config(INPUT_PARTS, "8")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
@@ -31,14 +36,16 @@ def build_session(cores: int | str = "*", app: str = "spanloom", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a session whose driver and executors are one process (``local`` or ``local[...]``) gets a
+    temporary folder without that setting.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="spanloom-")
     spark.sparkContext.setCheckpointDir(made)
@@ -56,18 +63,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
+# Session option: into how many parts a job deals its input, where the files have fewer splits than cores.
+INPUT_PARTS = "spark.spanloom.inputParts"
 
-    A large table already has far more splits than cores and is left alone, so no
-    shuffle is added there. Meant for plain scans, whose splits are known without a job.
-    """
-    if scan.isStreaming:
-        return scan
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal a scan out by the session's ``INPUT_PARTS``; unset (a large table), no row moves."""
+    parts = scan.sparkSession.conf.get(INPUT_PARTS, None)
+    if scan.isStreaming or not parts:
         return scan
-    return scan.repartition(cores, *keys)
+    return scan.repartition(int(parts), *keys)
 
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:

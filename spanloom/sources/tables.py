@@ -40,6 +40,15 @@ def query_texts(
     )
 
 
+def query_rows(rows: DataFrame, id_col: str, *, text_col: str = "text") -> DataFrame:
+    """A table of queries: stripped and non-blank, with their ids; none at all is an error."""
+    asked = rows.select(F.col(id_col).alias("query_id"), tx.strip(F.col(text_col)).alias("text"))
+    asked = asked.where("text <> ''")
+    if asked.isEmpty():
+        raise ValueError("give at least one non-blank query")
+    return asked
+
+
 def scored_pairs(
     pairs: DataFrame,
     *ids: str,
@@ -48,17 +57,13 @@ def scored_pairs(
 ) -> DataFrame:
     """Sentence pairs with a score from 0 to 5: five times the word overlap (Jaccard).
 
-    ``words`` names the word lists of both sides.
+    ``words`` names the word lists of both sides. The texts come along as ``sentence1`` and
+    ``sentence2`` if ``pairs`` has them; a job on scores alone need not build them.
     """
     a, b = (F.array_distinct(c) for c in words)
-    sized = pairs.select(
-        *ids,
-        *carry,
-        F.col("context").alias("sentence1"),
-        F.col("target").alias("sentence2"),
-        a.alias("a"),
-        b.alias("b"),
-    )
+    named = {"context": "sentence1", "target": "sentence2"}
+    texts = [F.col(c).alias(n) for c, n in named.items() if c in pairs.columns]
+    sized = pairs.select(*ids, *carry, *texts, a.alias("a"), b.alias("b"))
     sized = sized.withColumn("both", F.size(F.array_intersect("a", "b")))
     either = F.size("a") + F.size("b") - F.col("both")
     label = F.when(either > 0, F.col("both") * F.lit(5.0) / either).otherwise(F.lit(0.0))

@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,58 +7,6 @@ from spanloom.functions import text as tx
 from spanloom.operators import funnel, pairs, sentences
 from spanloom.sources import tables
 
-SEPARATORS = ["...", "\n", "!", "?", ";", ":", ".", ",", "\t", " "]
-
-
-def plain_pack(text, limit):
-    out, line = [], ""
-    for word in text.split():
-        if line and len(line) + 1 + len(word) > limit:
-            out.append(line)
-            line = word
-        else:
-            line = f"{line} {word}" if line else word
-    return out + ([line] if line else [])
-
-
-def plain_shorten(sentence, limit):
-    """The rule level by level: every separator in turn over all segments still too long."""
-    level = [sentence]
-    for sep in SEPARATORS:
-        following = []
-        for seg in level:
-            if len(seg) <= limit:
-                following.append(seg)
-                continue
-            parts = [p.strip() for p in seg.split(sep)]
-            parts = [p for p in parts if p]
-            following += plain_pack(seg, limit) if parts == [seg] else parts
-        level = following
-    return [p for seg in level for p in (plain_pack(seg, limit) if len(seg) > limit else [seg])]
-
-
-def plain_cut(text, limit):
-    tiles = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", text)
-    sents = [t.strip() for t in tiles if t.strip()]
-    if limit:
-        sents = [p for s in sents for p in (plain_shorten(s, limit) if len(s) > limit else [s])]
-    spans, cursor = [], 0
-    for s in sents:
-        at = text.find(s, cursor)
-        if at < 0:
-            continue
-        cursor = at + len(s)
-        spans.append((at, cursor))
-    return len(sents), spans
-
-
-def plain_pairs(text, spans, window):
-    return [
-        (text[spans[max(0, i - window)][0] : spans[i - 1][1]], text[spans[i][0] : spans[i][1]])
-        for i in range(1, len(spans))
-    ]
-
-
 def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
 
@@ -76,54 +23,86 @@ def test_words_and_lines_equal_python(spark):
     assert all(r.w == r.text.split() for r in rows)
 
 
+GOLDEN = [
+    ("short enough", 20, ["short enough"]),
+    ("one two three four", 9, ["one two", "three", "four"]),
+    # Without the first separator a segment is packed by words at once.
+    ("alpha! beta, gamma; delta", 12, ["alpha! beta,", "gamma; delta"]),
+    ("first line\nsecond line is longer", 15, ["first line", "second line is", "longer"]),
+    ("aa...bb...cc dd ee", 6, ["aa", "bb", "cc dd", "ee"]),
+    ("key: value, and more words: end", 14, ["key: value,", "and more", "words: end"]),
+    ("aa...b!c d e f", 5, ["aa", "b!c d", "e f"]),
+    ("aaa bbb... ccc\nddd...e", 8, ["aaa bbb", "ccc\nddd", "e"]),
+    ("aaa bbb... ccc\nddd eee...f", 8, ["aaa bbb", "ccc", "ddd eee", "f"]),
+    ("unbreakableword tail", 5, ["unbreakableword", "tail"]),
+    (", ,,; x y z", 4, [",", ",,;", "x y", "z"]),
+]
+
+
+@pytest.mark.parametrize("text, limit, pieces", GOLDEN)
+def test_shorten_golden_cases(text, limit, pieces):
+    assert sentences.shorten(text, limit) == pieces
+
+
 @pytest.mark.parametrize("limit", [5, 12, 40])
-def test_shorten_follows_the_level_rule(limit):
+def test_shorten_keeps_order_and_content(limit):
     rng = random.Random(limit)
+    bare = str.maketrans("", "", " .,;:!?\n\t")
     for _ in range(400):
         text = "".join(rng.choice("ab .,;:!?\n\t...  ") for _ in range(rng.randrange(1, 160))).strip()
-        if text:
-            assert sentences.shorten(text, limit) == plain_shorten(text, limit)
-            assert sentences.pack_words(text, limit) == plain_pack(text, limit)
+        pieces = sentences.shorten(text, limit)
+        assert all(len(p) <= limit or not p.split()[1:] for p in pieces)
+        assert "".join(pieces).translate(bare) == text.translate(bare)
+
+
+def test_pack_words_fills_up_to_the_limit():
+    assert sentences.pack_words("a bb ccc dddd eeeee", 6) == ["a bb", "ccc", "dddd", "eeeee"]
+    assert sentences.pack_words("a bb ccc dddd eeeee", 8) == ["a bb ccc", "dddd", "eeeee"]
+    assert sentences.pack_words("  ", 8) == []
 
 
 def test_long_word_stays_whole():
     assert sentences.shorten("x" * 300, 256) == ["x" * 300]
 
 
-@pytest.mark.parametrize("limit", [None, 256, 30])
-def test_pairs_equal_plain_python(spark, small, limit):
-    docs = tables.documents(spark, small)
-    made = (
-        pairs.split_pairs(docs, max_sentence_len=limit, min_length=50)
-        .orderBy("doc_id", "pair_idx")
-        .collect()
-    )
-    wanted = []
-    for row in docs.orderBy("doc_id").collect():
-        text = row.text.strip()
-        if len(text) < 50:
-            continue
-        n, spans = plain_cut(text, limit)
-        if n >= 2:
-            found = plain_pairs(text, spans, 8)
-            wanted += [(row.doc_id, i, c, t) for i, (c, t) in enumerate(found)]
-    assert [(r.doc_id, r.pair_idx, r.context, r.target) for r in made] == wanted
-
-
-def test_span_table_equals_plain_python_and_block_pairs(spark, small):
+def test_spans_search_forward():
+    assert sentences.find_spans("a b a b", ["a", "b", "c", "a"]) == [(0, 1), (2, 3), (4, 5)]
+
+
+LONG = "One two three four five six. Seven eight, nine ten eleven twelve! Thirteen."
+
+
+@pytest.mark.parametrize(
+    "text, limit, texts, starts",
+    [
+        (LONG, 20, ["One two three four", "five six.", "Seven eight, nine", "ten eleven twelve!", "Thirteen."],
+         [0, 19, 29, 47, 66]),
+        ("One two three four five... Six.", 10, ["One two", "three four", "five", "Six."], [0, 8, 19, 27]),
+        # The double blank is normalized, so the packed piece is not found.
+        ("Alpha beta  gamma delta epsilon. Short.", 20, ["delta epsilon.", "Short."], [18, 33]),
+    ],
+)
+def test_long_sentences_are_cut_and_located(spark, text, limit, texts, starts):
+    row = sentences.cut_sentences(
+        frame(spark, [text]), min_length=1, max_sentence_len=limit, spans=True
+    ).first()
+    assert (row.texts, row.starts) == (texts, starts)
+    ends = [*starts[1:], starts[-1] + len(texts[-1])]
+    assert row.units == [text[a:b] for a, b in zip(starts, ends, strict=True)]
+
+
+@pytest.mark.parametrize("options", [{}, {"max_sentence_len": 30}, {"max_sentence_len": None}, {"max_sentence_len": 60, "min_unique_chars": 9}])
+def test_pairs_and_spans_agree_with_the_text(spark, small, options):
     docs = tables.documents(spark, small)
-    cut = sentences.cut_sentences(docs, max_sentence_len=60, spans=True).cache()
-    table = sentences.sentence_table(cut)
-    got = {}
-    for r in table.orderBy("doc_id", "sent_idx").collect():
-        got.setdefault(r.doc_id, []).append((r.start_idx, r.end_idx))
-    for row in docs.collect():
-        text = row.text.strip()
-        n, spans = plain_cut(text, 60)
-        assert got.get(row.doc_id, []) == (spans if len(text) >= 100 and n >= 2 else [])
-    blocks = pairs.span_pairs(table, window_size=3, block_rows=7)
-    texts = cut.select("doc_id", "text")
-    sliced = blocks.join(texts, "doc_id").select(
+    cut = sentences.cut_sentences(docs, spans=True, **options).cache()
+    for r in cut.where("reason = 'processed'").collect():
+        assert all(r.text[a : a + len(t)] == t for a, t in zip(r.starts, r.texts, strict=True))
+        assert r.starts == sorted(r.starts)
+        assert all(len(set(t)) > options.get("min_unique_chars", 0) for t in r.texts)
+        whole = [r.text[a:b] for a, b in zip(r.starts, r.starts[1:], strict=False)]
+        assert r.units[:-1] == whole
+    blocks = pairs.span_pairs(sentences.sentence_table(cut), window_size=3, block_rows=7)
+    sliced = blocks.join(cut.select("doc_id", "text"), "doc_id").select(
         "doc_id",
         "pair_idx",
         F.expr("substring(text, context_start + 1, context_end - context_start)").alias("context"),
@@ -131,6 +110,15 @@ def test_span_table_equals_plain_python_and_block_pairs(spark, small):
     )
     inside = pairs.sentence_pairs(cut, window_size=3)
     assert sliced.exceptAll(inside).isEmpty() and inside.exceptAll(sliced).isEmpty()
+    assert not inside.isEmpty()
+
+
+def test_only_long_sentences_enter_the_arrow_step(spark, small):
+    cut = sentences.cut_sentences(tables.documents(spark, small), spans=True)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    plain = sentences.cut_sentences(tables.documents(spark, small), max_sentence_len=None, min_unique_chars=9)
+    assert "recut" not in plain._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_normalized_blanks_lose_their_sentences(spark):

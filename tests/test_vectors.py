@@ -23,7 +23,7 @@ def test_masked_mean_fixtures(spark):
         (2, 0, [5.0, 6.0]),
     ]
     hidden = spark.createDataFrame(rows, "seq int, mask int, vec array<float>")
-    got = {r.seq: r.vec for r in concepts.masked_mean(hidden, 2, "seq").collect()}
+    got = {r.seq: r.vec for r in concepts.masked_mean(hidden, "seq").collect()}
     assert got == {0: [2.0, 0.0], 1: [0.0, 1.5], 2: [0.0, 0.0]}
 
 
@@ -65,7 +65,7 @@ def test_pair_sums_equal_text_sums(spark, small):
 def test_pooled_concepts_from_a_token_table(spark):
     texts = spark.createDataFrame([(0, "a a b"), (1, "b"), (2, "zzz")], "id int, text string")
     table = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 8.0])], "token string, vec array<float>")
-    got = {r.id: r.vec for r in concepts.pooled_concepts(texts, table, 2, "id").collect()}
+    got = {r.id: r.vec for r in concepts.pooled_concepts(texts, table, "id").collect()}
     assert np.allclose(got[0], [0.6, 0.8]) and np.allclose(got[1], [0.0, 1.0]) and 2 not in got
 
 
@@ -164,10 +164,10 @@ def test_uniformity_in_blocks(spark):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
     near = np.exp(-2 * (2 - 2 * x @ x.T))[~np.eye(83, dtype=bool)]
     for rows_per_block in (10, 1000):
-        row = quality.uniformity(vectors(spark, x), "id", rows_per_block=rows_per_block).first()
+        row = quality.uniformity(vectors(spark, x), rows_per_block=rows_per_block).first()
         assert math.isclose(row.uniformity, math.log(near.mean()), rel_tol=1e-9)
         assert row.n_ordered_pairs == 83 * 82
-    alone = quality.uniformity(vectors(spark, x[:1]), "id").first()
+    alone = quality.uniformity(vectors(spark, x[:1])).first()
     assert math.isnan(alone.uniformity) and alone.n_ordered_pairs == 0
 
 
@@ -212,10 +212,10 @@ def test_batch_metrics_and_their_running_mean(spark):
     weights = np.array([8, 8, 8, 2])
     run = quality.running_metrics(got).first()
     assert np.allclose(list(run)[:-1], weights @ np.array(want) / 26) and run.total_samples == 26
-    closed = quality.diversity(df, 5).first()
+    closed = quality.diversity(df).first()
     off = (p @ p.T)[~np.eye(26, dtype=bool)].mean()
     assert math.isclose(closed.diversity, 1 - off, rel_tol=1e-9)
-    std = quality.mean_std(df, 5).first().std_mean
+    std = quality.mean_std(df).first().std_mean
     assert math.isclose(std, t.std(axis=0, ddof=1).mean(), rel_tol=1e-9)
     with pytest.raises(ValueError):
         quality.batch_metrics(df, "pos", 0)
