@@ -32,6 +32,7 @@ Q = 8
 EDIT_RATE = 0.1  # edits per byte of the item
 MIN_ITEM = 40
 BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20  # of text searched at once
 _TABLE_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = bytes(
@@ -225,7 +226,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) -> DataFra
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, size_bytes=SLICE_BYTES):
                     texts = [t or "" for t in part.column("text").to_pylist()]
                     plain = [plain_form(t) for t in texts]
                     rows = []
@@ -252,7 +253,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE) ->
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, size_bytes=SLICE_BYTES):
                     plain = [plain_form(t or "")[0] for t in part.column("text").to_pylist()]
                     hit = np.ones(part.num_rows, dtype=bool)
                     hit[[t for t, *_ in matches(index.value, plain)]] = False

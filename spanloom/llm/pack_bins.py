@@ -105,10 +105,12 @@ class Encoder:
         return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about SLICE_BYTES of text, at least one row each."""
+def slices(
+    batch: pa.RecordBatch, column: str = "text", size_bytes: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``size_bytes`` of text, at least one row each."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-    cut = np.flatnonzero(np.diff(np.cumsum(size) // SLICE_BYTES, prepend=0, append=-1))
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // size_bytes, prepend=0, append=-1))
     begin = 0
     for end in np.unique(np.append(cut, batch.num_rows)):
         if end > begin:

@@ -35,6 +35,7 @@ from spanloom.llm.graph import components
 from spanloom.llm.pack_bins import slices
 
 SEED = 42
+SLICE_BYTES = 1 << 20  # of text hashed at once
 SUBTREE = 1024  # fingerprints that a subtree holds on average
 BLOCK = 4096  # fingerprints of one node that a task takes
 PAIRS = 1 << 20  # node pairs walked at once
@@ -85,7 +86,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size_bytes=SLICE_BYTES):
                 hashes = [shingle_hashes(t, size) for t in part.column("text").to_pylist()]
                 sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
                 flat = np.fromiter((h for x in hashes for h in x), np.uint64, int(sizes.sum()))
