@@ -59,7 +59,7 @@ SITE_RULES = (
 PATTERN_RULES = (
     *(word_rule("block", w) for w in ("casino", "porn", "viagra", "xxx", "warez", "betting")),
     Rule("block", r"^[^/?#]*(?<![a-z0-9])spam-farm\.", ("spam", "farm")),
-    Rule("block", r"(?i)^[^?#]*\.(exe|apk|dmg)$", ()),
+    Rule("block", r"(?i)^[^?#]*\.(exe|apk|dmg)([?#]|$)", ()),
     Rule("allow", r"(?i)^[^/?#]*(?<![a-z0-9])anti-spam\.", ("anti", "spam")),
 )
 
