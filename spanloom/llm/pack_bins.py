@@ -20,6 +20,7 @@ pieces of their own. Other columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from spanloom.llm.common import columns, stored
 CAPACITY = 2048
 END_ID = 0
 SLICE_BYTES = 4 << 20
-MAX_CHUNKS = 400_000  # distinct chunks a worker remembers before it starts anew
+MAX_CHUNKS = 600_000  # distinct chunks a worker remembers; then it keeps those in use
 # A blank next to another blank (of any kind), or the marker that the vocabulary knows.
 _WHOLE = r"[ ][\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}][ ]|<\|endoftext\|>"
 PIECE_SCHEMA = (
@@ -44,6 +45,13 @@ PIECE_SCHEMA = (
 )
 
 
+def _spots(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places at, at + 1, ... of each run, end to end."""
+    upto = np.cumsum(size, dtype=np.int32)
+    n = int(upto[-1]) if len(upto) else 0
+    return np.arange(n, dtype=np.int32) + np.repeat(at - (upto - size), size)
+
+
 class Encoder:
     """Ids of texts, as flat arrays. Entry 0 is the end id; chunk ids lie in one pool."""
 
@@ -54,7 +62,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
+        self.known: dict[str, int] = {}
+        self.pool = np.array([END_ID], dtype=np.uint32)
+        self.at, self.size = np.zeros(1, np.int32), np.ones(1, np.int32)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -63,43 +73,53 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.array([END_ID], dtype=np.uint32)
-        self.at, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def _entries(self, chunks: list[str]) -> np.ndarray:
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+    def _keep(self, chunks: list[str]) -> None:
+        """Forget all chunks but these."""
+        old = np.fromiter((self.known[c] for c in chunks if c in self.known), np.int64)
+        names = [c for c in chunks if c in self.known]
+        size = self.size[old]
+        spots = _spots(self.at[old], size)
+        self.pool = np.append(self.pool[:1], self.pool[spots])
+        self.at = np.append(self.at[:1], 1 + np.cumsum(size, dtype=np.int32) - size)
+        self.size = np.append(self.size[:1], size)
+        self.known = dict(zip(names, range(1, len(names) + 1), strict=True))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode the chunks (all different) that were not met before."""
+        new = [c for c in chunks if c not in self.known]
+        if len(self.known) + len(new) > MAX_CHUNKS:
+            self._keep(chunks)
         if new:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+            size = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
             first = len(self.at)
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, flat])
-        return np.fromiter((known[c] for c in chunks), np.int64, len(chunks))
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            self.at = np.append(self.at, len(self.pool) + np.cumsum(size, dtype=np.int32) - size)
+            self.size = np.append(self.size, size)
+            self.pool = np.append(self.pool, flat)
+
+    def _entries(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int32, len(chunks))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the number of ids per text."""
-        if len(self.known) > MAX_CHUNKS:
-            self._clear()
         lists = pc.split_pattern(texts, " ")
         flat = lists.flatten().dictionary_encode()
-        starts = np.asarray(lists.offsets)[:-1] - int(lists.offsets[0].as_py())
-        codes = np.asarray(flat.indices).astype(np.int64)
+        starts = np.asarray(lists.offsets)[:-1].astype(np.int64) - int(lists.offsets[0].as_py())
+        codes = np.asarray(flat.indices)
         words = flat.dictionary.to_pylist()
-        entries = self._entries([" " + w for w in words])[codes]
-        entries[starts] = self._entries([words[c] for c in codes[starts]])
+        later = [" " + w for w in words]
+        first = [words[c] for c in codes[starts]]
+        self._learn([*later, *(w for w in dict.fromkeys(first) if w[:1] != " ")])
+        entries = self._entries(later)[codes]
+        entries[starts] = self._entries(first)
         ends = np.append(starts[1:], len(entries))
         entries = np.insert(entries, ends, 0)
-        size, at = self.size[entries], self.at[entries]
-        upto = np.cumsum(size)
-        spots = np.arange(int(upto[-1]), dtype=np.int64) + np.repeat(at - (upto - size), size)
-        last = ends + np.arange(len(ends))
-        return self.pool[spots], np.diff(upto[last], prepend=0)
+        size = self.size[entries]
+        ids = self.pool[_spots(self.at[entries], size)]
+        upto = np.cumsum(size, dtype=np.int64)
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
     def encode_whole(self, text: str) -> np.ndarray:
         return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
