@@ -158,12 +158,15 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     label = np.arange(n)
     for i, j in pairs:
         while True:
-            low = np.minimum(label[i], label[j])
-            if (low == label[i]).all() and (low == label[j]).all():
+            # Each label is a root here, and only roots are hooked: members of earlier batches follow theirs.
+            a, b = label[i], label[j]
+            apart = a != b
+            if not apart.any():
                 break
-            for x in (label[i], label[j], i, j):
-                np.minimum.at(label, x, low)
-            label = label[label]
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
     return label
 
 

@@ -104,3 +104,18 @@ def test_hot_node_is_cut_into_blocks(spark, monkeypatch):
         mine.setdefault(find(v), set()).add(v)
         theirs.setdefault(joined[v], set()).add(v)
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_forest_keeps_links_of_earlier_batches():
+    pairs = [(np.array([5, 5]), np.array([6, 7])), (np.array([4, 3]), np.array([6, 7]))]
+    assert simhash_trie._forest(8, iter(pairs)).tolist() == [0, 1, 2, 3, 3, 3, 3, 3]
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        n = 60
+        batches = [tuple(rng.integers(0, n, (2, rng.integers(1, 9)))) for _ in range(6)]
+        root = list(range(n))
+        for i, j in batches:
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+        assert simhash_trie._forest(n, iter(batches)).tolist() == root
