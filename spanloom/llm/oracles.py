@@ -137,5 +137,82 @@ FROM c GROUP BY conv_id
 """
 
 
+def op11_topk_threshold() -> str:
+    return """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+def op12_fill_middle() -> str:
+    draw = "('0x' || substr(h, {}, 8))::BIGINT"
+    return f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units FROM t),
+d AS (
+  SELECT *, len(units) AS n, {draw.format(1)} % (len(units) + 1) AS a, {draw.format(9)} % (len(units) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+           OR {draw.format(17)} % 100 >= 90 THEN 'plain'
+         WHEN {draw.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+  SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix,
+    array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+    array_to_string(units[greatest(a, b) + 1:], '') AS suffix FROM d)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_source_terms() -> str:
+    rate = "1 + (1000000000::HUGEINT * ({} + 1)) // ({} + {})"
+    return f"""
+WITH t AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM t),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(any_value(s.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM t)
+  LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) s USING (lang, source) GROUP BY ALL),
+r AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, {rate.format("coalesce(c.c, 0)", "g.n", "v.v")} AS p,
+    {rate.format("kept.total", "v.n", "v.v")} AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM r a JOIN r b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM r WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {f.__name__: f() for f in (op3_url_filter, op4_secret_scan, op6_quality_lines, op8_chat_format)}
+    found = (
+        op3_url_filter, op4_secret_scan, op6_quality_lines, op8_chat_format,
+        op11_topk_threshold, op12_fill_middle, op13_source_terms,
+    )
+    return {f.__name__: f() for f in found}

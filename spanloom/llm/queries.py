@@ -12,12 +12,15 @@ import public_tokenizers
 from spanloom.llm import (
     chat_trees,
     decontaminate,
+    fill_middle,
     lm_trie,
     pack_bins,
     quality_lines,
     secret_ledger,
     simhash_trie,
+    source_terms,
     suffix_dedup,
+    topk_threshold,
     toxicity_cnn,
     url_filter,
 )
@@ -106,9 +109,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op11_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_threshold.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op13_source_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_terms.divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_simhash_trie, op2_lm_score, op3_url_filter, op4_secret_scan, op5_toxicity,
     op6_quality_lines, op7_best_fit_pack, op8_chat_format, op9_decontaminate, op10_suffix_dedup,
+    op11_topk_threshold, op12_fill_middle, op13_source_terms,
 )
 
 
