@@ -10,8 +10,9 @@ Template: ``<|role|>text<|end|>`` per turn. ``&``, ``<`` and ``>`` inside roles
 
 Defined cases: a null role or text counts as empty; a null conversation id is a conversation of
 its own; turns with equal numbers (repeated rows too) follow in the order of role, then text, null
-turn numbers first; a reply to a node that is missing starts a path; nodes on a cycle have no leaf and
-give no path. An empty table gives no rows. Further columns are not read.
+turn numbers first; of rows with equal conversation and node the least stays; a reply to a node that is missing
+starts a path; nodes on a ring (of one node, too) are missing, so a leaf below a ring has the path up to the ring. An
+empty table gives no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from spanloom.llm.common import columns
 from spanloom.session import cut_lineage
 
 END = "<|end|>"
-MAX_ROUNDS = 40  # paths of up to 2**40 turns
 
 
 def escape(text: Column) -> Column:
@@ -54,34 +54,55 @@ def chain(turns: DataFrame) -> DataFrame:
     )
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(conv_id, leaf, node, up): each node above a leaf and its distance from it."""
-    edges = nodes.select("conv_id", "node", "parent")
-    known = edges.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
-    has_child = edges.select(F.col("conv_id").alias("c"), F.col("parent").alias("n")).distinct()
+def one_row_each(nodes: DataFrame) -> DataFrame:
+    """Of rows of one conversation and node the least by parent, role, text and score."""
+    fields = ("parent", "role", "text", "score")
+    least = nodes.groupBy("conv_id", "node").agg(F.min(F.struct(*fields)).alias("row"))
+    return least.select("conv_id", "node", *[F.col(f"row.{f}").alias(f) for f in fields])
 
-    def same(a: str, b: str) -> Column:
-        return F.col(f"a.{a}").eqNullSafe(F.col("b.c")) & (F.col(f"a.{b}") == F.col("b.n"))
 
-    leaves = edges.alias("a").join(has_child.alias("b"), same("conv_id", "node"), "left_anti")
-    walk = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up"))
-    hop = cut_lineage(
-        edges.alias("a").join(known.alias("b"), same("conv_id", "parent"), "left_semi")
-        .select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("parent").alias("to"))
+def _hops(edges: DataFrame, most: int) -> list[DataFrame]:
+    """Tables (c, n, to) of the nodes 1, 2, 4, ... above each node, until there are none or ``most`` is reached."""
+    known = edges.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
+    found = edges.alias("a").join(
+        known.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.c")) & (F.col("a.parent") == F.col("b.n")), "left_semi"
     )
-    step = 1
-    for _ in range(MAX_ROUNDS):
-        if hop.isEmpty():
-            break
-        higher = walk.alias("a").join(hop.alias("b"), same("conv_id", "node")).select(
-            "a.conv_id", "a.leaf", F.col("b.to").alias("node"), (F.col("a.up") + step).alias("up")
+    hops = [cut_lineage(found.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("parent").alias("to")))]
+    while 1 << (len(hops) - 1) < most and not hops[-1].isEmpty():
+        last = hops[-1]
+        further = last.alias("a").join(
+            last.alias("b"), F.col("a.c").eqNullSafe(F.col("b.c")) & (F.col("a.to") == F.col("b.n"))
         )
+        hops.append(cut_lineage(further.select("a.c", "a.n", "b.to")))
+    return hops
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(conv_id, leaf, node, up): each node above a leaf and its distance from it.
+
+    A way of as many steps as a conversation has nodes can only lead round a ring, and all nodes of the ring
+    are such ends. They are taken out, so what is left are trees and the rounds end by themselves.
+    """
+    edges = nodes.select("conv_id", "node", "parent")
+    most = edges.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    hops = _hops(edges, most)
+    if 1 << (len(hops) - 1) >= most and not hops[-1].isEmpty():
+        ring = hops[-1].select("c", F.col("to").alias("n")).distinct()
+        on_ring = F.col("a.conv_id").eqNullSafe(F.col("b.c")) & (F.col("a.node") == F.col("b.n"))
+        off = edges.alias("a").join(ring.alias("b"), on_ring, "left_anti")
+        hops = _hops(off, most)
+    else:
+        off = edges
+    has_child = edges.select(F.col("conv_id").alias("c"), F.col("parent").alias("n")).distinct()
+    leaves = off.alias("a").join(
+        has_child.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.c")) & (F.col("a.node") == F.col("b.n")), "left_anti"
+    )
+    walk = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up"))
+    for k, hop in enumerate(hops[:-1]):  # the last one is empty
+        higher = walk.alias("a").join(
+            hop.alias("b"), F.col("a.conv_id").eqNullSafe(F.col("b.c")) & (F.col("a.node") == F.col("b.n"))
+        ).select("a.conv_id", "a.leaf", F.col("b.to").alias("node"), (F.col("a.up") + (1 << k)).alias("up"))
         walk = cut_lineage(walk.unionByName(higher))
-        further = hop.alias("a").join(
-            hop.alias("b"), F.col("a.c").eqNullSafe(F.col("b.c")) & (F.col("a.to") == F.col("b.n"))
-        )
-        hop = cut_lineage(further.select("a.c", "a.n", "b.to"))
-        step *= 2
     return walk
 
 
@@ -91,6 +112,7 @@ def format_trees(nodes: DataFrame, best: int | None = None, trained_role: str =
     Returns conv_id, leaf, branch (rank from 1), formatted, and ``loss``: the (start, length)
     spans, in code points, of the text of the trained role.
     """
+    nodes = one_row_each(nodes)
     found = paths(nodes).alias("p")
     turns = found.join(
         nodes.alias("n"),

@@ -255,3 +255,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFr
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 3, max_bits: int = 3) -> DataFrame:
+    """Of each component of ``docs`` the row with the smallest doc_id (null last), the first of these if several have it.
+
+    Rows are told apart by a number of their own, so rows of equal or null ids are documents of their own."""
+    numbered = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    found = near_duplicates(numbered.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), size, max_bits)
+    named = found.select(F.col("doc_id").alias("row"), "component_id").join(numbered.select("row", "doc.doc_id"), "row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    return numbered.join(best.select("best.row"), "row", "left_semi").select("doc.*")

@@ -189,6 +189,21 @@ def test_branches_are_ranked(spark):
     assert chat_trees.format_trees(rows, best=1).count() == 1
 
 
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_leaf_below_a_ring(spark, size):
+    """The nodes of a ring are missing; the way of a leaf below ends before them."""
+    ring = [(1, i, i % size + 1, "user", f"ring{i}", 1.0) for i in range(1, size + 1)]
+    below = [(1, 10, 1, "user", "a", 1.0), (1, 11, 10, "assistant", "b", 1.0), (1, 12, 10, "assistant", "c", 2.0)]
+    tree = [(2, i, i - 1 if i else None, "user", f"t{i}", 1.0) for i in range(6)]
+    nodes = ring + below + tree + [(None, 1, 1, "user", "alone", 1.0), (None, 2, None, "user", "ok", 1.0)] + below[:1]
+    rows = spark.createDataFrame(nodes, "conv_id bigint, node bigint, parent bigint, role string, text string, score double")
+    walk = chat_trees.paths(chat_trees.one_row_each(rows))
+    assert walk.count() == 4 + 6 + 1
+    out = chat_trees.read_back(chat_trees.format_trees(rows)).collect()
+    said = sorted((str(r.conv_id), r.branch, [t.text for t in r.turns]) for r in out)
+    assert said == [("1", 1, ["a", "c"]), ("1", 2, ["a", "b"]), ("2", 1, [f"t{i}" for i in range(6)]), ("None", 1, ["ok"])]
+
+
 def test_long_threads_and_repeated_turns(spark):
     turns = [(5, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(100)] + [(6, 1, "user", "same")] * 3
     rows = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
