@@ -10,9 +10,8 @@ ranks of which length go where; each piece finds its place by its rank among the
 length. A rank is the count of that length in earlier scan tasks plus a running number inside the
 task, so no task ever holds all pieces of one length.
 
-Tokens: ``tokenizers`` ids. Text is cut at single blanks, where the byte-level rule always starts a
-new word, and each distinct chunk is encoded once per worker. Texts in which a blank touches
-another blank, or that hold the end marker, are encoded whole.
+Tokens: ``tokenizers`` ids. Text is cut at blanks between two non-blanks, where the byte-level rule always starts a
+new word, and each distinct chunk is encoded once per worker; a doubled blank stays inside its chunk.
 
 Defined cases: a null or empty text has only the end id. Repeated rows and ids are packed as
 pieces of their own. Other columns are not read. An empty table gives no rows.
@@ -22,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,9 +37,15 @@ from spanloom.llm.common import columns, stored
 CAPACITY = 2048
 END_ID = 0
 SLICE_BYTES = 4 << 20
+ENCODE_BYTES = 8 << 20  # of text encoded together
 MAX_CHUNKS = 600_000  # distinct chunks a worker remembers; then it keeps those in use
-# A blank next to another blank (of any kind), or the marker that the vocabulary knows.
-_WHOLE = r"[ ][\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}][ ]|<\|endoftext\|>"
+_JOINED = 4096  # chunks encoded as one text
+_DOUBLED = r"[ ][\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}][ ]"  # a blank next to a blank of any kind
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_ONE_BLANK = r"^ [^ ]+$"
+# The marker that the vocabulary knows, and how it writes the byte of a blank.
+END_TEXT = "<|endoftext|>"
+_BLANK_BYTE = "\u0120"
 PIECE_SCHEMA = (
     "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, cell int, spot bigint"
 )
@@ -53,7 +59,7 @@ def _spots(at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts, as flat arrays. Entry 0 is the end id; chunk ids lie in one pool."""
+    """Ids of texts, as flat arrays. Entry 0 is the end id; entry i + 1 is chunk i of ``names``, its ids lie in one pool."""
 
     _made: dict[str, Encoder] = {}
 
@@ -62,7 +68,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin with a blank
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(_BLANK_BYTE)]] = True
+        self.names = pa.array([], pa.string())
         self.pool = np.array([END_ID], dtype=np.uint32)
         self.at, self.size = np.zeros(1, np.int32), np.ones(1, np.int32)
 
@@ -73,47 +82,63 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _keep(self, chunks: list[str]) -> None:
+    def _keep(self, entries: np.ndarray) -> None:
         """Forget all chunks but these."""
-        old = np.fromiter((self.known[c] for c in chunks if c in self.known), np.int64)
-        names = [c for c in chunks if c in self.known]
-        size = self.size[old]
-        spots = _spots(self.at[old], size)
+        size = self.size[entries]
+        spots = _spots(self.at[entries], size)
+        self.names = self.names.take(pa.array(entries - 1))
         self.pool = np.append(self.pool[:1], self.pool[spots])
         self.at = np.append(self.at[:1], 1 + np.cumsum(size, dtype=np.int32) - size)
         self.size = np.append(self.size[:1], size)
-        self.known = dict(zip(names, range(1, len(names) + 1), strict=True))
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode the chunks (all different) that were not met before."""
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > MAX_CHUNKS:
-            self._keep(chunks)
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
-            first = len(self.at)
-            self.known.update(zip(new, range(first, first + len(new)), strict=True))
-            self.at = np.append(self.at, len(self.pool) + np.cumsum(size, dtype=np.int32) - size)
-            self.size = np.append(self.size, size)
-            self.pool = np.append(self.pool, flat)
-
-    def _entries(self, chunks: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int32, len(chunks))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with the end id after each text, and the number of ids per text."""
-        lists = pc.split_pattern(texts, " ")
+
+    def _ids_of_each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def _ids_of_joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks with one blank each, at the front: end to end they are encoded at once, and the ids that begin
+        with a blank show where each begins."""
+        joined = ["".join(chunks[i : i + _JOINED]) for i in range(0, len(chunks), _JOINED)]
+        flat, _ = self._ids_of_each(joined)
+        first = np.flatnonzero(self.opens[flat])
+        if len(first) != len(chunks):
+            return self._ids_of_each(chunks)
+        return flat, np.diff(first, append=len(flat)).astype(np.int32)
+
+    def _learn(self, chunks: pa.Array) -> None:
+        """Encode chunks (all different) that were not met before."""
+        single = np.asarray(pc.match_substring_regex(chunks, _ONE_BLANK)) & ~np.asarray(pc.match_substring(chunks, END_TEXT))
+        for part, encode in ((single, self._ids_of_joined), (~single, self._ids_of_each)):
+            if part.any():
+                names = chunks.filter(pa.array(part))
+                flat, size = encode(names.to_pylist())
+                self.names = pa.concat_arrays([self.names, names])
+                self.at = np.append(self.at, len(self.pool) + np.cumsum(size, dtype=np.int32) - size)
+                self.size = np.append(self.size, size)
+                self.pool = np.append(self.pool, flat)
+
+    def _entries(self, chunks: pa.Array) -> np.ndarray:
+        return np.asarray(pc.fill_null(pc.index_in(chunks, value_set=self.names), -1)) + 1
+
+    def encode(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts cut into chunks (lists of one or more): all ids with the end id after each text, and the number
+        of ids per text. The blank at the front of all chunks but the first of a text is left out."""
         flat = lists.flatten().dictionary_encode()
         starts = np.asarray(lists.offsets)[:-1].astype(np.int64) - int(lists.offsets[0].as_py())
         codes = np.asarray(flat.indices)
-        words = flat.dictionary.to_pylist()
-        later = [" " + w for w in words]
-        first = [words[c] for c in codes[starts]]
-        self._learn([*later, *(w for w in dict.fromkeys(first) if w[:1] != " ")])
-        entries = self._entries(later)[codes]
-        entries[starts] = self._entries(first)
+        used, spot = np.unique(codes[starts], return_inverse=True)
+        later = pc.binary_join_element_wise(pa.scalar(" "), flat.dictionary, "")
+        chunks = pa.concat_arrays([later, flat.dictionary.take(pa.array(used))])
+        found = self._entries(chunks)
+        new = chunks.filter(pa.array(found == 0)).unique()
+        if len(new):
+            if len(self.names) + len(new) > MAX_CHUNKS:
+                self._keep(np.unique(found[found > 0]))
+            self._learn(new)
+            found = self._entries(chunks)
+        entries = found[codes]
+        entries[starts] = found[len(later) :][spot]
         ends = np.append(starts[1:], len(entries))
         entries = np.insert(entries, ends, 0)
         size = self.size[entries]
@@ -121,8 +146,15 @@ class Encoder:
         upto = np.cumsum(size, dtype=np.int64)
         return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
-    def encode_whole(self, text: str) -> np.ndarray:
-        return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
+
+def chunk_lists(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
+    """Texts cut at each blank between two non-blanks: which texts, and their chunks."""
+    odd = np.asarray(pc.match_substring_regex(texts, _DOUBLED))
+    if not odd.all():
+        yield np.flatnonzero(~odd), pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    if odd.any():
+        cut = [_BETWEEN.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        yield np.flatnonzero(odd), pa.array(cut, pa.list_(pa.string()))
 
 
 def slices(
@@ -160,17 +192,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         cell = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size_bytes=ENCODE_BYTES):
                 texts = pc.fill_null(part.column("text"), "")
-                whole = np.asarray(pc.match_substring_regex(texts, _WHOLE))
                 doc_ids = np.array(part.column("doc_id").to_pylist(), dtype=object)
                 rows: list[tuple] = []
-                if not whole.all():
-                    ids, sizes = encoder.encode(texts.filter(pa.array(~whole)))
-                    rows.extend(_pieces_of(doc_ids[~whole], ids, sizes, capacity))
-                for i in np.flatnonzero(whole):
-                    ids = encoder.encode_whole(texts[int(i)].as_py())
-                    rows.extend(_pieces_of([doc_ids[i]], ids, np.array([len(ids)]), capacity))
+                for which, lists in chunk_lists(texts):
+                    ids, sizes = encoder.encode(lists)
+                    rows.extend(_pieces_of(doc_ids[which], ids, sizes, capacity))
                 spots = []
                 for row in rows:
                     spots.append(seen.get(row[3], 0))

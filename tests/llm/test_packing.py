@@ -77,3 +77,31 @@ def test_plan(seed):
     assert seen == Counter(lengths)
     assert max(content.values()) <= 200 and max(large.values()) <= 2
     assert len(content) <= best_fit(lengths, 200) + 2
+
+
+def test_full_memory_of_chunks(monkeypatch):
+    """With more distinct chunks than the encoder remembers, and with chunks it must tell apart one by one."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pack_bins, "MAX_CHUNKS", 60)
+    monkeypatch.setattr(pack_bins, "_JOINED", 7)
+    encoder, plain = pack_bins.Encoder(PATH), Tokenizer.from_file(PATH)
+    rows = [t or "" for _, t in texts()[:60] + MORE] + ["don't  stop 've  it'll", " a", "a ", "\n \n x y", "<|endoftext|> a  <|endoftext|>"]
+    for lo in range(0, len(rows), 9):
+        part = rows[lo : lo + 9]
+        seen = 0
+        for which, lists in pack_bins.chunk_lists(pa.array(part, pa.string())):
+            ids, sizes = encoder.encode(lists)
+            cut = np.split(ids, np.cumsum(sizes)[:-1])
+            for k, got in zip(which, cut, strict=True):
+                assert got.tolist() == [*plain.encode(part[k], add_special_tokens=False).ids, 0]
+                seen += 1
+        assert seen == len(part)
+    assert len(encoder.names) < 2000
+
+
+def test_doubled_blanks_stay_in_their_chunk():
+    import pyarrow as pa
+
+    (_, even), (_, odd) = pack_bins.chunk_lists(pa.array(["a b c", "a  b c\n d e "]))
+    assert even.to_pylist() == [["a", "b", "c"]] and odd.to_pylist() == [["a  b", "c\n d", "e "]]
