@@ -13,11 +13,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontaminate, near_copies, pack_bins, secret_ledger, toxicity_cnn
+from spanloom.llm import decontaminate, pack_bins, secret_ledger, simhash_trie, toxicity_cnn
 from spanloom.llm.common import stored, table
 
-# Only the tests' plain version of the near-duplicate stage, by fingerprints, reads this.
-NEAR_BITS = 7
+# Of the SimHash stage: words of a shingle, and the most differing bits of linked fingerprints.
+NEAR_WORDS = 3
+NEAR_BITS = 3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return near_copies.one_of_each(docs)
+    """Of each group of linked fingerprints the document with the smallest id stays."""
+    return simhash_trie.one_of_each(docs, NEAR_WORDS, NEAR_BITS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
