@@ -119,3 +119,24 @@ def test_forest_keeps_links_of_earlier_batches():
                 low, high = sorted((root[a], root[b]))
                 root = [low if r == high else r for r in root]
         assert simhash_trie._forest(n, iter(batches)).tolist() == root
+
+
+def test_one_row_of_each_component(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(words, 60)) for _ in range(8)]
+    near = [b.replace(b.split()[0], "other", 1) for b in base for _ in range(3)]
+    rows = [(i, t) for i, t in enumerate(base + near)]
+    rows += [(None, base[0]), (None, "alone and null"), (7, "equal id, other text here"), (None, None), (90, ""), (91, " ")]
+    prints = [plain_print(t) for _, t in rows]
+    roots = plain_components(prints, 3)
+    best = {}
+    for i, ((doc, _), p) in enumerate(zip(rows, prints, strict=True)):
+        best[roots[p]] = min(best.get(roots[p], (True, 0, i)), (doc is None, doc or 0, i))
+    docs = documents(spark, rows).coalesce(1)
+    kept = simhash_trie.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = sorted((str(rows[i][0]), str(rows[i][1])) for *_, i in best.values())
+    assert len(want) < len(rows)
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == want
+    assert simhash_trie.one_of_each(documents(spark, [])).count() == 0
