@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions import vectors as vec
 from spanloom.operators import concepts, gram, pairs, predictor, quality, retrieval
@@ -101,6 +102,26 @@ def test_nearest_equals_brute_force_both_ways(spark, limit, k):
         assert np.allclose([s for _, s in found[i]], [s for _, s in want[i]], atol=1e-12)
 
 
+def test_balls_spare_most_pairs(spark):
+    """In a corpus of groups a query meets its own group and little else, and the rows stay exact."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 16))
+    corpus = np.repeat(centres, 50, axis=0) + rng.normal(scale=0.05, size=(2000, 16))
+    queries = centres + rng.normal(scale=0.05, size=(40, 16))
+    q = vectors(spark, queries).withColumnRenamed("id", "query_id").withColumn("vec", F.col("vec").cast("array<float>"))
+    c = vectors(spark, corpus).withColumn("vec", F.col("vec").cast("array<float>"))
+    search = retrieval.BallSearch(c, ["id"], "vec", 100)
+    schema = "query_id bigint, id bigint, similarity double"
+    near = search.next_to(q)
+    first = search.best(near, ["query_id"], 5, T.StructType.fromDDL(schema))
+    more = search.within_reach(near, first, ["query_id"], 5)
+    met = sum(int(search.balls.size[r.ball]) for r in near.select("ball").collect() + more.select("ball").collect())
+    assert met < 0.2 * len(queries) * len(corpus)
+    got = retrieval.nearest(q, c, "id", k=5, max_broadcast_bytes=0, rows_per_block=100).collect()
+    want = brute_nearest(queries, corpus, 5)
+    assert {(r.query_id, r["rank"], r.id) for r in got} == {(i, n + 1, j) for i in want for n, (j, _) in enumerate(want[i])}
+
+
 def test_retrieve_text_takes_the_first_copy(spark):
     train = spark.createDataFrame(
         [(5, "x y", [1.0, 0.0]), (2, "x y", [1.0, 0.0]), (1, "z", [0.0, 1.0])],
