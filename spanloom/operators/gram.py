@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,25 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _row(total)
 
 
+def added_up(rows: DataFrame, measure: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of an array that ``measure`` makes of each batch (of one length, as few numbers as the
+    driver may hold). Each task sends one array, and the arrays are added in a second stage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = measure(batch)
+                total = part if total is None else total + part
+        return _row(total)
+
+    sums = rows.mapInArrow(run, "sums array<double>")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = sums.repartition(math.isqrt(tasks) + 1).mapInArrow(_added, "sums array<double>")
+    flat = sums.select(F.posexplode("sums").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x"))
+    return flat.orderBy("pos").toArrow()["x"].to_numpy()
+
+
 def gram(rows: DataFrame, *vec_cols: str) -> np.ndarray:
     """Z'Z for Z = [1, the given vectors end to end]; rows with a null vector are left out.
 

@@ -7,15 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import vectors as vec
 from spanloom.operators.blocks import block_count, matrix, pack
 from spanloom.operators.concepts import summed_vectors
-from spanloom.operators.gram import covariance, gram
+from spanloom.operators.gram import added_up, covariance, gram
 from spanloom.operators.ranking import global_rank
 from spanloom.session import cut_lineage
 
@@ -281,25 +279,69 @@ def histogram(rows: DataFrame, value: Column, low: float, high: float, bins: int
     return rows.groupBy(b).agg(F.count("*").alias("n"))
 
 
+NEWTON_CELLS = 1 << 22  # numbers that a round adds up at once; more classes go in several passes
+
+
+def _class_marks(rows: DataFrame, label: str, classes: list) -> Column:
+    return F.array(*[(F.col(label) == F.lit(c)).cast("double") for c in classes])
+
+
+def newton_weights(marked: DataFrame, vec_col: str, n_classes: int, ridge: float, rounds: int) -> np.ndarray:
+    """Weights (with the intercept first) of one logistic regression per class, by Newton's method.
+
+    A round is one pass over marked(vec_col, _marks): tasks add up the gradients and the weighted products of each
+    class, and the solves are dims by dims. ``ridge`` holds all weights but the intercept.
+    """
+    slim = cut_lineage(marked.select(F.col(vec_col).cast("array<double>").alias("x"), "_marks"))
+    first = slim.select(F.size("x").alias("n")).first()
+    if first is None or not n_classes:
+        return np.zeros((0, n_classes))
+    dims = first["n"] + 1
+    weights = np.zeros((dims, n_classes))
+    hold = np.eye(dims) * ridge
+    hold[0, 0] = 0.0
+    step = max(1, NEWTON_CELLS // (dims * (dims + 1)))
+    for _ in range(rounds):
+        for low in range(0, n_classes, step):
+            part = slice(low, min(n_classes, low + step))
+            sums = added_up(slim, _newton_sums(weights[:, part], part)).reshape(-1, dims, dims + 1)
+            for c, cells in zip(range(part.start, part.stop), sums, strict=True):
+                slope = cells[:, dims] - hold @ weights[:, c]
+                weights[:, c] += np.linalg.solve(cells[:, :dims] + hold, slope)
+    return weights
+
+
+def _newton_sums(weights: np.ndarray, part: slice):
+    """Per class of the part: the products of the rows, weighted by the spread of their chance, and the gradient."""
+
+    def measure(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.hstack([np.ones((batch.num_rows, 1)), matrix(batch.column(0))])
+        y = matrix(batch.column(1))[:, part]
+        with np.errstate(over="ignore"):
+            p = 1.0 / (1.0 + np.exp(-(x @ weights)))
+        cells = [np.column_stack([(x * (q * (1 - q))[:, None]).T @ x, x.T @ (m - q)]) for q, m in zip(p.T, y.T, strict=True)]
+        return np.stack(cells).ravel()
+
+    return measure
+
+
 def linear_probe(
     train: DataFrame,
     held_out: DataFrame,
     *,
     vec_col: str = "vec",
     label: str = "label",
-    max_iter: int = 30,
+    ridge: float = 1.0,
+    rounds: int = 6,
 ) -> DataFrame:
-    """Accuracy of a linear classifier on frozen vectors, fitted on ``train``."""
-    feature = lambda df: df.select(
-        array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"),
-        F.col(label).cast("double").alias("label"),
-    )
-    model = LogisticRegression(maxIter=max_iter, family="multinomial").fit(feature(train))
-    scored = model.transform(feature(held_out))
-    return scored.agg(
-        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("probe_acc"),
-        F.count("*").alias("n_val"),
-    )
+    """Accuracy of a logistic classifier on frozen vectors, one class against the rest, ties to the lowest.
+
+    The classes are few: their list and the weights go to every task.
+    """
+    classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
+    marked = train.withColumn("_marks", _class_marks(train, label, classes))
+    weights = newton_weights(marked, vec_col, len(classes), ridge, rounds)
+    return _accuracy(held_out, classes, weights, vec_col, label)
 
 
 def least_squares_probe(
@@ -311,12 +353,16 @@ def least_squares_probe(
     classes are few: their list and the weights go to every task.
     """
     classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
-    marks = F.array(*[(F.col(label) == F.lit(c)).cast("double") for c in classes])
-    z = gram(train.withColumn("_marks", marks), vec_col, "_marks")
+    z = gram(train.withColumn("_marks", _class_marks(train, label, classes)), vec_col, "_marks")
     dims = len(z) - len(classes)
     own = np.eye(dims) * ridge
     own[0, 0] = 0.0
     weights = np.linalg.solve(z[:dims, :dims] + own, z[:dims, dims:])
+    return _accuracy(held_out, classes, weights, vec_col, label)
+
+
+def _accuracy(held_out: DataFrame, classes: list, weights: np.ndarray, vec_col: str, label: str) -> DataFrame:
+    """Share of rows whose class has the highest score, ties to the lowest; without a class, none is right."""
 
     @F.arrow_udf("bigint")
     def choose(vectors: pa.Array) -> pa.Array:
@@ -326,6 +372,8 @@ def least_squares_probe(
         x = np.hstack([np.ones((n, 1)), matrix(vectors, n).astype(np.float64)])
         return pa.array((x @ weights).argmax(axis=1).astype(np.int64))
 
+    if not classes:
+        return held_out.agg(F.avg(F.lit(0.0)).alias("probe_acc"), F.count("*").alias("n_val"))
     named = F.array(*[F.lit(c) for c in classes])
     right = F.get(named, choose(vec_col).cast("int")) == F.col(label)
     return held_out.agg(F.avg(right.cast("double")).alias("probe_acc"), F.count("*").alias("n_val"))

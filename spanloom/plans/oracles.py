@@ -370,6 +370,48 @@ def _solved(name: str, source: str, n: int, k: int) -> str:
     select unnest(range({n * w})) as x, unnest(a) as v from {name}_steps where r = {n}) where x % {w} >= {n})"""
 
 
+def _solved_groups(name: str, source: str, n: int) -> str:
+    """Gauss-Jordan on source(g, a), per group n rows of a definite matrix and one right side: (g, i, v)."""
+    w = n + 1
+    return f"""{name}_steps as (
+  select g, 0 as r, a from {source}
+  union all
+  select g, r + 1, [case when x // {w} = r then a[x + 1] / a[r * {w} + r + 1]
+      else a[x + 1] - a[(x // {w}) * {w} + r + 1] / a[r * {w} + r + 1] * a[r * {w} + x % {w} + 1] end
+    for x in range({n * w})]
+  from {name}_steps where r < {n}),
+{name} as (select g, unnest(range({n})) as i, unnest([a[x * {w} + {w}] for x in range({n})]) as v from {name}_steps where r = {n})"""
+
+
+def _newton(n: int, rounds: int) -> str:
+    """Logistic regressions by Newton's method on xs(id, tr, d, x) and ys(id, g, y): the weights ``fit``(g, i, v).
+
+    The n-th right side of a round is the gradient; weights but that of the intercept (i = 0) are held by 1."""
+    parts = [f"fit0 as materialized (select g, i, 0.0::double as v from (select distinct g from ys), (select unnest(range({n})) as i))"]
+    for r in range(rounds):
+        parts += [
+            f"""chance{r} as materialized (
+  select id, g, 1 / (1 + exp(-sum(x * v))) as p from xs join fit{r} on i = d where tr group by all)""",
+            f"""sums{r} as materialized (
+  select g, a.d as i, b.d as j, sum(a.x * b.x * p * (1 - p)) as v
+  from chance{r} join xs a using (id) join xs b using (id) group by all
+  union all select g, d, {n}, sum(x * (y - p)) from chance{r} join ys using (id, g) join xs using (id) group by all)""",
+            f"""square{r} as (
+  select g, list(s.v + case when i = 0 then 0 when i = j then 1 when j = {n} then -f.v else 0 end order by i, j) as a
+  from sums{r} s join fit{r} f using (g, i) group by g)""",
+            _solved_groups(f"step{r}", f"square{r}", n),
+            f"fit{r + 1} as materialized (select g, i, f.v + s.v as v from fit{r} f join step{r} s using (g, i))",
+        ]
+    return ",\n".join([*parts, f"fit as (select * from fit{rounds})"])
+
+
+def _probe_score() -> str:
+    return f"""scores as (select id, g, sum(x * v) as s from xs join fit on i = d where not tr group by all),
+best as (select id, arg_max(g, (s, -g)) as g from scores group by id)
+select {r6("avg((k.label = s.label)::int)")} as probe_acc, count(*) as n_val
+from best join kinds k using (g) join sided s using (id)"""
+
+
 def _rank(values: str) -> str:
     """Exponential of the entropy of a list of singular values."""
     share = f"[v / list_sum({values}) for v in {values}]"
@@ -780,6 +822,29 @@ scores as (select vec_id, o, sum(x * v) as s from xs join w on w.i = xs.d where
 best as (select vec_id, arg_max(o, (s, -o)) as o from scores group by vec_id)
 select {r6("avg((k.label = s.label)::int)")} as probe_acc, count(*) as n_val
 from best join kinds k using (o) join sided s using (vec_id)"""
+    sql["linear_probe"] = f"""with recursive sided as (
+  select vec_id as id, label, embedding::double[] as e, position < floor((select count(*) from embeddings) * 0.8::double) as tr
+  from {hash_order("embeddings", "vec_id", 42)}),
+kinds as (select label, row_number() over (order by label) - 1 as g from (select distinct label from sided where tr)),
+xs as materialized (select id, tr, unnest(range(65)) as d, unnest([1.0::double] || e) as x from sided),
+ys as materialized (select id, g, (s.label = k.label)::int as y from sided s cross join kinds k where tr),
+{_newton(65, 6)},
+{_probe_score()}"""
+    sql["text_probe"] = f"""with recursive cut as (
+  select doc_id as last from labels order by doc_id limit 1 offset greatest((select count(*) from labels) * 4 // 5 - 1, 0)),
+labelled_docs as (
+  select doc_id, quality as label, coalesce(text, '') as t from documents join labels using (doc_id)),
+{sums("ds", "labelled_docs", "doc_id", "t")},
+lengths as (select doc_id, sqrt(sum(v * v)) as l from ds group by doc_id),
+sided as (select doc_id as id, label, doc_id <= (select last from cut) as tr from labelled_docs),
+kinds as (select label, row_number() over (order by label) - 1 as g from (select distinct label from sided where tr)),
+xs as materialized (
+  select id, tr, 0 as d, 1.0::double as x from sided
+  union all select id, tr, dims.dim + 1, coalesce(v / l, 0.0) from sided cross join (select unnest(range(64)) as dim) dims
+    left join ds on ds.doc_id = id and ds.dim = dims.dim left join lengths on lengths.doc_id = id),
+ys as materialized (select id, g, (s.label = k.label)::int as y from sided s cross join kinds k where tr),
+{_newton(65, 6)},
+{_probe_score()}"""
     unit = lambda name, source: f"""{name} as (select doc_id, pair_idx, dim, v / sqrt(sum(v * v) over (partition by doc_id, pair_idx)) as x
   from {source})"""
     sql["next_concept"] = "with recursive " + ",\n".join(

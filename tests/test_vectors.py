@@ -271,3 +271,41 @@ def test_histogram(spark):
     df = spark.createDataFrame([(-2.0,), (-1.0,), (0.0,), (0.99,), (1.0,)], "v double")
     got = {r.bin: r.n for r in quality.histogram(df, F.col("v"), -1.0, 1.0, 4).collect()}
     assert got == {0: 1, 1: 1, 3: 1, 4: 1, 5: 1}
+
+
+def plain_newton(x, y, n_classes, ridge, rounds):
+    z = np.hstack([np.ones((len(x), 1)), x])
+    hold = ridge * np.eye(z.shape[1])
+    hold[0, 0] = 0
+    out = np.zeros((z.shape[1], n_classes))
+    for c in range(n_classes):
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-z @ out[:, c]))
+            slope = z.T @ ((y == c) - p) - hold @ out[:, c]
+            out[:, c] += np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + hold, slope)
+    return out
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 1])
+def test_newton_weights(spark, monkeypatch, cells):
+    """Weights as of one machine, for all classes in one pass a round or a class in each; the slope ends at zero."""
+    monkeypatch.setattr(quality, "NEWTON_CELLS", cells)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 5)).astype(np.float32).astype(float)
+    y = (x[:, 0] + rng.normal(scale=0.5, size=300) > 0).astype(int) + (x[:, 1] > 1)
+    rows = [([float(v) for v in a], [float(b == c) for c in range(3)]) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "vec array<float>, _marks array<double>").repartition(7)
+    got = quality.newton_weights(df, "vec", 3, 1.0, 8)
+    assert np.allclose(got, plain_newton(x, y, 3, 1.0, 8), atol=1e-9)
+    z = np.hstack([np.ones((300, 1)), x])
+    p = 1 / (1 + np.exp(-z @ got))
+    slope = z.T @ (np.eye(3)[y] - p) - np.vstack([np.zeros((1, 3)), got[1:]])
+    assert np.abs(slope).max() < 1e-8
+
+
+def test_probe_without_rows(spark):
+    df = spark.createDataFrame([], "id bigint, vec array<float>, label int")
+    one = spark.createDataFrame([(1, [1.0, 2.0], 3)], "id bigint, vec array<float>, label int")
+    assert tuple(quality.linear_probe(df, df).first()) == (None, 0)
+    assert tuple(quality.linear_probe(df, one).first()) == (0.0, 1)
+    assert tuple(quality.linear_probe(one, one).first()) == (1.0, 1)
