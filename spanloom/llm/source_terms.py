@@ -34,8 +34,8 @@ LEVELS = (2, 4, 8)  # bytes of the prefixes
 MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
-SLICE_BYTES = 4 << 20
-SLICE_TERMS = 1 << 20
+SLICE_BYTES = 4 << 20  # of text cut at once
+TERM_BYTES = 16 << 20  # of the distinct terms of rows counted together
 _PAIRS = 1 << 20  # pairs of sources added up at once
 
 _KEPT = set(range(ord("a"), ord("z") + 1)) | set(range(0x80, 0x100))
@@ -77,7 +77,8 @@ def _long_text(text: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms, counts) per row of docs(text, lang, source)."""
+    """(lang, source, terms, counts) per row of docs(text, lang, source): its distinct terms with a blank between
+    them, and their counts as 4-byte numbers, so that a row has two plain cells and no lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,23 +94,25 @@ def document_terms(docs: DataFrame) -> DataFrame:
                 else:
                     data = b"".join(t.encode() for t in texts.to_pylist())
                     row, terms, count = _counted(_split(data, np.append(0, np.cumsum(size))))
-                ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), terms), " ")
+                packed = [None, pa.py_buffer(4 * ends), pa.py_buffer(count.astype("<u4"))]
                 cells = [pc.fill_null(part.column(c), "") for c in ("lang", "source")]
-                cells += [pa.ListArray.from_arrays(ends, terms.cast(pa.binary())), pa.ListArray.from_arrays(ends, pa.array(count, pa.int64()))]
+                cells += [joined, pa.Array.from_buffers(pa.binary(), part.num_rows, packed)]
                 yield pa.RecordBatch.from_arrays(cells, names=["lang", "source", "terms", "counts"])
 
-    return columns(docs, "text", "lang", "source").mapInArrow(run, "lang string, source string, terms array<binary>, counts array<bigint>")
+    return columns(docs, "text", "lang", "source").mapInArrow(run, "lang string, source string, terms string, counts binary")
 
 
-def _term_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of about ``SLICE_TERMS`` terms, at least one row each."""
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Slices of the rows, and per term of a slice its row and the term."""
     for batch in batches:
-        size = np.cumsum(np.asarray(pc.list_value_length(batch.column("terms"))).astype(np.int64))
-        begin = 0
-        for end in np.unique(np.append(np.flatnonzero(np.diff(size // SLICE_TERMS)) + 1, batch.num_rows)):
-            if end > begin:
-                yield batch.slice(begin, int(end) - begin)
-                begin = int(end)
+        for part in slices(batch, "terms", TERM_BYTES):
+            lists = pc.split_pattern(part.column("terms"), " ")
+            row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(lists)))
+            terms = lists.flatten()
+            named = np.asarray(pc.binary_length(terms)) > 0  # a row without terms has one empty part
+            yield part, row[named], terms.filter(pa.array(named)).cast(pa.binary())
 
 
 def _group_sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -122,14 +125,12 @@ def prefix_documents(found: DataFrame, size: int) -> DataFrame:
     """(lang, prefix, docs): per slice of rows, in how many of them a term begins with the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _term_slices(batches):
-            terms = part.column("terms")
-            row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(terms)))
-            short = pc.binary_slice(terms.flatten(), 0, size).dictionary_encode()
+        for part, row, terms in _unpacked(batches):
+            short = pc.binary_slice(terms, 0, size).dictionary_encode()
             n = max(1, len(short.dictionary))
             key = np.unique(row * n + np.asarray(short.indices))
             lang = part.column("lang").dictionary_encode()
-            key, (docs,) = _group_sums(np.asarray(lang.indices)[key // n].astype(np.int64) * n + key % n, np.ones(len(key), np.int64))
+            key, docs = np.unique(np.asarray(lang.indices)[key // n].astype(np.int64) * n + key % n, return_counts=True)
             cells = [lang.dictionary.take(pa.array(key // n)), short.dictionary.take(pa.array(key % n)), pa.array(docs)]
             yield pa.RecordBatch.from_arrays(cells, names=["lang", "prefix", "docs"])
 
@@ -137,23 +138,24 @@ def prefix_documents(found: DataFrame, size: int) -> DataFrame:
 
 
 def term_counts(found: DataFrame) -> DataFrame:
-    """(lang, source, term, count, docs): occurrences and documents, added up per slice of rows."""
+    """(lang, term, by): per slice of rows each term with the source, count and documents of its sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _term_slices(batches):
-            terms = part.column("terms")
-            row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(terms)))
-            coded = terms.flatten().dictionary_encode()
+        for part, row, terms in _unpacked(batches):
+            coded = terms.dictionary_encode()
             lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
-            n, m = max(1, len(coded.dictionary)), len(source.dictionary)
-            group = np.asarray(lang.indices).astype(np.int64) * m + np.asarray(source.indices)
-            count = np.asarray(part.column("counts").flatten()).astype(np.int64)
-            key, (total, docs) = _group_sums(group[row] * n + np.asarray(coded.indices), count, np.ones(len(row), np.int64))
-            cells = [lang.dictionary.take(pa.array(key // n // m)), source.dictionary.take(pa.array(key // n % m))]
-            cells += [coded.dictionary.take(pa.array(key % n)), pa.array(total), pa.array(docs)]
-            yield pa.RecordBatch.from_arrays(cells, names=["lang", "source", "term", "count", "docs"])
+            n, m = max(1, len(coded.dictionary)), max(1, len(source.dictionary))
+            count = np.frombuffer(b"".join(part.column("counts").to_pylist()), "<u4").astype(np.int64)
+            key = np.asarray(lang.indices)[row].astype(np.int64) * n + np.asarray(coded.indices)
+            key, (total, docs) = _group_sums(key * m + np.asarray(source.indices)[row], count, np.ones(len(row), np.int64))
+            term, first = np.unique(key // m, return_index=True)
+            cells = [source.dictionary.take(pa.array(key % m)), pa.array(total), pa.array(docs)]
+            entries = pa.StructArray.from_arrays(cells, names=["source", "count", "docs"])
+            by = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), entries)
+            cells = [lang.dictionary.take(pa.array(term // n)), coded.dictionary.take(pa.array(term % n)), by]
+            yield pa.RecordBatch.from_arrays(cells, names=["lang", "term", "by"])
 
-    return found.mapInArrow(run, "lang string, source string, term binary, count bigint, docs bigint")
+    return found.mapInArrow(run, "lang string, term binary, by array<struct<source: string, count: bigint, docs: bigint>>")
 
 
 def alive_prefixes(found: DataFrame, levels: tuple[int, ...], min_docs: int) -> DataFrame:
@@ -172,13 +174,15 @@ def alive_prefixes(found: DataFrame, levels: tuple[int, ...], min_docs: int) ->
 def _under(rows: DataFrame, name: str, alive: DataFrame, size: int) -> DataFrame:
     """The rows whose prefix of ``size`` bytes is alive; the prefix is kept as ``under``."""
     rows = rows.withColumn("under", F.substring(name, 1, size))
-    return rows.join(alive.withColumnRenamed("prefix", "under"), ["lang", "under"], "left_semi")
+    # The alive prefixes of a partition are few against the rows, which then need no sort.
+    return rows.join(alive.withColumnRenamed("prefix", "under").hint("shuffle_hash"), ["lang", "under"], "left_semi")
 
 
 def kept_terms(found: DataFrame, levels: tuple[int, ...] = LEVELS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, by): the terms of enough documents of their language, with (source, count) of each source."""
     rows = _under(term_counts(found), "term", alive_prefixes(found, levels, min_docs), levels[-1])
     # Rows lie by (lang, under) already, so both groupings keep their place.
+    rows = rows.select("lang", "under", "term", F.explode("by").alias("e")).select("lang", "under", "term", "e.*")
     by_source = rows.groupBy("lang", "under", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     by_term = by_source.groupBy("lang", "under", "term").agg(
         F.sum("docs").alias("docs"), F.sum("count").alias("total"), F.collect_list(F.struct("source", "count")).alias("by")

@@ -71,10 +71,8 @@ def test_empty(spark):
     check(spark, [(None, None, None)])
 
 
-def test_long_text_and_small_slices(spark, monkeypatch):
+def test_parts_of_a_long_text(monkeypatch):
     monkeypatch.setattr(st, "SLICE_BYTES", 200)
-    monkeypatch.setattr(st, "SLICE_TERMS", 20)
-    monkeypatch.setattr(st, "_PAIRS", 5)
     rng = random.Random(4)
     long = [(sentence(rng, 400) + "x" * 500, "en", "a"), ("y" * 700, "en", "b"), ("é" * 300 + " z", "en", "c")]
     parts = [r for t, *_ in long for r in [st._long_text((t or "").lower().encode())]]
