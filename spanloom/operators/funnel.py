@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
-from spanloom.operators.pairs import window_before
+from spanloom.operators.pairs import sentence_pairs, split_sentences, window_before
 from spanloom.operators.sentences import cut_sentences
 from spanloom.operators.tokens import sentence_tokens
+from spanloom.sources.sinks import write_pairs
 
 FRAME = 2  # a begin and an end token
 
@@ -60,27 +61,64 @@ def corpus_counts(
 
     ``max_tokens`` counts the begin and end tokens that frame a context.
     """
-    cut = cut_sentences(docs, id_col=id_col, **cut_options)
-    if max_tokens is not None:
-        counts = {f"{c}_counts": F.transform(f"{c}_tokens", F.size) for c in ("text", "unit")}
-        cut = sentence_tokens(cut).withColumns(counts)
-    made = F.greatest(F.coalesce(F.size("texts"), F.lit(0)) - 1, F.lit(0))
-    rejected = F.lit(0)
-    if max_tokens is not None:
-        rejected = _overlong_contexts(max_tokens, window_size)
-    rows = cut.select(
-        "reason",
-        "error",
-        hashing.is_val(F.col("text"), val_fraction).alias("is_val"),
-        made.alias("made"),
-        rejected.alias("rejected"),
+    cut = _sized(cut_sentences(docs, id_col=id_col, **cut_options), max_tokens)
+    is_val = hashing.is_val(F.col("text"), val_fraction)
+    return cut.select("reason", *_measures(is_val, max_tokens, window_size)).agg(*_counters())
+
+
+def write_counted_pairs(
+    docs: DataFrame,
+    path: str,
+    *,
+    val_fraction: float = 0.1,
+    max_tokens: int | None = None,
+    window_size: int = 8,
+    id_col: str = "doc_id",
+    **cut_options,
+) -> dict[str, int]:
+    """Write the pairs of a corpus and return its counters, both from one job: each text is read and cut once.
+
+    The counters ride along with the rows that become pairs; no row is shuffled, so no task adds to them twice but
+    one whose output was lost and made again.
+    """
+    cut = _sized(split_sentences(docs, val_fraction=val_fraction, id_col=id_col, **cut_options), max_tokens)
+    seen = Observation("funnel")
+    cut = cut.withColumns(dict(zip(_MEASURES, _measures(F.col("split") == "val", max_tokens, window_size), strict=True)))
+    lists = {"tokens": ("unit_tokens", "text_tokens")} if max_tokens else None
+    made = sentence_pairs(
+        cut.observe(seen, *_counters()), window_size=window_size, id_col=id_col, carry=("split",), lists=lists
     )
+    if max_tokens:
+        made = drop_overlong(made, max_tokens).drop("context_tokens", "target_tokens")
+    write_pairs(made, path)
+    return seen.get
+
+
+def _sized(cut: DataFrame, max_tokens: int | None) -> DataFrame:
+    """With the tokens of the sentences and their counts, where contexts have a limit."""
+    if max_tokens is None:
+        return cut
+    counts = {f"{c}_counts": F.transform(f"{c}_tokens", F.size) for c in ("text", "unit")}
+    return sentence_tokens(cut).withColumns(counts)
+
+
+_MEASURES = ("is_val", "made", "rejected")
+
+
+def _measures(is_val: Column, max_tokens: int | None, window_size: int) -> list[Column]:
+    """Of a document: its side, its pairs, and those over the limit."""
+    made = F.greatest(F.coalesce(F.size("texts"), F.lit(0)) - 1, F.lit(0))
+    rejected = F.lit(0) if max_tokens is None else _overlong_contexts(max_tokens, window_size)
+    return [c.alias(n) for n, c in zip(_MEASURES, (is_val, made, rejected), strict=True)]
+
+
+def _counters() -> list[Column]:
     kept = F.col("made") - F.col("rejected")
     done = F.col("reason") == "processed"
     count_if = lambda c: F.count_if(c).cast("bigint")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    return rows.agg(
-        F.count("*").alias("total_docs"),
+    return [
+        F.count(F.lit(1)).alias("total_docs"),
         count_if(done).alias("docs_processed"),
         count_if(F.col("reason") == "length").alias("docs_rejected_length"),
         count_if(F.col("reason") == "sentences").alias("docs_rejected_sentences"),
@@ -89,7 +127,7 @@ def corpus_counts(
         count_if(done & F.col("is_val")).alias("docs_val"),
         total(F.when(done & F.col("is_val"), kept)).alias("pairs_val"),
         count_if(F.col("reason") == "error").alias("docs_failed"),
-    )
+    ]
 
 
 def _overlong_contexts(max_tokens: int, window_size: int):

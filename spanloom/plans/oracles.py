@@ -464,6 +464,7 @@ def all_oracles() -> dict[str, str]:
         "where n_tokens + 2 <= 128"
     )
     sql["corpus_funnel"] = ALL_PAIRS + _funnel("sides", "128")
+    sql["counted_pairs"] = f"select *, context_target_pairs as pairs_written from ({sql['corpus_funnel']})"
     sql["corpus_funnel_limit"] = (
         ALL_PAIRS
         + """, last as (
@@ -517,6 +518,9 @@ from k"""
         "union all select doc_id, position + n, (position + n) % 7 from o, n where position < (7 - n % 7) % 7"
     )
     sql["stream_shuffle"] = "select doc_id, sha256('42|' || doc_id) as order_key from documents"
+    sql["buffered_shuffle"] = (
+        "select doc_id, (('0x' || substr(sha256('42|' || doc_id), 1, 8))::bigint % 4)::int as shard from documents"
+    )
 
     # tokens and batches
     sql["vocabulary"] = _with(VOCAB) + "select token, n, token_id from vocab"

@@ -28,6 +28,8 @@ from spanloom.operators.ranking import global_rank
 from spanloom.session import fresh_path
 from spanloom.sources import sinks, tables
 from spanloom.streaming import documents as stream
+from spanloom.streaming import shuffle
+from spanloom.streaming.shuffle import STATE_STORE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,6 +233,17 @@ def corpus_funnel(spark, folder):
     ).drop("docs_failed")
 
 
+@query
+def counted_pairs(spark, folder):
+    """The counters of the job that writes the pairs, and the pairs found in its table."""
+    path = fresh_path(spark, "pairs")
+    counts = funnel.write_counted_pairs(
+        _docs(spark, folder), path, val_fraction=VAL, max_sentence_len=None, max_tokens=MAX_TOKENS
+    )
+    named = [F.lit(n).cast("bigint").alias(c) for c, n in counts.items() if c != "docs_failed"]
+    return sinks.read_pairs(spark, path).agg(F.count(F.lit(1)).alias("pairs_written")).select(*named, "pairs_written")
+
+
 @query
 def corpus_funnel_limit(spark, folder):
     """The funnel up to the 500th accepted document."""
@@ -905,7 +918,7 @@ def stream_funnel(spark, folder):
     path = fresh_path(spark, "funnel")
     counts = stream.stream_funnel(stream.document_stream(spark, folder), max_sentence_len=None)
     stream.keep_latest(counts, path, fresh_path(spark, "state")).awaitTermination()
-    return spark.read.parquet(path)
+    return sinks.read_version(spark, path)
 
 
 @query
@@ -914,3 +927,19 @@ def stream_shuffle(spark, folder):
     docs = stream.document_stream(spark, folder).select("doc_id")
     stream.shuffle_batches(docs, path, fresh_path(spark, "state"), "doc_id").awaitTermination()
     return spark.read.parquet(path).select("doc_id", "order_key")
+
+
+@query
+def buffered_shuffle(spark, folder):
+    """All documents through a buffer of 300 rows a shard: each once, with its shard."""
+    path, idle_ms = fresh_path(spark, "buffered"), 500
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        docs = stream.document_stream(spark, folder).select("doc_id")
+        mixed = shuffle.buffered_shuffle(docs, "doc_id", size=300, shards=4, idle_ms=idle_ms)
+        started = shuffle.write_shuffled(mixed, path, fresh_path(spark, "state"))
+        shuffle.stop_when_drained(started, idle_ms)
+    finally:
+        spark.conf.unset(STATE_STORE[0]) if before is None else spark.conf.set(STATE_STORE[0], before)
+    return spark.read.parquet(path).select("doc_id", "shard")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,57 @@ def read_pairs(spark: SparkSession, path: str, split: str | None = None) -> Data
     return pairs if split is None else pairs.where(F.col("split") == split)
 
 
+# Fixed value: the file that names the current version of a table that is replaced as a whole.
+POINTER = "_latest"
+VERSIONS_KEPT = 2  # the current one, and the one that readers may still hold
+
+
+def write_version(rows: DataFrame, path: str, number: int) -> str:
+    """Write a new version of a small table beside the others; no reader sees it yet. Returns its name."""
+    name = f"version={number:012d}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{name}")
+    return name
+
+
+def commit_version(spark: SparkSession, path: str, name: str) -> None:
+    """Make a written version the current one, by a rename that replaces the pointer in one step.
+
+    A crash before it leaves the old version current, a crash after it the new one. Older versions go, so does
+    what an earlier crash left unnamed.
+    """
+    files, target = _file(spark, f"{path}/{POINTER}")
+    made = _path(spark, f"{path}/{POINTER}-{uuid.uuid4().hex}")
+    out = files.create(made)
+    out.write(bytearray(name, "utf-8"))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(made, target, overwrite)
+    found = sorted(s.getPath().getName() for s in files.listStatus(_path(spark, path)))
+    older = [n for n in found if n.startswith("version=") and n < name]
+    unnamed = [n for n in found if n.startswith(f"{POINTER}-")]
+    for gone in [*older[: 1 - VERSIONS_KEPT], *unnamed]:
+        files.delete(_path(spark, f"{path}/{gone}"), True)
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table written by ``commit_version``."""
+    files, target = _file(spark, f"{path}/{POINTER}")
+    name = spark._jvm.org.apache.commons.io.IOUtils.toString(files.open(target), "UTF-8")
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file(spark: SparkSession, path: str):
+    target = _path(spark, path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files, files.makeQualified(target)
+
+
 def format_log(rows: DataFrame, formats: dict[str, str] = LOG_FORMATS) -> DataFrame:
     return rows.select(
         *[F.format_string(f, F.col(f"`{c}`")).alias(c) for c, f in formats.items()]

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanloom.functions.hashing import order_key
 from spanloom.operators.pairs import split_pairs
 from spanloom.operators.sentences import cut_sentences
+from spanloom.sources import sinks
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string"
 
@@ -60,10 +61,17 @@ def append_to(rows: DataFrame, path: str, state: str, *partitions: str) -> Strea
 
 
 def keep_latest(rows: DataFrame, path: str, state: str) -> StreamingQuery:
-    """Replace a small result table with each new complete result."""
-    return _each_batch(
-        rows, state, "complete", lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    )
+    """Replace a small result table with each new complete result; ``sinks.read_version`` reads it.
+
+    A new result is written beside the old one and then named as the current one in one step, so a crash at any
+    time leaves a whole table.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        name = sinks.write_version(batch, path, number)
+        sinks.commit_version(batch.sparkSession, path, name)
+
+    return _each_batch(rows, state, "complete", write)
 
 
 def shuffle_batches(

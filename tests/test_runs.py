@@ -2,11 +2,13 @@ import math
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from spanloom.operators import pairs, sentences, telemetry
+from spanloom.operators import funnel, pairs, sentences, telemetry
 from spanloom.sources import sinks, tables
 from spanloom.streaming import documents as stream
+from spanloom.streaming import shuffle
 
 
 def test_momentum(spark):
@@ -127,9 +129,102 @@ def test_stream_funnel_and_shuffle(spark, small, tmp_path):
     counts = stream.stream_funnel(arriving)
     stream.keep_latest(counts, str(tmp_path / "out"), str(tmp_path / "s1")).awaitTermination()
     want = sentences.cut_sentences(docs).groupBy("reason").count()
-    got = spark.read.parquet(str(tmp_path / "out"))
+    got = sinks.read_version(spark, str(tmp_path / "out"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     shuffled = stream.shuffle_batches(arriving, str(tmp_path / "mix"), str(tmp_path / "s2"), "doc_id")
     shuffled.awaitTermination()
     mixed = spark.read.parquet(str(tmp_path / "mix"))
     assert mixed.select("batch").distinct().count() == 3 and mixed.count() == docs.count()
+
+
+def test_a_crash_between_write_and_commit_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    path, source = str(tmp_path / "out"), str(tmp_path / "in")
+    spark.createDataFrame([(i, "a sentence. " * 20) for i in range(5)], "doc_id bigint, text string").write.parquet(f"{source}/a")
+    arriving = stream.document_stream(spark, f"{source}/*", files="*.parquet")
+    counts = stream.stream_funnel(arriving)
+    stream.keep_latest(counts, path, str(tmp_path / "s")).awaitTermination()
+    assert [r.n for r in sinks.read_version(spark, path).collect()] == [5]
+    spark.createDataFrame([(9, "another one. " * 20)], "doc_id bigint, text string").write.parquet(f"{source}/b")
+
+    def crash(*_):
+        raise RuntimeError("between the two writes")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(sinks, "commit_version", crash)
+        failed = stream.keep_latest(counts, path, str(tmp_path / "s"))
+        with pytest.raises(StreamingQueryException):
+            failed.awaitTermination()
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("version=")]) == 2
+    assert [r.n for r in sinks.read_version(spark, path).collect()] == [5]
+    stream.keep_latest(counts, path, str(tmp_path / "s")).awaitTermination()
+    assert [r.n for r in sinks.read_version(spark, path).collect()] == [6]
+    for number in range(10, 14):
+        sinks.commit_version(spark, path, sinks.write_version(spark.range(number), path, number))
+    assert sinks.read_version(spark, path).count() == 13
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("version=")]) == sinks.VERSIONS_KEPT
+
+
+def test_shuffle_buffer_lives_across_batches(spark, tmp_path):
+    """Three batches and a second start: each row leaves once, rows of different batches mix, the buffer is bounded."""
+    spark.conf.set(*shuffle.STATE_STORE)
+    path, state, source = (str(tmp_path / n) for n in ("out", "state", "in"))
+
+    def arrive(number):
+        rows = spark.range(100 * number, 100 * number + 100).selectExpr("id as doc_id", "if(id % 7 = 0, null, cast(id as string)) as text")
+        rows.coalesce(1).write.parquet(f"{source}/batch{number}")
+
+    def run(idle_ms, drained):
+        arriving = stream.document_stream(spark, f"{source}/*", files="*.parquet", files_per_trigger=1)
+        arriving = arriving.withColumn("text", F.when(F.col("text") != "", F.col("text")))
+        mixed = shuffle.buffered_shuffle(arriving, "doc_id", size=30, shards=2, idle_ms=idle_ms)
+        query = shuffle.write_shuffled(mixed, path, state)
+        if drained:
+            shuffle.stop_when_drained(query, idle_ms)
+        else:
+            shuffle.stop_when_drained(query, 0)
+        return spark.read.parquet(path)
+
+    for number in range(2):
+        arrive(number)
+    first = run(3_600_000, drained=False).collect()
+    assert len(first) == 200 - 2 * 30  # the buffers are full, the rest has left
+    arrive(2)
+    run(500, drained=True)
+    # The timer of the first start is replaced by that of the new rows' shards.
+    rows = spark.read.parquet(path).orderBy("shard", "place").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(300))
+    assert all(r.text == (None if r.doc_id % 7 == 0 else str(r.doc_id)) for r in rows)
+    for shard in (0, 1):
+        batches = [r.doc_id // 100 for r in rows if r.shard == shard]
+        assert [r.place for r in rows if r.shard == shard] == list(range(len(batches)))
+        assert batches != sorted(batches)  # rows of a batch leave among those of later ones
+    with pytest.raises(TimeoutError):
+        shuffle.stop_when_drained(_Busy(), 10, timeout_s=0.3)
+
+
+class _Busy:
+    recentProgress, isActive = (), True
+
+    def stop(self):
+        pass
+
+
+def test_counters_come_with_the_pairs(spark, small, tmp_path):
+    """The counters equal those of a pass of their own, and each text is cut once."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    cut = spark.sparkContext.accumulator(0)
+
+    def lines(texts):
+        cut.add(len(texts))
+        return [t.split("\n") for t in texts]
+
+    options = {"val_fraction": 0.2, "splitter": lines, "max_tokens": 64}
+    want = funnel.corpus_counts(docs, **options).first().asDict()
+    once = cut.value
+    got = funnel.write_counted_pairs(docs, str(tmp_path / "pairs"), **options)
+    assert cut.value == 2 * once > 0
+    assert got == want
+    written = sinks.read_pairs(spark, str(tmp_path / "pairs"))
+    assert written.count() == want["context_target_pairs"] > want["pairs_val"] > 0
+    assert written.where("split = 'val'").count() == want["pairs_val"]
+    assert written.columns == pairs.split_pairs(docs).select("doc_id", "pair_idx", "context", "target", "split").columns
