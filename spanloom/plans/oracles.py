@@ -370,6 +370,25 @@ def _solved(name: str, source: str, n: int, k: int) -> str:
     select unnest(range({n * w})) as x, unnest(a) as v from {name}_steps where r = {n}) where x % {w} >= {n})"""
 
 
+def _merges(n: int) -> str:
+    """Byte-pair merges one by one over counted(token, n): best0, best1, ... (l, r, c) and the words after all, ``done``."""
+    parts = [
+        """words0 as materialized (
+  select token, n, ' ▁' || array_to_string(regexp_extract_all(token, '(?s).'), '  ') || ' ' as s from counted)"""
+    ]
+    for k in range(n):
+        parts += [
+            f"""best{k} as materialized (
+  select z[1] as l, z[2] as r, sum(n)::bigint as c from (
+    select n, unnest([[p[i], p[i + 1]] for i in range(1, len(p))]) as z
+    from (select n, string_split(trim(s), '  ') as p from words{k})) group by all order by c desc, l, r limit 1)""",
+            f"""words{k + 1} as materialized (
+  select token, n, coalesce(replace(s, ' ' || l || '  ' || r || ' ', ' ' || l || r || ' '), s) as s
+  from words{k} left join best{k} on true)""",
+        ]
+    return ",\n".join([*parts, f"done as (select token, s from words{n})"])
+
+
 def _solved_groups(name: str, source: str, n: int) -> str:
     """Gauss-Jordan on source(g, a), per group n rows of a definite matrix and one right side: (g, i, v)."""
     w = n + 1
@@ -524,6 +543,11 @@ from k"""
 
     # tokens and batches
     sql["vocabulary"] = _with(VOCAB) + "select token, n, token_id from vocab"
+    merged = _with(VOCAB, _merges(50))
+    sql["subword_vocabulary"] = merged + " union all ".join(
+        f"select {k}::int as rank, l as left, r as right, c as n from best{k}" for k in range(50)
+    )
+    sql["subword_pieces"] = merged + "select token, array_to_string(string_split(trim(s), '  '), ' ') as pieces from done"
     pair_ctes = (DOCS, SPLIT, CUT, SPANS, PAIRS, VOCAB)
     sql["token_batches"] = (
         _with(

@@ -20,6 +20,7 @@ from spanloom.operators import (
     retrieval,
     sentences,
     split,
+    subwords,
     telemetry,
     textgen,
     tokens,
@@ -313,6 +314,20 @@ def vocabulary(spark, folder):
     return tokens.vocabulary(_docs(spark, folder))
 
 
+@query
+def subword_vocabulary(spark, folder):
+    """The first 50 byte-pair merges of the words of all documents."""
+    return subwords.learn_merges(tokens.vocabulary(_docs(spark, folder)), 50)
+
+
+@query
+def subword_pieces(spark, folder):
+    """All words of the documents, cut by those merges."""
+    words = _stored(tokens.vocabulary(_docs(spark, folder)).select("token", "n"), "words")
+    pieces = subwords.word_pieces(words, subwords.learn_merges(words, 50))
+    return pieces.select("token", F.array_join("pieces", " ").alias("pieces"))
+
+
 def _encoded(spark, folder):
     """Targets as token ids."""
     vocab = tokens.vocabulary(_docs(spark, folder))
