@@ -80,10 +80,37 @@ def gram(rows: DataFrame, *vec_cols: str) -> np.ndarray:
     return cells[:, 1].reshape(side, side)
 
 
-def covariance(rows: DataFrame, vec_col: str) -> tuple[np.ndarray, int]:
-    """Sample covariance matrix and row count."""
-    z = gram(rows, vec_col)
-    if not z.size or z[0, 0] < 2:
-        return np.zeros((0, 0)), int(z[0, 0]) if z.size else 0
-    n, mean = z[0, 0], z[0, 1:] / z[0, 0]
-    return (z[1:, 1:] - n * np.outer(mean, mean)) / (n - 1), int(n)
+def _triangles(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    """The triangular factor of all rows of a task; ``first``: rows are vectors, else factors."""
+    r = None
+    for batch in batches:
+        x = matrix(batch.column(0)).astype(np.float64) if batch.num_rows else np.zeros((0, 0))
+        if not x.size:
+            continue
+        x = np.hstack([np.ones((len(x), 1)), x]) if first else x.reshape(-1, math.isqrt(x.shape[1]))
+        r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
+        if len(r) < r.shape[1]:
+            r = np.vstack([r, np.zeros((r.shape[1] - len(r), r.shape[1]))])
+    return _row(r)
+
+
+def centred_triangle(rows: DataFrame, vec_col: str) -> tuple[np.ndarray, int]:
+    """R with R'R = X'X for the centred vectors X, and their number.
+
+    Each task factors its rows, with a column of ones in front; the factors are put on top of each other and factored
+    again, in two more stages. The singular values of R are those of X: nothing is squared on the way. The
+    row and column of the ones take the mean out. Only one square of dimensions reaches the driver.
+    """
+    whole = rows.select(vec_col).dropna()
+    first = whole.select((F.size(vec_col) + 1).alias("n")).first()
+    if first is not None and first["n"] > MAX_DIMS:
+        raise ValueError(f"{first['n']} dimensions: the square does not fit the driver")
+    found = whole.mapInArrow(lambda it: _triangles(it, True), "sums array<double>")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for parts in (math.isqrt(tasks) + 1, 1):
+        found = found.repartition(parts).mapInArrow(lambda it: _triangles(it, False), "sums array<double>")
+    last = found.first()
+    if last is None:
+        return np.zeros((0, 0)), 0
+    r = np.array(last["sums"]).reshape(math.isqrt(len(last["sums"])), -1)
+    return r[1:, 1:], round(r[0, 0] ** 2)

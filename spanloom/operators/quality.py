@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import vectors as vec
 from spanloom.operators.blocks import block_count, matrix, pack
 from spanloom.operators.concepts import summed_vectors
-from spanloom.operators.gram import added_up, covariance, gram
+from spanloom.operators.gram import added_up, centred_triangle, gram
 from spanloom.operators.ranking import global_rank
 from spanloom.session import cut_lineage
 
@@ -169,17 +169,15 @@ def rank_from_singular(values: np.ndarray, floor: float = 1e-10) -> float:
 def spread_measures(rows: DataFrame, vec_col: str = "target") -> DataFrame:
     """Effective rank and off-diagonal covariance of the whole table.
 
-    Both come from one covariance matrix; its eigenvalues are the squared singular values
-    up to a factor that the rank does not see.
+    Both come from one triangular factor of the centred vectors: its singular values are theirs, so small ones
+    keep their digits down to the floor of the rank.
     """
-    cov, n = covariance(rows, vec_col)
+    r, n = centred_triangle(rows, vec_col)
     rank = off = 0.0
     if n >= 2:
-        own = np.linalg.eigvalsh(cov)
-        # A square root of rounding noise is not a singular value.
-        noise = max(own.max(), 0.0) * len(own) * np.finfo(float).eps
-        rank = rank_from_singular(np.sqrt(np.where(own > noise, own, 0.0) * (n - 1)))
-        off = float(np.abs(cov).sum() - np.abs(np.diag(cov)).sum())
+        rank = rank_from_singular(np.linalg.svd(r, compute_uv=False))
+        cov = np.abs(r.T @ r) / (n - 1)
+        off = float(cov.sum() - np.trace(cov))
     return rows.sparkSession.createDataFrame(
         [(rank, off, n)], "effective_rank double, off_diag_cov_l1 double, n bigint"
     )

@@ -309,3 +309,25 @@ def test_probe_without_rows(spark):
     assert tuple(quality.linear_probe(df, df).first()) == (None, 0)
     assert tuple(quality.linear_probe(df, one).first()) == (0.0, 1)
     assert tuple(quality.linear_probe(one, one).first()) == (1.0, 1)
+
+
+def test_rank_of_dependent_columns(spark):
+    """Singular values of a table of less than full rank, next to very small ones that a square would lose."""
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(500, 4))
+    x = np.hstack([base, base @ rng.normal(size=(4, 3)), 1e-9 * rng.normal(size=(500, 1)), np.full((500, 1), 7.0)])
+    rows = [([float(v) for v in a],) for a in x] + [(None,)]
+    df = spark.createDataFrame(rows, "target array<double>").repartition(9)
+    r, n = gram.centred_triangle(df, "target")
+    want = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)
+    assert n == 500 and np.allclose(np.linalg.svd(r, compute_uv=False), want, rtol=1e-9, atol=1e-12)
+    kept = want[want > 1e-10]
+    assert len(kept) == 5 and kept.min() < 1e-7
+    row = quality.spread_measures(df).first()
+    assert math.isclose(row.effective_rank, quality.rank_from_singular(want), rel_tol=1e-9)
+    cov = np.abs(np.cov(x.T))
+    assert math.isclose(row.off_diag_cov_l1, cov.sum() - np.trace(cov), rel_tol=1e-9)
+    few = spark.createDataFrame([([1.0, 2.0, 3.0],), ([2.0, 2.0, 5.0],)], "target array<double>")
+    assert tuple(quality.spread_measures(few.limit(1)).first()) == (0.0, 0.0, 1)
+    assert math.isclose(quality.spread_measures(few).first().effective_rank, 1.0, rel_tol=1e-9)
+    assert tuple(quality.spread_measures(few.limit(0)).first()) == (0.0, 0.0, 0)
