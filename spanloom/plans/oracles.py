@@ -370,6 +370,44 @@ def _solved(name: str, source: str, n: int, k: int) -> str:
     select unnest(range({n * w})) as x, unnest(a) as v from {name}_steps where r = {n}) where x % {w} >= {n})"""
 
 
+def _boundaries() -> str:
+    """Learned abbreviations ``abbr``, sentence starters ``starter`` and collocations ``colloc`` of all texts."""
+    word = r"(?:\p{L}+\.)*\p{L}+(?:''\p{L}+)*\.?"
+    clip = "least(greatest({}, 1e-12), 1 - 1e-12)"
+    like = lambda k, n, p: f"({k} * ln({clip.format(p)}) + ({n} - {k}) * ln(1 - {clip.format(p)}))"
+
+    def ratio(k1: str, n1: str, k2: str, n2: str) -> str:
+        one = f"(({k1} + {k2}) / ({n1} + {n2}))"
+        return (
+            f"2 * ({like(k1, n1, f'{k1} / {n1}')} + {like(k2, n2, f'{k2} / {n2}')} "
+            f"- {like(k1, n1, one)} - {like(k2, n2, one)})"
+        )
+
+    out = "(t.n - b.n)"
+    return f"""wordlists as (select regexp_extract_all(lower(coalesce(text, '')), '{word}') as w from documents),
+near as (
+  select rtrim(e[1], '.') as word, e[1] like '%.' as dotted, rtrim(e[2], '.') as next, count(*)::double as n
+  from (select unnest([[w[i], w[i + 1]] for i in range(1, len(w) + 1)]) as e from wordlists) group by all),
+words as (select word, coalesce(sum(n) filter (dotted), 0) as dots, sum(n) as n from near group by word),
+t as (select sum(n) as n, sum(dots) as dots from words),
+abbr as (
+  select word from (
+    select word, length(replace(word, '.', '')) as size, 2 * ({like("w.dots", "w.n", "0.99")}
+      - {like("w.dots", "w.n", "t.dots / t.n")}) as gain, w.n - w.dots as bare from words w, t where w.dots > 0)
+  where gain * exp(-size) * (length(word) - size + 1) * pow(size::double, -bare) >= 0.3),
+ends as (select next as word, sum(n) as k from near where dotted and next is not null and word not in (from abbr) group by next),
+b as (select coalesce(sum(k), 0) as n from ends),
+starter as (
+  select word from (select word, k, w.n from ends join words w using (word)) x, t, b
+  where k / b.n > (x.n - k) / {out} and {ratio("k", "b.n", "(x.n - k)", out)} >= 30),
+colloc as (
+  select word, next from (
+    select a.word, a.next, a.n as k, w.dots as d, v.n as n
+    from near a join words w on w.word = a.word join words v on v.word = a.next
+    where a.dotted and a.word in (from abbr)) x, t
+  where k / d > (x.n - k) / (t.n - d) and {ratio("k", "d", "(x.n - k)", "(t.n - d)")} >= 7.88)"""
+
+
 def _merges(n: int) -> str:
     """Byte-pair merges one by one over counted(token, n): best0, best1, ... (l, r, c) and the words after all, ``done``."""
     parts = [
@@ -755,6 +793,32 @@ from sims join labelled using (doc_id, pair_idx) where label > 4.0"""
         f"select {r6('ln(avg(exp(-2.0 * (2.0 - 2.0 * coalesce(dot, 0)))))')} as uniformity, count(*) as n_ordered_pairs "
         "from every left join dots using (i, j)"
     )
+    sql["sentence_starters"] = "with " + _boundaries() + " select word from starter"
+    word = r"(?:\p{L}+\.)*\p{L}+(?:''\p{L}+)*\.?"
+    sql["learned_sentences"] = _with(DOCS, CUT, _boundaries()) + rf"""select doc_id, (g - 1)::bigint as sent_idx, min(start_idx) as start_idx, max(end_idx) as end_idx
+from (
+  select *, sum(case when a.word is not null and (s.word is null or c.word is not null) then 0 else 1 end)
+    over (partition by doc_id order by run) as g
+  from (
+    select *, lag(case when l like '%.' then rtrim(l, '.') end) over (partition by doc_id order by run) as prev
+    from (
+      select doc_id, run, min(start_idx) as start_idx, max(end_idx) as end_idx, rtrim(arg_min(head, sent_idx), '.') as first,
+        coalesce(string_agg(tail, '' order by sent_idx) filter (sent_idx >= coalesce(edge, -1)), '') as l
+      from (
+        select *, max(sent_idx) filter (not whole) over (partition by doc_id, run) as edge
+        from (
+          select *, sum(case when opens and stop and gap = 0 then 0 else 1 end) over (partition by doc_id order by sent_idx) as run
+          from (
+            select *, lag(stops) over w as stop, start_idx - lag(end_idx) over w as gap
+            from (
+              select doc_id, sent_idx, start_idx, end_idx, regexp_extract(lower(text), '({word})[^\p{{L}}]*$', 1) as tail,
+                regexp_extract(lower(text), '{word}') as head, regexp_matches(lower(text), '^\p{{L}}') as opens,
+                regexp_matches(lower(text), '\p{{L}}\.$') as stops, regexp_matches(lower(text), '^{word}$') as whole
+              from sents) window w as (partition by doc_id order by sent_idx))))
+      group by doc_id, run)) x
+  left join abbr a on a.word = prev left join starter s on s.word = first
+  left join colloc c on c.word = prev and c.next = first)
+group by doc_id, g"""
     sql["labelled_head"] = """select doc_id, quality as label, length(coalesce(text, '')) as n_chars
 from (select * from labels order by doc_id limit 5000) join documents using (doc_id)"""
     sql["similarity_stats"] = _with(NEIGHBOURS) + (

@@ -11,6 +11,7 @@ from spanloom.functions import hashing
 from spanloom.functions import text as tx
 from spanloom.functions import vectors as vec
 from spanloom.operators import (
+    boundaries,
     concepts,
     funnel,
     logits,
@@ -100,6 +101,18 @@ def _sentences(spark, folder):
     return sentences.sentence_table(cut)
 
 
+@query
+def learned_sentences(spark, folder):
+    """Sentence spans with the ends that the corpus itself teaches."""
+    return boundaries.Boundaries(_docs(spark, folder)).joined(_sentences(spark, folder))
+
+
+@query
+def sentence_starters(spark, folder):
+    """The learned words that begin sentences."""
+    return boundaries.Boundaries(_docs(spark, folder)).starters
+
+
 def _neighbours(spark, folder):
     """Each vector as the prediction of the one with the next id."""
     rows = tables.table(spark, folder, "embeddings")
