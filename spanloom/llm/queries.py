@@ -106,7 +106,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+    return cut.withColumn("flagged", F.col("n_removed") > 0)
 
 
 def op11_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
