@@ -10,13 +10,19 @@ are taken in blocks of at most ``BLOCK_BYTES`` bytes, so what a task receives is
 scans the documents. Only ids and places of matches leave a task.
 
 Texts are compared in a plain form: A-Z lower-cased, runs of other ASCII than letters and digits as
-one blank, everything else as it is. Defined cases: a null or empty text or item matches nothing; items of
-fewer than ``MIN_ITEM`` plain bytes are no evidence of leakage and are not searched; repeated rows get their
-matches each; two items with equal text both match. Further columns are not read.
+one blank, everything else as it is. Items of fewer than ``SHORT`` plain bytes have no edits to give and too few
+q-grams to filter by: they match where their words stand as they are, by a hash of the bytes between two word borders
+and a comparison. A text longer than ``WINDOW`` is searched in parts that overlap by the longest item and its edits,
+and the places that share q-grams with items are laid out for ``PIECE`` of them at a time.
+
+Defined cases: a null text or item, and one without letters or digits, matches nothing; an item of one word matches
+each document with that word, so what such an item is worth is for its table to say; repeated rows get their matches
+each; two items with equal text both match. Further columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,11 +36,14 @@ from spanloom.llm.pack_bins import slices
 
 Q = 8
 EDIT_RATE = 0.1  # edits per byte of the item
-MIN_ITEM = 40
+SHORT = 40  # plain bytes; shorter items match word by word
 BLOCK_BYTES = 8 << 20
-SLICE_BYTES = 1 << 20  # of text searched at once
+SLICE_BYTES = 1 << 20  # of text taken from a batch at once
+WINDOW = 4 << 20  # bytes of a text searched at once, or four times the longest item
+PIECE = 4 << 20  # pairs of a place in a text and a place in an item laid out at once
 _TABLE_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 _PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256)
 )
@@ -70,7 +79,7 @@ def budget_of(length: int, rate: float) -> int:
 
 @dataclass
 class Index:
-    """The q-grams of a block of items; ``rate`` as given."""
+    """A block of items: the q-grams of the long ones, the hashes of the short ones by length."""
 
     ids: np.ndarray
     items: list[bytes]
@@ -80,23 +89,54 @@ class Index:
     owner: np.ndarray
     place: np.ndarray
     table: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # length: sorted hashes, items
+    reach: int  # bytes of the longest passage that can match
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], rate: float) -> Index:
         plain = [(i, plain_form(t)[0]) for i, t in rows]
-        plain = [(i, t) for i, t in plain if len(t) >= MIN_ITEM]
-        grams = [q_grams(np.frombuffer(t, np.uint8)) for _, t in plain]
+        plain = [(i, t) for i, t in plain if t]
+        grams = [q_grams(np.frombuffer(t, np.uint8)) if len(t) >= SHORT else np.zeros(0, np.uint64) for _, t in plain]
         sizes = [len(g) for g in grams]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(plain)), sizes)
         place = np.concatenate([np.arange(n) for n in sizes]) if grams else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        budgets = np.array([budget_of(len(t), rate) for _, t in plain], dtype=np.int64)
+        budgets = np.array([budget_of(len(t), rate) if len(t) >= SHORT else 0 for _, t in plain], dtype=np.int64)
         least = np.array([len(t) - Q + 1 for _, t in plain], dtype=np.int64) - Q * budgets
         table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         table[_slot(flat)] = True
         ids = np.array([i for i, _ in plain], dtype=np.int64)
-        return cls(ids, [t for _, t in plain], budgets, least, flat[order], owner[order], place[order], table)
+        lengths = np.array([len(t) for _, t in plain], dtype=np.int64)
+        short = {}
+        for length in np.unique(lengths[lengths < SHORT]).tolist():
+            own = np.flatnonzero(lengths == length)
+            joined = np.frombuffer(b"".join(plain[i][1] for i in own), np.uint8)
+            hashes = _part_hashes(joined, np.arange(len(own)) * length, length)
+            by_hash = np.argsort(hashes, kind="stable")
+            short[length] = hashes[by_hash], own[by_hash]
+        reach = int((lengths + budgets).max(initial=0)) + 1
+        return cls(
+            ids, [t for _, t in plain], budgets, least, flat[order], owner[order], place[order], table, short, reach
+        )
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of bytes times powers before each place, and the inverse power of each place (modulo 2^64)."""
+    powers = np.full(len(data), _BASE, np.uint64)
+    powers[:1] = 1
+    np.multiply.accumulate(powers, out=powers)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * powers, out=sums[1:])
+    back = np.full(len(data), pow(_BASE, -1, 1 << 64), np.uint64)
+    back[:1] = 1
+    return sums, np.multiply.accumulate(back, out=back)
+
+
+def _part_hashes(data: np.ndarray, starts: np.ndarray, length: int, sums: tuple | None = None) -> np.ndarray:
+    """A hash of the ``length`` bytes from each start."""
+    total, back = sums or _sums(data)
+    return (total[starts + length] - total[starts]) * back[starts]
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -145,33 +185,69 @@ def _locate(item: bytes, text: bytes, band: int, k: int) -> tuple[int, int, int]
     return end - size, end, edits
 
 
-def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item number, start, end, edits) in plain places; passages of one item that
-    overlap are reported once, by the fewest edits, then the first."""
-    if not len(index.ids) or not texts:
+Match = tuple[int, int, int, int, int]  # text number, item number, start, end, edits
+
+
+def _short_matches(index: Index, texts: list[bytes]) -> list[Match]:
+    """Short items between two blanks or ends of the texts."""
+    if not index.short:
         return []
+    data = np.frombuffer(b" " + b" \n ".join(texts) + b" ", np.uint8)  # no item holds a line end
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.cumsum(sizes + 3) - sizes - 2
+    words = np.flatnonzero(data == 32)[:-1] + 1
+    sums = _sums(data)
+    found = []
+    for length, (hashes, owner) in index.short.items():
+        at = words[words + length < len(data)]
+        at = at[data[at + length] == 32]
+        asked = _part_hashes(data, at, length, sums)
+        first = np.searchsorted(hashes, asked, side="left")
+        last = np.searchsorted(hashes, asked, side="right")
+        for spot in np.flatnonzero(last > first).tolist():
+            t = int(np.searchsorted(starts, at[spot], side="right")) - 1
+            start = int(at[spot] - starts[t])
+            part = texts[t][start : start + length]
+            found += [(t, i, start, start + length, 0) for i in owner[first[spot] : last[spot]].tolist() if index.items[i] == part]
+    return found
+
+
+def _long_matches(index: Index, texts: list[bytes]) -> list[Match]:
+    """Passages in bands with enough shared q-grams, verified."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     grams = q_grams(np.frombuffer(b"".join(texts), np.uint8))
     hit = np.flatnonzero(index.table[_slot(grams)])
-    hit_grams = grams[hit]
-    first = np.searchsorted(index.grams, hit_grams, side="left")
-    n = np.searchsorted(index.grams, hit_grams, side="right") - first
-    some = n > 0
-    hit, first, n = hit[some], first[some], n[some]
     doc = np.searchsorted(starts, hit, side="right") - 1
     own = hit + Q <= starts[doc] + sizes[doc]  # not across two texts
-    hit, first, n, doc = hit[own], first[own], n[own], doc[own]
-    if not len(hit):
-        return []
-    spot = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    item, place = index.owner[spot], index.place[spot]
-    doc, diagonal = np.repeat(doc, n), np.repeat(hit - starts[doc], n) - place
-    k = np.maximum(index.budgets[item], 1)
-    upper = diagonal // k
+    hit, doc = hit[own], doc[own]
+    order = np.argsort(grams[hit], kind="stable")
+    hit, doc = hit[order], doc[order]
+    names, begin, uses = np.unique(grams[hit], return_index=True, return_counts=True)
+    first = np.searchsorted(index.grams, names, side="left")
+    n = np.searchsorted(index.grams, names, side="right") - first
+    # Postings of the texts' grams; the items are taken in pieces by the pairs that they lead to.
+    posting = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    begin, uses = np.repeat(begin, n), np.repeat(uses, n)
+    owner = index.owner[posting]
+    load = np.cumsum(np.bincount(owner, weights=uses, minlength=len(index.ids)))
+    piece = ((load - 1) // PIECE)[owner]
+    found: list[Match] = []
+    for number in np.unique(piece):
+        mine = np.flatnonzero(piece == number)
+        m = uses[mine]
+        spot = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[mine], m)
+        item, place = np.repeat(owner[mine], m), np.repeat(index.place[posting[mine]], m)
+        found += _verified(index, texts, doc[spot], item, place, hit[spot] - starts[doc[spot]] - place)
+    return found
+
+
+def _verified(index: Index, texts: list[bytes], doc, item, place, diagonal) -> list[Match]:
+    """Passages in the bands of these shared q-grams; all those of an item are among them."""
+    upper = diagonal // np.maximum(index.budgets[item], 1)
     doc, item, place = np.tile(doc, 2), np.tile(item, 2), np.tile(place, 2)
     band = np.concatenate([upper, upper - 1])
-    # One number per (text, item, band); the band of the text's own diagonals, shifted to be positive.
+    # One number per (text, item, band); the bands are shifted to be positive.
     low = int(band.min())
     span = int(band.max()) - low + 1
     key = (doc * len(index.ids) + item) * span + (band - low)
@@ -179,7 +255,7 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int,
     key, place, item, doc, band = key[order], place[order], item[order], doc[order], band[order]
     begin = np.flatnonzero(np.diff(key, prepend=-1))
     count = np.diff(np.append(begin, len(key)))
-    found: list[tuple[int, int, int, int, int]] = []
+    found: list[Match] = []
     enough = count >= index.least[item[begin]]
     for b, c in zip(begin[enough], count[enough], strict=True):
         i, t = int(item[b]), int(doc[b])
@@ -188,11 +264,51 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int,
         passage = _locate(index.items[i], texts[t], int(band[b]), int(index.budgets[i]))
         if passage:
             found.append((t, i, *passage))
-    found.sort(key=lambda x: (x[0], x[1], x[4], x[2]))
-    kept: list[tuple[int, int, int, int, int]] = []
-    for x in found:
-        before = [y for y in kept[::-1] if y[:2] == x[:2]] if kept and kept[-1][:2] == x[:2] else []
-        if all(x[2] >= y[3] or x[3] <= y[2] for y in before):
+    return found
+
+
+def _parts(texts: list[bytes], size: int, overlap: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts or parts of long ones, about ``size`` bytes at a time: text number, begin, bytes."""
+    held: list[tuple[int, int, bytes]] = []
+    room = size
+    for t, text in enumerate(texts):
+        for begin in range(0, max(1, len(text) - overlap), size - overlap):
+            part = text[begin : begin + size]
+            if held and len(part) > room:
+                yield held
+                held, room = [], size
+            held.append((t, begin, part))
+            room -= len(part)
+    if held:
+        yield held
+
+
+def matches(index: Index, texts: list[bytes]) -> list[Match]:
+    """(text number, item number, start, end, edits) in plain places; passages of one item that
+    overlap are reported once, by the fewest edits, then the first."""
+    if not len(index.ids):
+        return []
+    found: set[Match] = set()
+    for held in _parts(texts, max(WINDOW, 4 * index.reach), index.reach):
+        parts = [p for _, _, p in held]
+        for k, i, start, end, edits in _long_matches(index, parts):
+            t, begin, _ = held[k]
+            found.add((t, i, start + begin, end + begin, edits))
+        for k, i, start, end, edits in _short_matches(index, parts):
+            t, begin, _ = held[k]
+            start, end = start + begin, end + begin
+            # The ends of a part are no word borders of its text.
+            if (start == 0 or texts[t][start - 1] == 32) and (end == len(texts[t]) or texts[t][end] == 32):
+                found.add((t, i, start, end, edits))
+    kept: list[Match] = []
+    taken: list[tuple[int, int]] = []
+    of = None
+    for x in sorted(found, key=lambda x: (x[0], x[1], x[4], x[2], x[3])):
+        if x[:2] != of:
+            of, taken = x[:2], []
+        at = bisect(taken, x[2:4])
+        if (at == 0 or taken[at - 1][1] <= x[2]) and (at == len(taken) or taken[at][0] >= x[3]):
+            taken.insert(at, x[2:4])
             kept.append(x)
     return kept
 

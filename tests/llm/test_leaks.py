@@ -50,7 +50,10 @@ def test_against_full_distances(spark, tables):
         plain = decontaminate.plain_form(text)[0]
         for item, item_text in items:
             short = decontaminate.plain_form(item_text or "")[0]
-            if len(short) >= decontaminate.MIN_ITEM:
+            if 0 < len(short) < decontaminate.SHORT:
+                if b" " + short + b" " in b" " + plain + b" ":
+                    want.add((doc, item))
+            elif short:
                 k = decontaminate.budget_of(len(short), decontaminate.EDIT_RATE)
                 if least_edits(short, plain) <= k:
                     want.add((doc, item))
@@ -72,6 +75,67 @@ def test_kept_rows(spark, tables):
     assert decontaminate.leaks(documents(spark, []), bench).count() == 0
 
 
+SHORT_ITEMS = [(1, "x"), (2, "Ab cd, ef"), (3, "ab"), (4, "é!"), (5, "one two three four five six seven eight"), (6, "ab cd ef"), (7, " ?! ")]
+SHORT_TEXTS = ["x", "ax xb", "x-x; x", "say ab cd ef ab", "abcd ef", "é", "été", "", "ab\ncd\nef", "One two three four five six seven eight."]
+SHORT_TEXTS += ["one two three four five six seven eightsome", "ab cd efx ab  cd"]
+
+
+def test_short_items_match_whole_words(spark):
+    rows = list(enumerate([*SHORT_TEXTS, None]))
+    bench = spark.createDataFrame(SHORT_ITEMS, "item_id bigint, text string")
+    found = decontaminate.leaks(documents(spark, rows), bench).collect()
+    want = []
+    for doc, text in rows:
+        for item, item_text in SHORT_ITEMS:
+            words = decontaminate.plain_form(item_text)[0].split()
+            have = decontaminate.plain_form(text or "")[0].split()
+            last = -1
+            for k in range(len(have) - len(words) + 1 if words else 0):
+                if k > last and have[k : k + len(words)] == words:
+                    want.append((doc, item))
+                    last = k + len(words) - 1
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted(want)
+    assert len(decontaminate.plain_form(SHORT_ITEMS[4][1])[0]) == 39 and (9, 5) in want
+    assert {r.edits for r in found} == {0}
+    kept = decontaminate.without_leaks(documents(spark, rows), bench)
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_long_texts_in_parts(tables, monkeypatch):
+    rows, items = tables
+    index = decontaminate.Index.build([*((i, t or "") for i, t in items), *SHORT_ITEMS], decontaminate.EDIT_RATE)
+    plain = [decontaminate.plain_form(t or "")[0] for _, t in rows]
+    long = b" ".join(plain)
+    whole = decontaminate.matches(index, [long, *plain])
+    assert len(long) > 20 * index.reach and len(whole) > 50
+    monkeypatch.setattr(decontaminate, "WINDOW", 0)  # parts of four times the longest item
+    parts = decontaminate.matches(index, [long, *plain])
+    assert {x[:2] for x in parts} == {x[:2] for x in whole}
+    exact = [x for x in whole if x[4] == 0]
+    assert [x for x in parts if x[4] == 0] == exact and exact
+    monkeypatch.setattr(decontaminate, "PIECE", 50)  # items one by one
+    assert decontaminate.matches(index, [long, *plain]) == parts
+
+
+def test_items_with_a_common_opening_in_pieces(monkeypatch):
+    opening = "which of the following statements about the matter is right "
+    items = [(i, opening + f"number {i} of them") for i in range(300)]
+    index = decontaminate.Index.build(items, 0.0)
+    text = decontaminate.plain_form((opening + "or wrong. ") * 200 + items[7][1])[0]
+    most = []
+    verified = decontaminate._verified
+
+    def count(index, texts, doc, *rest):
+        most.append(len(doc))
+        return verified(index, texts, doc, *rest)
+
+    monkeypatch.setattr(decontaminate, "_verified", count)
+    monkeypatch.setattr(decontaminate, "PIECE", 100_000)
+    found = decontaminate.matches(index, [text])
+    assert [(i, e) for _, i, _, _, e in found] == [(7, 0)]
+    assert len(most) > 10 and max(most) < 120_000
+
+
 def test_blocks_of_items_give_the_same(spark, tables, monkeypatch):
     rows, items = tables
     bench = spark.createDataFrame(items, "item_id bigint, text string")
