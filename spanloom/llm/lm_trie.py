@@ -120,6 +120,12 @@ def blocks_of(docs: DataFrame, held: Column) -> DataFrame:
     return docs.mapInArrow(run, BLOCK_SCHEMA)
 
 
+def _part_of(shards: np.ndarray, shard: int) -> slice:
+    """Where a shard stands among rising shard numbers."""
+    begin, end = np.searchsorted(shards, [shard, shard + 1])
+    return slice(begin, end)
+
+
 class _Block:
     """One block's row, taken apart."""
 
@@ -144,9 +150,11 @@ class _Block:
         ids = np.zeros(len(self.words), np.int64)
         counts = np.zeros(len(self.words), np.int64)
         shard = self.shards(n)
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order]
         for row in answers:
             if row["kind"] == 1:
-                own = np.flatnonzero(shard == row["shard"])
+                own = order[_part_of(shard, row["shard"])]
                 ids[own] = _unsqueeze(row["a"], "<i8") + FIRST_WORD
                 counts[own] = _unsqueeze(row["b"], "<i8")
         return ids, counts
@@ -316,8 +324,10 @@ def _trie_answers(group: pa.Table, bound: int) -> pa.Table:
     data = trie.to_bytes()
     trie = Trie.view(data)
     rows: list[tuple] = [(-1, 3, shard, data, None, len(trie.codes), 0)]
-    for block, own in zip(group["block"], asked, strict=True):
-        rows.append((block.as_py(), 2, shard, _squeeze(trie.find(own), "<u2"), None, 0, 0))
+    # One search for the shard; the blocks take their parts of it.
+    found = np.split(trie.find(keys)[place], np.cumsum([len(own) for own in asked])[:-1])
+    for block, own in zip(group["block"], found, strict=True):
+        rows.append((block.as_py(), 2, shard, _squeeze(own, "<u2"), None, 0, 0))
     return _answers(rows)
 
 
@@ -347,7 +357,7 @@ def _scored(left: pa.Table, right: pa.Table, facts: tuple, n_types: int, word_sh
         codes = np.zeros(len(shard), np.int64)
         for a in answers:
             if a["kind"] == 2:
-                codes[shard == a["shard"]] = _unsqueeze(a["a"], "<u2")
+                codes[_part_of(shard, a["shard"])] = _unsqueeze(a["a"], "<u2")
         q = unquantise(codes)[place]
         seen, own = block.sequences(counts, n_docs, n_docs)
         doc = np.repeat(np.arange(len(block.sizes)), block.sizes + 1)

@@ -87,13 +87,22 @@ def test_without_training_rows(spark):
 def test_probabilities_of_a_context_add_up(spark):
     words = ["a", "b", "c", "d"]
     rows = [(i, " ".join(np.random.default_rng(i).choice(words, 30))) for i in range(20)]
-    rows += [(1000 + i, f"a {w}") for i, w in enumerate([*words, "unseen"])]
-    scores, _ = lm_trie.score(documents(spark, rows), F.col("doc_id") >= 1000)
-    # P(w | a) of each word, from texts that differ in it: log P(a w end) - log P(a) - log P(end | w).
-    assert all(r.score <= 0 for r in scores.collect())
-
-
-@pytest.mark.parametrize("n, bound", [(0, 10), (1, 1), (7, 100), (500, 10**12), (500, 9)])
+    rows += [(1000, ""), *((1001 + i, w) for i, w in enumerate([*words, "unseen"]))]
+    scores, tries = lm_trie.score(documents(spark, rows), F.col("doc_id") >= 1000)
+    # Base: each word's probability from a text of it alone, without the end token's.
+    base = {r.doc_id: r.base_score for r in scores.where("doc_id >= 1000").collect()}
+    assert math.isclose(10 ** base[1000] + sum(10 ** (base[1001 + i] - base[1000]) for i in range(5)), 1.0, rel_tol=1e-12)
+    # Trie: the shares of the words after each context, up to a step of the codes.
+    checked = 0
+    for row in tries.collect():
+        trie = lm_trie.Trie.view(row.trie)
+        sums = np.add.reduceat(lm_trie.unquantise(trie.codes.astype(int)), trie.pointers.values()[:-1].astype(int))
+        assert np.abs(np.log2(sums)).max() <= 0.5 / lm_trie.STEPS
+        checked += len(sums)
+    assert checked == 5  # the four words and the begin
+
+
+@pytest.mark.parametrize("n, bound", [(0, 10), (1, 1), (7, 100), (500, 10**12), (500, 9), (200_000, 10**7), (3_000, 10**6)])
 def test_elias_fano(n, bound):
     rng = np.random.default_rng(n)
     values = np.sort(rng.integers(0, bound, n)).astype(np.uint64)
@@ -101,6 +110,9 @@ def test_elias_fano(n, bound):
     asked = np.concatenate([values, rng.integers(0, bound, 50).astype(np.uint64), np.array([bound + 5], np.uint64)])
     assert (made.values() == values).all()
     assert (made.successor(asked) == np.searchsorted(values, asked)).all()
+    some = rng.integers(0, n, 20) if n else np.zeros(0, int)
+    assert (made.values(some) == values[some]).all()
+    assert 8 * len(made.to_bytes()) < n * (2.5 + max(0.0, math.log2(bound / max(n, 1))) + 1) + 3000
 
 
 def test_trie_finds_pairs_and_nothing_else():
