@@ -27,12 +27,11 @@ def document_stream(
     files: str = "documents*.parquet",
     files_per_trigger: int = 1000,
 ) -> DataFrame:
-    """Documents as files arrive; a null text counts as empty."""
+    """Documents as files arrive; a null text counts as empty. What ``files`` names may be a file or a folder of parts."""
     raw = (
         spark.readStream.schema(DOCUMENT_SCHEMA)
-        .option("pathGlobFilter", files)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
+        .parquet(f"{folder.rstrip('/')}/{files}")
     )
     return raw.withColumn("text", F.coalesce("text", F.lit("")))
 

@@ -6,6 +6,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from spanloom.operators import funnel, pairs, sentences, telemetry
+from spanloom.plans import queries
 from spanloom.sources import sinks, tables
 from spanloom.streaming import documents as stream
 from spanloom.streaming import shuffle
@@ -137,6 +138,19 @@ def test_stream_funnel_and_shuffle(spark, small, tmp_path):
     assert mixed.select("batch").distinct().count() == 3 and mixed.count() == docs.count()
 
 
+def test_stream_queries_read_a_folder_of_parts(spark, small, tmp_path):
+    """A table may be a folder: the streams find its parts, as the batch readers do."""
+    docs = spread_documents(spark, small, str(tmp_path / "documents.parquet"), files=3)
+    run = lambda name: queries.all_queries()[name](spark, str(tmp_path))
+    ids = sorted(r.doc_id for r in docs.select("doc_id").collect())
+    for name in ("stream_shuffle", "buffered_shuffle"):
+        assert sorted(r.doc_id for r in run(name).collect()) == ids
+    assert sum(r.n for r in run("stream_funnel").collect()) == len(ids)
+    want = run("sentence_pairs")
+    got = run("stream_pairs").select(want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_a_crash_between_write_and_commit_keeps_the_old_table(spark, tmp_path, monkeypatch):
     path, source = str(tmp_path / "out"), str(tmp_path / "in")
     spark.createDataFrame([(i, "a sentence. " * 20) for i in range(5)], "doc_id bigint, text string").write.parquet(f"{source}/a")
