@@ -189,6 +189,12 @@ _BATCH_FIELDS = (
 )
 
 
+def _first_equal(rows: np.ndarray) -> np.ndarray:
+    """For each row the place of the first one equal to it."""
+    _, first, own = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return first[own.reshape(-1)]
+
+
 def _batch_measures(p: np.ndarray, t: np.ndarray) -> tuple:
     """The seven measures of equally long batches stacked as [batch, row, dim]."""
     size = p.shape[1]
@@ -196,7 +202,10 @@ def _batch_measures(p: np.ndarray, t: np.ndarray) -> tuple:
     length = p_len * t_len
     own = (p * t).sum(axis=2)
     cosine = np.divide(own, length, out=np.zeros_like(own), where=length > 0).mean(axis=1)
-    best = np.matmul(p, t.transpose(0, 2, 1)).argmax(axis=2)
+    near = np.matmul(p, t.transpose(0, 2, 1))
+    # A matrix product may round equal columns apart: each takes the product of its first copy, so ties go there.
+    near = np.stack([own[:, _first_equal(rows)] for own, rows in zip(near, t, strict=True)])
+    best = near.argmax(axis=2)
     hits = (best == np.arange(size)).mean(axis=1)
     empty = np.full(len(p), np.nan)
     zero = np.zeros(len(p))
@@ -253,10 +262,14 @@ def batch_metrics(
 
 
 def running_metrics(batches: DataFrame) -> DataFrame:
-    """Batch measures averaged by batch length: the mean of batch values, not a global value."""
+    """Batch measures averaged by batch length: the mean of batch values, not a global value.
+
+    A measure that a batch lacks (a single row has no diversity and no spread) takes no part in its mean.
+    """
     names = [f.split()[0] for f in _BATCH_FIELDS.split(", ")]
+    has = {c: F.when(F.col(c).isNotNull(), F.col("n")) for c in names}
     return batches.agg(
-        *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in names],
+        *[(F.sum(F.col(c) * F.col("n")) / F.sum(has[c])).alias(c) for c in names],
         F.sum("n").alias("total_samples"),
     )
 

@@ -242,6 +242,32 @@ def test_batch_metrics_and_their_running_mean(spark):
         quality.batch_metrics(df, "pos", 0)
 
 
+def test_equal_targets_tie_to_the_first():
+    """Equal targets have equal products, at any batch length: a matrix product may round them apart."""
+    rng = np.random.default_rng(1)
+    for size in range(2, 33):
+        few = rng.normal(size=(4, 64))
+        chosen = rng.integers(0, 4, size)
+        t = few[chosen]
+        _, hits, *_ = quality._batch_measures(t[None].copy(), t[None])
+        near = few @ few.T
+        near = near[np.ix_(chosen, np.unique(chosen))]
+        best = np.unique(chosen)[near.argmax(axis=1)]
+        first = np.array([np.flatnonzero(chosen == c)[0] for c in best])
+        assert hits[0] == np.mean(first == np.arange(size))
+
+
+def test_a_batch_of_one_row_takes_no_part_in_what_it_lacks(spark):
+    p = RNG.normal(size=(9, 5))
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "pos bigint, pred array<double>").withColumn("target", F.col("pred"))
+    got = quality.batch_metrics(df, "pos", 8)
+    whole = got.where("n = 8").first()
+    run = quality.running_metrics(got).first()
+    assert math.isclose(run.diversity, whole.diversity) and math.isclose(run.target_std_mean, whole.target_std_mean)
+    assert run.total_samples == 9 and math.isclose(run.target_eff_rank, whole.target_eff_rank * 8 / 9)
+
+
 def test_collapse_flags(spark):
     x = np.ones((16, 4))
     rows = [(i, [float(v) for v in a], [float(v) for v in a]) for i, a in enumerate(x)]
