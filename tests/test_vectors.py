@@ -1,6 +1,8 @@
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +65,28 @@ def test_pair_sums_equal_text_sums(spark, small):
         assert not whole.isEmpty() and whole.where("c <> c2 or t <> t2").isEmpty()
 
 
+def test_visits_leave_in_bounded_batches(monkeypatch):
+    """A query that reaches every ball is copied a bounded number of times at once."""
+
+    class Queries:
+        columns, schema = ["q", "vec"], T.StructType([])
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def mapInArrow(self, run, kind):
+            return run
+
+    monkeypatch.setattr(retrieval, "_VISITS", 100)
+    search = retrieval.BallSearch.__new__(retrieval.BallSearch)
+    search.vec_col = "vec"
+    search.balls = SimpleNamespace(pivots=np.eye(4), size=np.ones(4), best_cosine=lambda to: np.zeros(to.shape))
+    rows = pa.record_batch([pa.array(range(50)), pa.array(RNG.normal(size=(50, 4)).tolist())], names=["q", "vec"])
+    out = list(search._to(Queries(), lambda _, bound: np.ones(bound.shape, bool))(iter([rows])))
+    assert max(b.num_rows for b in out) <= 100
+    assert sorted(zip(*(pa.Table.from_batches(out)[c].to_pylist() for c in ("q", "ball")))) == [
+        (q, b) for q in range(50) for b in range(4)
+    ]
+
+
 def test_pooled_concepts_from_a_token_table(spark):
     texts = spark.createDataFrame([(0, "a a b"), (1, "b"), (2, "zzz")], "id int, text string")
     table = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 8.0])], "token string, vec array<float>")
