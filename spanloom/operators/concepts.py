@@ -19,6 +19,7 @@ from spanloom.operators.joins import lookup_join
 from spanloom.operators.tokens import sentence_tokens
 
 DIMS = 64
+CHUNK = 16_384  # sentences that are turned into sums at once; a longer document is a chunk of its own
 
 
 @lru_cache(maxsize=1 << 18)
@@ -45,7 +46,7 @@ def _count_signed(tokens: pa.Array, dims: int) -> np.ndarray:
 def _as_lists(rows: np.ndarray) -> pa.Array:
     n, dims = rows.shape
     offsets = np.arange(0, n * dims + 1, dims, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.astype(np.float32).ravel()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.astype(np.float32, copy=False).ravel()))
 
 
 def token_sums(tokens: Column, dims: int = DIMS) -> Column:
@@ -65,31 +66,43 @@ def concept_sums(text: Column, dims: int = DIMS) -> Column:
     return token_sums(tx.tokens(text), dims)
 
 
+def _sums_of_pairs(texts: pa.Array, gaps: pa.Array, window_size: int, dims: int) -> pa.Array:
+    """Per document the token sums of the contexts and of the targets of its pairs."""
+    sizes = _lengths(texts).astype(np.int64)
+    ends = np.cumsum(sizes)
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes - 1, 0))])
+    context, target = (np.empty((offsets[-1], dims), dtype=np.float32) for _ in range(2))
+    lo = 0
+    while lo < len(sizes):
+        begun = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, begun + CHUNK, side="right")))
+        own = _count_signed(texts[lo:hi].flatten(), dims)
+        whole = own + _count_signed(gaps[lo:hi].flatten(), dims)
+        before = np.concatenate([np.zeros((1, dims)), np.cumsum(whole, axis=0)])
+        place = np.arange(len(own)) - np.repeat(ends[lo:hi] - sizes[lo:hi] - begun, sizes[lo:hi])
+        last = np.flatnonzero(place > 0)
+        first = last - np.minimum(place[last], window_size)
+        context[offsets[lo] : offsets[hi]] = before[last - 1] - before[first] + own[last - 1]
+        target[offsets[lo] : offsets[hi]] = own[last]
+        lo = hi
+    cuts = pa.array(offsets.astype(np.int32))
+    nested = [pa.ListArray.from_arrays(cuts, _as_lists(rows)) for rows in (context, target)]
+    return pa.StructArray.from_arrays(nested, names=["context", "target"])
+
+
 def pair_sums(
     cut: DataFrame, *, window_size: int = 8, dims: int = DIMS, out: str = "sums"
 ) -> DataFrame:
     """Token sums of the context and the target of each pair of a document.
 
     Adds a struct of two arrays with one vector per pair, for ``sentence_pairs(ready=...)``.
-    Every sentence is hashed once; contexts are differences of running sums.
+    Every sentence is hashed once; contexts are differences of running sums. A batch of documents is worked off in
+    chunks of whole documents, so memory beyond its input and output follows ``CHUNK``.
     """
 
     @F.arrow_udf("context array<array<float>>, target array<array<float>>")
     def run(texts: pa.Array, gaps: pa.Array) -> pa.Array:
-        sizes = _lengths(texts).astype(np.int64)
-        own = _count_signed(texts.flatten(), dims)
-        whole = own + _count_signed(gaps.flatten(), dims)
-        before = np.concatenate([np.zeros((1, dims)), np.cumsum(whole, axis=0)])
-        place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        target = np.flatnonzero(place > 0)
-        first = target - np.minimum(place[target], window_size)
-        context = before[target - 1] - before[first] + own[target - 1]
-        offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes - 1, 0))]).astype(np.int32)
-        nested = [
-            pa.ListArray.from_arrays(pa.array(offsets), _as_lists(rows))
-            for rows in (context, own[target])
-        ]
-        return pa.StructArray.from_arrays(nested, names=["context", "target"])
+        return _sums_of_pairs(texts, gaps, window_size, dims)
 
     return sentence_tokens(cut).withColumn(out, run("text_tokens", "gap_tokens"))
 

@@ -65,6 +65,19 @@ def test_pair_sums_equal_text_sums(spark, small):
         assert not whole.isEmpty() and whole.where("c <> c2 or t <> t2").isEmpty()
 
 
+def test_pair_sums_work_in_chunks_of_documents(monkeypatch):
+    """However many sentences a batch holds, only a bounded number is counted at once; the sums stay the same."""
+    words = [[["a", "b", "c"][: 1 + (i + d) % 3] for i in range(d % 7)] for d in range(60)]
+    texts = pa.array([*words, None], pa.list_(pa.list_(pa.string())))
+    gaps = pa.array([[["-"] if i % 2 else [] for i in range(len(w))] for w in words] + [None], texts.type)
+    whole = concepts._sums_of_pairs(texts, gaps, 2, 8)
+    seen, count = [], concepts._count_signed
+    monkeypatch.setattr(concepts, "_count_signed", lambda lists, dims: seen.append(len(lists)) or count(lists, dims))
+    monkeypatch.setattr(concepts, "CHUNK", 10)
+    assert concepts._sums_of_pairs(texts, gaps, 2, 8).equals(whole)
+    assert max(seen) <= 10 and len(whole) == 61
+
+
 def test_visits_leave_in_bounded_batches(monkeypatch):
     """A query that reaches every ball is copied a bounded number of times at once."""
 
