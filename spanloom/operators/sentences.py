@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,31 +93,46 @@ def _cut_long(limit: int):
     return run
 
 
+# Documents that a Python function holds as objects at once; an Arrow batch may have many times more.
+SLICE = 256
+
+
+def _sliced(batches: Iterator) -> Iterator[tuple[pa.Array, ...]]:
+    """The batches in slices of bounded rows."""
+    for batch in batches:
+        columns = batch if isinstance(batch, tuple) else (batch,)
+        for at in range(0, len(columns[0]), SLICE):
+            yield tuple(c.slice(at, SLICE) for c in columns)
+
+
+_STRINGS = pa.list_(pa.string())
+_RECUT = pa.struct([("n_split", pa.int32()), ("texts", _STRINGS), ("units", _STRINGS), ("starts", pa.list_(pa.int32()))])
+
+
 def _recut(limit: int | None, min_unique: int):
     """Arrow-batched step for the documents that only a search in the text can finish."""
 
-    @F.pandas_udf("n_split int, texts array<string>, units array<string>, starts array<int>")
-    def recut(texts: pd.Series, sentences: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, given in zip(texts, sentences, strict=True):
-            if text is None or given is None:
-                rows.append((None, None, None, None))
-                continue
-            cut = [s for g in given for s in (shorten(g, limit) if limit else [g])]
-            if min_unique > 0:
-                cut = [s for s in cut if len(set(s)) > min_unique]
-            spans = find_spans(text, cut)
-            starts = [a for a, _ in spans]
-            stops = starts[1:] + [b for _, b in spans[-1:]]
-            rows.append(
-                (
-                    len(cut),
-                    [text[a:b] for a, b in spans],
-                    [text[a:b] for a, b in zip(starts, stops, strict=True)],
-                    starts,
-                )
-            )
-        return pd.DataFrame(rows, columns=["n_split", "texts", "units", "starts"])
+    def one(text: str | None, given: list[str] | None) -> dict:
+        if text is None or given is None:
+            return {}
+        cut = [s for g in given for s in (shorten(g, limit) if limit else [g])]
+        if min_unique > 0:
+            cut = [s for s in cut if len(set(s)) > min_unique]
+        spans = find_spans(text, cut)
+        starts = [a for a, _ in spans]
+        stops = starts[1:] + [b for _, b in spans[-1:]]
+        return {
+            "n_split": len(cut),
+            "texts": [text[a:b] for a, b in spans],
+            "units": [text[a:b] for a, b in zip(starts, stops, strict=True)],
+            "starts": starts,
+        }
+
+    @F.arrow_udf("n_split int, texts array<string>, units array<string>, starts array<int>")
+    def recut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, sentences in _sliced(batches):
+            rows = [one(*row) for row in zip(texts.to_pylist(), sentences.to_pylist(), strict=True)]
+            yield pa.array(rows, _RECUT)
 
     return recut
 
@@ -195,25 +209,29 @@ def running_starts(lengths: pa.Array) -> pa.Array:
     return built if lengths.null_count == 0 else pa.compute.if_else(lengths.is_valid(), built, None)
 
 
+_HOOKED = pa.struct([("sents", _STRINGS), ("error", pa.string())])
+
+
 def _hooked(splitter: Splitter):
     """Run a user's splitter over batches; a text it fails on gets an error, the rest go on."""
 
-    @F.pandas_udf("sents array<string>, error string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(None, None)] * len(batch)
-            todo = [i for i, t in enumerate(batch) if t is not None]
-            texts = [batch.iloc[i] for i in todo]
+    @F.arrow_udf("sents array<string>, error string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for (batch,) in _sliced(batches):
+            given = batch.to_pylist()
+            rows = [{} for _ in given]
+            todo = [i for i, t in enumerate(given) if t is not None]
+            texts = [given[i] for i in todo]
             try:
                 for i, sents in zip(todo, splitter(texts), strict=True):
-                    rows[i] = (list(sents), None)
+                    rows[i] = {"sents": list(sents)}
             except Exception:
                 for i, t in zip(todo, texts, strict=True):
                     try:
-                        rows[i] = (list(splitter([t])[0]), None)
+                        rows[i] = {"sents": list(splitter([t])[0])}
                     except Exception as fault:
-                        rows[i] = (None, f"{type(fault).__name__}: {fault}")
-            yield pd.DataFrame(rows, columns=["sents", "error"])
+                        rows[i] = {"error": f"{type(fault).__name__}: {fault}"}
+            yield pa.array(rows, _HOOKED)
 
     return run
 

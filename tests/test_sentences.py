@@ -191,3 +191,12 @@ def test_a_very_long_document_takes_linear_work(spark):
     text = "".join(f"Sentence number {i} stands here.\n" for i in range(60_000))
     made = pairs.split_pairs(frame(spark, [text]), max_sentence_len=None)
     assert made.agg(F.sum(F.length("context")), F.count("*")).first()[1] == 59_999
+
+
+def test_python_steps_hold_a_bounded_number_of_documents(spark):
+    """A splitter never sees a whole Arrow batch of documents, and no row is lost at the slices' borders."""
+    docs = spark.range(1000).selectExpr("if(id % 9 = 0, null, cast(id as string)) as text").coalesce(1)
+    seen = docs.select("text", sentences._hooked(lambda texts: [[t, str(len(texts))] for t in texts])("text").alias("h"))
+    rows = seen.collect()
+    assert len(rows) == 1000 and all((r.h.sents or [None])[0] == r.text for r in rows)
+    assert max(int(r.h.sents[1]) for r in rows if r.text) <= sentences.SLICE
