@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators.joins import lookup_join
 from spanloom.operators.ranking import global_rank
-from spanloom.session import compute_once
+from spanloom.session import compute_once, cut_lineage
 
 # Ids of the special tokens; words follow them.
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
@@ -240,22 +239,55 @@ def freeze_after_end(ids: Column, *, eos: int = EOS, pad: int = PAD) -> Column:
     return F.when(end > 0, frozen).otherwise(ids)
 
 
+def _named(spark: SparkSession, head: DataFrame):
+    """A column function from lists of ids to their words; null where the head lacks an id."""
+    rows = head.toArrow()
+    order = np.argsort(rows["token_id"].to_numpy())
+    shared = spark.sparkContext.broadcast((rows["token_id"].to_numpy()[order], rows["token"].combine_chunks().take(pa.array(order))))
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        known, words = shared.value
+
+        def named(flat: pa.Array) -> pa.Array:
+            asked = flat.to_numpy(zero_copy_only=False)
+            place = np.searchsorted(known, asked)
+            hit = place < len(known)
+            hit[hit] = known[place[hit]] == asked[hit]
+            return words.take(pa.array(place, mask=~hit))
+
+        return _mapped(lists, named)
+
+    return run
+
+
 def decode(
-    rows: DataFrame, vocab: DataFrame, *ids: str, ids_col: str = "token_ids", out: str = "text"
+    rows: DataFrame,
+    vocab: DataFrame,
+    *ids: str,
+    ids_col: str = "token_ids",
+    out: str = "text",
+    head_size: int = HEAD_TOKENS,
 ) -> DataFrame:
     """Texts from token ids, special tokens left out.
 
-    The words return to their row in order; ``ids`` must identify a row.
+    Ids of the broadcast head get their words in the row. The rest are joined once per row and id; ``ids`` must
+    identify a row.
     """
-    flat = rows.select(*ids, F.posexplode(ids_col).alias("pos", "token_id"))
-    flat = flat.where(F.col("token_id") >= FIRST_WORD)
-    named = lookup_join(flat, vocab.select("token_id", "token"), "token_id", *ids, "pos")
-    words = named.groupBy(*ids).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w")
-    )
-    joined = words.select(*ids, F.array_join(F.col("w.token"), " ").alias(out))
-    return (
-        rows.select(*ids)
-        .join(joined, list(ids), "left")
-        .withColumn(out, F.coalesce(F.col(out), F.lit("")))
-    )
+    words = F.filter(F.coalesce(F.col(ids_col).cast("array<bigint>"), F.array().cast("array<bigint>")), lambda i: i >= FIRST_WORD)
+    run = _named(rows.sparkSession, _head(vocab, head_size))
+    named = rows.select(*ids, words.alias("_asked")).select("*", run("_asked").alias("_words"))
+    rest = _rest(vocab, head_size)
+    if not rest.isEmpty():
+        # The rows are read twice: to ask for the rest, and to take its words.
+        named = cut_lineage(named)
+        open_ = F.array_distinct(F.filter("_asked", lambda i, at: F.get("_words", at).isNull()))
+        found = (
+            named.select(*ids, F.explode(open_).alias("token_id"))
+            .join(rest, "token_id")
+            .groupBy(*ids)
+            .agg(F.map_from_entries(F.collect_list(F.struct("token_id", "token"))).alias("_found"))
+        )
+        filled = F.zip_with("_words", "_asked", lambda w, i: F.coalesce(w, F.try_element_at("_found", i)))
+        named = named.join(found, list(ids), "left").withColumn("_words", filled)
+    return named.select(*ids, F.array_join("_words", " ").alias(out))

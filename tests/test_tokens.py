@@ -70,3 +70,13 @@ def test_freeze_after_end(spark):
     rows = spark.createDataFrame([([1, 2, 7, 7],), ([1, 7, 7, 7],), ([1, 7, 2, 2],)], "ids array<int>")
     got = [r[0] for r in rows.select(tokens.freeze_after_end(F.col("ids"))).collect()]
     assert got == [[1, 2, 0, 0], [1, 7, 7, 7], [1, 7, 2, 0]]
+
+
+@pytest.mark.parametrize("head", [0, 1, 2, 100])
+def test_decode_joins_what_the_head_lacks(spark, head):
+    """Words come from the head or the join, in order and as often as they occur; unknown ids and special ones go."""
+    vocab = spark.createDataFrame([("a", 3, 4), ("b", 2, 5), ("c" * 70, 1, 6)], "token string, n bigint, token_id bigint")
+    given = [(1, [1, 4, 6, 5, 4, 2]), (2, [3, 0]), (3, None), (4, [6, 6, 99, 4]), (5, [])]
+    rows = spark.createDataFrame(given, "id int, token_ids array<int>")
+    got = {r.id: r.text for r in tokens.decode(rows, vocab, "id", head_size=head).collect()}
+    assert got == {1: f"a {'c' * 70} b a", 2: "", 3: "", 4: f"{'c' * 70} {'c' * 70} a", 5: ""}
