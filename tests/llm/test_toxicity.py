@@ -69,3 +69,35 @@ def test_the_language_does_not_change_a_score(spark):
     other = docs.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("z"))
     a = sorted((r.doc_id, r.score) for r in toxicity_cnn.score(docs, model).collect())
     assert a == sorted((r.doc_id, r.score) for r in toxicity_cnn.score(other, model).collect())
+
+
+def test_rows_behind_the_first_8000_are_learned(spark):
+    from pyspark.sql import functions as F
+
+    ids = [r.doc_id for r in spark.range(8400).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    texts = {d: f"{'alpha' if i % 4 else 'vile'} beta gamma" for i, d in enumerate(ids[:8000])}
+    texts.update({d: f"{'delta' if i % 2 else 'vermin'} beta gamma" for i, d in enumerate(ids[8000:])})
+    docs = documents(spark, sorted(texts.items()))
+    labels = spark.createDataFrame([(d, int("v" == t[0])) for d, t in texts.items()], "doc_id bigint, toxic int")
+    model = toxicity_cnn.fit(docs, labels)
+    asked = documents(spark, [(1, "vermin beta gamma"), (2, "delta beta gamma"), (3, "vile beta gamma"), (4, "alpha beta gamma")])
+    got = {r.doc_id: r.score for r in toxicity_cnn.score(asked, model).collect()}
+    assert got[1] > 0.9 > 0.1 > got[2] and got[3] > 0.9 > 0.1 > got[4]
+
+
+def test_texts_of_over_20000_words_are_learned(spark):
+    rows = [(i, "so it goes on " * 5001 + (" vile rotten" if i % 2 else " mild")) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity_cnn.fit(documents(spark, rows), labels)
+    got = {r.doc_id: r.score for r in toxicity_cnn.score(documents(spark, rows), model).collect()}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if i % 2 == 0)
+
+
+def test_shards_learn_together(spark):
+    rows, labels = planted()
+    fitted = spark.createDataFrame(labels[:500], "doc_id bigint, toxic int")
+    models = [toxicity_cnn.fit(documents(spark, rows), fitted, shard_rows=130) for _ in range(2)]
+    got = [{r.doc_id: r.score for r in toxicity_cnn.score(documents(spark, rows), m).collect()} for m in models]
+    assert got[0] == got[1]
+    late = [(got[0][i], y) for i, y in labels[500:]]
+    assert area(np.array([x for x, _ in late]), np.array([y for _, y in late])) > 0.95
