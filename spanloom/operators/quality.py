@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import vectors as vec
-from spanloom.operators.blocks import block_count, matrix, pack
+from spanloom.operators.blocks import matrix, pack
 from spanloom.operators.concepts import summed_vectors
 from spanloom.operators.gram import added_up, centred_triangle, gram
 from spanloom.operators.ranking import global_rank
 from spanloom.session import cut_lineage
 
+STRIPES, STRIPE_BYTES = 24, 16 << 20  # of the vectors compared pair by pair
 MAX_BATCH = 16_384  # a batch travels as one row and is measured by one matrix product
 
 # Limits below which a run counts as collapsed.
@@ -65,29 +66,40 @@ def alignment(
     )
 
 
+def stripe_count(n: int, cells: int, rows_per_block: int) -> int:
+    """Stripes for ``n`` vectors of ``cells`` numbers in all: one per block, but no more than ``STRIPES`` while each fits STRIPE_BYTES."""
+    return max(1, min(-(-n // rows_per_block), STRIPES), -(-4 * cells // STRIPE_BYTES))
+
+
 def uniformity(
     rows: DataFrame, *, vec_col: str = "vec", t: float = 2.0, rows_per_block: int = 4096
 ) -> DataFrame:
     """Log of the mean of exp(-t d2) over all ordered pairs of different unit vectors.
 
-    The measure is quadratic by definition and every row counts. Equal vectors are grouped first;
-    then every pair of blocks of different vectors is one matrix product and yields one sum. A task
-    holds two blocks: ``rows_per_block`` bounds its memory.
+    The measure is quadratic by definition and every row counts. Equal vectors are grouped first; different ones go to
+    stripes, and every pair of stripes yields one sum. A task holds two stripes and products of ``rows_per_block`` rows a
+    side. A vector moves once per stripe: their number only grows beyond ``STRIPES * STRIPE_BYTES`` of vectors.
     """
     vectors = rows.groupBy(F.col(vec_col).cast("array<float>").alias(vec_col)).agg(
         F.count("*").alias("_n")
     )
     vectors = cut_lineage(vectors.select(F.xxhash64(vec_col).alias("_h"), "_n", vec_col))
-    blocks = block_count(vectors, rows_per_block)
-    packed = pack(vectors, ["_h", "_n"], vec_col, blocks, "block")
+    size = vectors.agg(F.count("*").alias("n"), F.sum(F.size(vec_col).cast("bigint")).alias("cells")).first()
+    stripes = stripe_count(size["n"], size["cells"] or 0, rows_per_block)
+    packed = pack(vectors, ["_h", "_n"], vec_col, stripes, "stripe")
     left = packed.select(
-        F.col("block").alias("one"),
-        F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("two"),
+        F.col("stripe").alias("one"),
+        F.explode(F.sequence(F.col("stripe"), F.lit(stripes - 1))).alias("two"),
         F.col("_n").alias("m"),
         F.col(vec_col).alias("x"),
     )
-    right = packed.select(F.col("block").alias("two"), F.col("_n").alias("n"), F.col(vec_col).alias("y"))
-    paired = left.join(right, "two").select("one", "two", "m", "n", "x", "y")
+    right = packed.select(
+        F.explode(F.sequence(F.lit(0), F.col("stripe"))).alias("one"),
+        F.col("stripe").alias("two"),
+        F.col("_n").alias("n"),
+        F.col(vec_col).alias("y"),
+    )
+    paired = left.join(right, ["one", "two"]).select("one", "two", "m", "n", "x", "y")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,15 +110,21 @@ def uniformity(
                     batch.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
                     for c in range(2, 6)
                 )
-                near = np.exp(-t * (2.0 - 2.0 * (x.reshape(len(m), -1) @ y.reshape(len(n), -1).T)))
-                whole = float(m @ near @ n)
-                if one == two:
-                    # A row is no pair with itself; its copies are.
-                    sums.append(whole - float(m @ np.diag(near)))
-                    counts.append(int(m.sum() * (m.sum() - 1)))
-                else:
-                    sums.append(2.0 * whole)
-                    counts.append(2 * int(m.sum() * n.sum()))
+                x, y = 2.0 * t * x.reshape(len(m), -1), y.reshape(len(n), -1)
+                total = 0.0
+                for a in range(0, len(m), rows_per_block):
+                    p, head = m[a : a + rows_per_block], x[a : a + rows_per_block]
+                    for b in range(a if one == two else 0, len(n), rows_per_block):
+                        q = n[b : b + rows_per_block]
+                        near = head @ y[b : b + rows_per_block].T
+                        near -= 2.0 * t
+                        np.exp(near, out=near)
+                        whole = float(p @ near @ q)
+                        # A row is no pair with itself; its copies are.
+                        same = one == two and a == b
+                        total += whole - float(p @ np.diag(near)) if same else 2.0 * whole
+                sums.append(total)
+                counts.append(int(m.sum() * (m.sum() - 1)) if one == two else 2 * int(m.sum() * n.sum()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], names=["s", "c"]
             )

@@ -217,6 +217,18 @@ def test_spearman_fixtures(spark):
     assert rho([1], [2]) == 0.0
 
 
+def test_uniformity_moves_a_vector_a_bounded_number_of_times(spark):
+    # 102,000 and 612,000 vectors of 64 numbers, in blocks of 256 rows.
+    assert quality.stripe_count(102_000, 64 * 102_000, 256) == quality.stripe_count(612_000, 64 * 612_000, 256) == quality.STRIPES
+    assert 4 * 64 * 10**8 / quality.stripe_count(10**8, 64 * 10**8, 256) <= quality.STRIPE_BYTES
+    x = np.random.default_rng(5).normal(size=(150, 6))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    x[40:60] = x[0]
+    near = np.exp(-2.0 * (2.0 - 2.0 * x @ x.T))[~np.eye(150, dtype=bool)]
+    row = quality.uniformity(vectors(spark, x), rows_per_block=3).first()
+    assert math.isclose(row.uniformity, math.log(near.mean()), rel_tol=1e-9) and row.n_ordered_pairs == 150 * 149
+
+
 def test_uniformity_in_blocks(spark):
     x = RNG.normal(size=(83, 7))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
