@@ -90,74 +90,73 @@ def _known(table) -> dict[str, int]:
     return _CURRENT[1]
 
 
-def _lookup(spark: SparkSession, head: DataFrame, kind: str):
-    """A column function from (nested) token lists to the same lists of ids."""
+def _row_sizes(values: pa.Array) -> np.ndarray:
+    """The number of innermost elements of each row of nested lists."""
+    sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    inner = values.flatten()
+    if not pa.types.is_list(inner.type):
+        return sizes
+    before, ends = np.concatenate(([0], np.cumsum(_row_sizes(inner)))), np.cumsum(sizes)
+    return before[ends] - before[ends - sizes]
+
+
+def _lookup(spark: SparkSession, head: DataFrame, marked: bool):
+    """A column function from nested token lists to ``ids``, the same lists of ids, and ``open``, the row's distinct unknown tokens.
+
+    An unknown token gets the unknown id or, if ``marked``, minus its place (from 1) in ``open``.
+    """
     rows = head.toArrow()
     words, numbers = rows["token"].to_pylist(), rows["token_id"].to_pylist()
     shared = spark.sparkContext.broadcast((words, numbers))
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("ids array<array<array<int>>>, open array<string>")
     def run(tokens: pa.Array) -> pa.Array:
         known = _known(shared)
+        cuts = [np.zeros(len(tokens) + 1, np.int32), pa.array([], pa.string())]
 
         def ids(flat: pa.Array) -> pa.Array:
             coded = flat.dictionary_encode()
-            own = [known.get(w, UNK) for w in coded.dictionary.to_pylist()]
-            return pa.array(own, pa.int32()).take(coded.indices)
-
-        return _mapped(tokens, ids)
+            told = coded.dictionary.to_pylist()
+            own = np.array([known.get(w, UNK) for w in told], np.int32)
+            place = coded.indices.to_numpy(zero_copy_only=False)
+            found = own[place] if len(own) else np.zeros(0, np.int32)
+            if marked and len(found):
+                at = np.flatnonzero(found == UNK)
+                row = np.repeat(np.arange(len(tokens)), _row_sizes(tokens))[at]
+                each, back = np.unique(row * len(told) + place[at], return_inverse=True)
+                cuts[0] = np.searchsorted(each, np.arange(len(tokens) + 1) * len(told)).astype(np.int32)
+                cuts[1] = coded.dictionary.take(pa.array(each % len(told)))
+                found[at] = cuts[0][row] - 1 - back
+            return pa.array(found, pa.int32())
+
+        lists = _mapped(tokens, ids)
+        return pa.StructArray.from_arrays([lists, pa.ListArray.from_arrays(pa.array(cuts[0]), cuts[1])], names=["ids", "open"])
 
     return run
 
 
-def _filled(ids: str, tokens: str, words: Column, numbers: Column) -> Column:
-    """Ids with the unknown ones filled from each row's own (token, id) pairs."""
-
-    def fill(own: list, said: list, found: dict) -> list:
-        if not own or not isinstance(own[0], list):
-            return [found.get(w, i) if i == UNK else i for i, w in zip(own, said, strict=True)]
-        return [fill(x, y, found) for x, y in zip(own, said, strict=True)]
-
-    @F.arrow_udf("array<array<array<int>>>")
-    def run(ids: pa.Array, tokens: pa.Array, words: pa.Array, numbers: pa.Array) -> pa.Array:
-        rows = []
-        for own, said, names, values in zip(
-            ids.to_pylist(), tokens.to_pylist(), words.to_pylist(), numbers.to_pylist(), strict=True
-        ):
-            if names and own is not None:
-                own = fill(own, said, dict(zip(names, values, strict=True)))
-            rows.append(own)
-        return pa.array(rows, pa.list_(pa.list_(pa.list_(pa.int32()))))
-
-    return run(ids, tokens, words, numbers)
-
-
 def _coded(rows: DataFrame, vocab: DataFrame, lists: Column, ids: tuple[str, ...], head_size: int) -> DataFrame:
-    """Add ``_tokens`` (the nested lists) and ``_ids``.
+    """Add ``_ids``: the ids of nested token lists.
 
-    Tokens of the broadcast head are looked up in the row. The rest are joined by token, once
-    per row and token however often the row holds it; no rare token is a hot key.
+    Tokens of the broadcast head are looked up in the row. The rest are joined by token, once per row and token however
+    often the row holds it; no rare token is a hot key. The tokens themselves do not move, only the open ones.
     """
-    run = _lookup(rows.sparkSession, _head(vocab, head_size), "array<array<array<int>>>")
-    coded = rows.withColumn("_tokens", lists)
-    coded = compute_once(coded, "_ids", run("_tokens"))
     rest = _rest(vocab, head_size)
-    if rest.isEmpty():
-        return coded
-    flat = lambda c: F.flatten(F.flatten(F.coalesce(c, F.array().cast("array<array<array<string>>>"))))
-    unknown = F.filter(
-        F.arrays_zip(flat(F.col("_tokens")).alias("t"), F.flatten(F.flatten("_ids")).alias("i")),
-        lambda x: x["i"] == UNK,
-    )
-    asked = coded.select(*ids, F.explode(F.array_distinct(F.transform(unknown, lambda x: x["t"]))).alias("token"))
-    found = (
-        asked.join(rest, "token")
-        .groupBy(*ids)
-        .agg(F.collect_list(F.struct("token", F.col("token_id").cast("int").alias("token_id"))).alias("_found"))
+    marked = not rest.isEmpty()
+    run = _lookup(rows.sparkSession, _head(vocab, head_size), marked)
+    coded = compute_once(rows.withColumn("_tokens", lists), "_c", run("_tokens")).drop("_tokens")
+    if not marked:
+        return coded.withColumn("_ids", F.col("_c.ids")).drop("_c")
+    asked = coded.select(*ids, F.posexplode("_c.open").alias("_at", "token"))
+    number = F.coalesce(F.col("token_id").cast("int"), F.lit(UNK)).alias("i")
+    found = asked.join(rest, "token", "left").groupBy(*ids).agg(
+        F.array_sort(F.collect_list(F.struct("_at", number))).alias("_found")
     )
-    joined = coded.join(found, list(ids), "left")
-    filled = _filled("_ids", "_tokens", F.col("_found.token"), F.col("_found.token_id"))
-    return joined.withColumn("_ids", filled).drop("_found")
+    joined = coded.join(found.select(*ids, F.col("_found.i").alias("_found")), list(ids), "left")
+    told = lambda x: F.when(x < 0, F.get("_found", -x - 1)).otherwise(x)
+    filled = F.transform("_c.ids", lambda part: F.transform(part, lambda said: F.transform(said, told)))
+    filled = F.when(F.col("_found").isNull(), F.col("_c.ids")).otherwise(filled)
+    return joined.withColumn("_ids", filled).drop("_found", "_c")
 
 
 def encode_sentences(
@@ -171,7 +170,7 @@ def encode_sentences(
     coded = _coded(lists, vocab, F.array("text_tokens", "gap_tokens"), (id_col,), head_size)
     units = F.zip_with(F.col("_ids")[0], F.col("_ids")[1], lambda t, g: F.concat(t, g))
     coded = coded.withColumns({"text_ids": F.col("_ids")[0], "unit_ids": units})
-    return coded.drop("_ids", "_tokens", "text_tokens", "gap_tokens", "unit_tokens")
+    return coded.drop("_ids", "text_tokens", "gap_tokens", "unit_tokens")
 
 
 def encode(
@@ -188,7 +187,7 @@ def encode(
     """
     lists = F.array(F.array(tx.tokens(F.coalesce(F.col(text_col), F.lit("")))))
     coded = _coded(rows, vocab, lists, ids, head_size)
-    return coded.withColumn(out, F.col("_ids")[0][0]).drop("_ids", "_tokens")
+    return coded.withColumn(out, F.col("_ids")[0][0]).drop("_ids")
 
 
 def with_specials(ids: Column, max_length: int | None) -> Column:

@@ -80,3 +80,19 @@ def test_decode_joins_what_the_head_lacks(spark, head):
     rows = spark.createDataFrame(given, "id int, token_ids array<int>")
     got = {r.id: r.text for r in tokens.decode(rows, vocab, "id", head_size=head).collect()}
     assert got == {1: f"a {'c' * 70} b a", 2: "", 3: "", 4: f"{'c' * 70} {'c' * 70} a", 5: ""}
+
+
+def test_open_tokens_are_joined_without_the_others(spark):
+    docs = spark.createDataFrame(
+        [(0, "a a b zz a yy zz"), (1, None), (2, ""), (3, "yy a new yy"), (4, "b " + "x" * 70 + " b " + "x" * 70)],
+        "doc_id bigint, text string",
+    )
+    vocab = tokens.vocabulary(docs.where("doc_id <> 3"))
+    number = {r.token: r.token_id for r in vocab.collect()}
+    for head_size in (0, 1, 2, 100):
+        lists = F.array(F.array(tx.tokens(F.coalesce("text", F.lit("")))))
+        coded = tokens._coded(docs, vocab, lists, ("doc_id",), head_size)
+        assert coded.columns == ["doc_id", "text", "_ids"]
+        got = {r.doc_id: r._ids[0][0] for r in coded.collect()}
+        words = {r.doc_id: (r.text or "").split() for r in docs.collect()}
+        assert got == {d: [number.get(w, tokens.UNK) for w in said] for d, said in words.items()}
