@@ -66,12 +66,10 @@ def concept_sums(text: Column, dims: int = DIMS) -> Column:
     return token_sums(tx.tokens(text), dims)
 
 
-def _sums_of_pairs(texts: pa.Array, gaps: pa.Array, window_size: int, dims: int) -> pa.Array:
-    """Per document the token sums of the contexts and of the targets of its pairs."""
+def _pair_chunks(texts: pa.Array, gaps: pa.Array, window_size: int, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Token sums of the contexts and of the targets of all pairs, in chunks of whole documents."""
     sizes = _lengths(texts).astype(np.int64)
     ends = np.cumsum(sizes)
-    offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes - 1, 0))])
-    context, target = (np.empty((offsets[-1], dims), dtype=np.float32) for _ in range(2))
     lo = 0
     while lo < len(sizes):
         begun = ends[lo - 1] if lo else 0
@@ -82,9 +80,22 @@ def _sums_of_pairs(texts: pa.Array, gaps: pa.Array, window_size: int, dims: int)
         place = np.arange(len(own)) - np.repeat(ends[lo:hi] - sizes[lo:hi] - begun, sizes[lo:hi])
         last = np.flatnonzero(place > 0)
         first = last - np.minimum(place[last], window_size)
-        context[offsets[lo] : offsets[hi]] = before[last - 1] - before[first] + own[last - 1]
-        target[offsets[lo] : offsets[hi]] = own[last]
+        yield before[last - 1] - before[first] + own[last - 1], own[last]
         lo = hi
+
+
+def _pair_offsets(texts: pa.Array) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.maximum(_lengths(texts).astype(np.int64) - 1, 0))])
+
+
+def _sums_of_pairs(texts: pa.Array, gaps: pa.Array, window_size: int, dims: int) -> pa.Array:
+    """Per document the token sums of the contexts and of the targets of its pairs."""
+    offsets = _pair_offsets(texts)
+    context, target = (np.empty((offsets[-1], dims), dtype=np.float32) for _ in range(2))
+    at = 0
+    for one, two in _pair_chunks(texts, gaps, window_size, dims):
+        context[at : at + len(one)], target[at : at + len(one)] = one, two
+        at += len(one)
     cuts = pa.array(offsets.astype(np.int32))
     nested = [pa.ListArray.from_arrays(cuts, _as_lists(rows)) for rows in (context, target)]
     return pa.StructArray.from_arrays(nested, names=["context", "target"])
@@ -107,6 +118,26 @@ def pair_sums(
     return sentence_tokens(cut).withColumn(out, run("text_tokens", "gap_tokens"))
 
 
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows of whole numbers; 0 to a zero row."""
+    a, b = a.astype(np.float64, copy=False), b.astype(np.float64, copy=False)
+    dot, one, two = (np.einsum("ij,ij->i", x, y) for x, y in ((a, b), (a, a), (b, b)))
+    length = np.sqrt(one * two)
+    return np.divide(dot, length, out=np.zeros(len(a)), where=length > 0)
+
+
+def pair_cosines(cut: DataFrame, *, window_size: int = 8, dims: int = DIMS, out: str = "cosines") -> DataFrame:
+    """The cosines between the sums of ``pair_sums``, one number per pair of a document; the sums leave no task."""
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array, gaps: pa.Array) -> pa.Array:
+        parts = [_cosines(*both) for both in _pair_chunks(texts, gaps, window_size, dims)]
+        cuts = pa.array(_pair_offsets(texts).astype(np.int32))
+        return pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0), *parts])))
+
+    return sentence_tokens(cut).withColumn(out, run("text_tokens", "gap_tokens"))
+
+
 def concept(sums: Column, *, normalized: bool = True, n_tokens: Column | None = None) -> Column:
     """Concept vector: the mean over tokens, at unit length unless switched off."""
     if normalized:

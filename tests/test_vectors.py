@@ -406,3 +406,21 @@ def test_rank_of_dependent_columns(spark):
     assert tuple(quality.spread_measures(few.limit(1)).first()) == (0.0, 0.0, 1)
     assert math.isclose(quality.spread_measures(few).first().effective_rank, 1.0, rel_tol=1e-9)
     assert tuple(quality.spread_measures(few.limit(0)).first()) == (0.0, 0.0, 0)
+
+
+def test_pair_cosines_are_those_of_the_pair_sums(spark, small):
+    from spanloom.functions import vectors as vec
+    from spanloom.operators import concepts, sentences
+    from spanloom.sources import tables
+
+    docs = tables.documents(spark, small).limit(40).unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "One."), (-4, "!? ... \n. One. One.")], "doc_id bigint, text string"), allowMissingColumns=True
+    )
+    cut = sentences.cut_sentences(docs, max_sentence_len=None)
+    for size in (1, 8):
+        sums = concepts.pair_sums(cut, window_size=size).select("doc_id", F.posexplode(F.arrays_zip("sums.context", "sums.target")).alias("at", "x"))
+        want = {(r.doc_id, r.at): r.c for r in sums.select("doc_id", "at", vec.cosine(F.col("x.context"), F.col("x.target")).alias("c")).collect()}
+        got = concepts.pair_cosines(cut, window_size=size).select("doc_id", F.posexplode("cosines").alias("at", "c"))
+        got = {(r.doc_id, r.at): r.c for r in got.collect()}
+        assert got.keys() == want.keys() and len(got) > 100
+        assert all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
