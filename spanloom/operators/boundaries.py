@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.joins import lookup_join
 from spanloom.session import cut_lineage
 
 # A word, with the periods and apostrophes inside it and the period behind it; the published limits of the three ratios.
-WORD = r"(?:\p{L}+\.)*\p{L}+(?:'\p{L}+)*\.?"
+# Runs of letters are taken whole: no match ends inside one, so giving letters back is in vain.
+WORD = r"\p{L}++(?:\.\p{L}++)*(?:'\p{L}++)*\.?"
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 _ALMOST = 1e-12
 
@@ -31,23 +33,24 @@ def _ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return 2.0 * (apart - _likelihood(k1, n1, one) - _likelihood(k2, n2, one))
 
 
+def _bare(word: Column) -> Column:
+    """Without its last period; a word ends in one at most."""
+    return F.rtrim(word, F.lit("."))
+
+
 def _followers(texts: DataFrame, text_col: str) -> DataFrame:
-    """(word, dotted, next, n): neighbours in a text, in lower case without the last period; next is null at the end.
+    """(word, dotted, next, n): words in lower case without the last period, those with one apart by the word behind them.
 
-    Neighbours are counted per text before anything moves.
+    Next is null at the end of a text and behind a word without a period, where no table asks for it: so a task sends
+    its words and the few neighbours over a period, not all neighbours.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
-    rows = texts.select(words.alias("w")).where(F.size("w") > 0)
-    bare = lambda w: F.regexp_replace(w, r"\.$", "")
-    near = F.transform(
-        F.sequence(F.lit(1), F.size("w")),
-        lambda i: F.struct(
-            bare(F.element_at("w", i)).alias("word"),
-            F.endswith(F.element_at("w", i), F.lit(".")).alias("dotted"),
-            bare(F.get("w", i)).alias("next"),
-        ),
-    )
-    return rows.select(F.explode(near).alias("e")).groupBy("e.word", "e.dotted", "e.next").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts.select(words.alias("w"))
+    behind = F.slice("w", F.lit(2), F.size("w"))
+    near = rows.select(F.explode(F.arrays_zip(F.col("w").alias("word"), behind.alias("next"))).alias("e"))
+    dotted = F.endswith(F.col("e.word"), F.lit("."))
+    near = near.select(_bare(F.col("e.word")).alias("word"), dotted.alias("dotted"), F.when(dotted, _bare(F.col("e.next"))).alias("next"))
+    return near.groupBy("word", "dotted", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Boundaries:
@@ -91,10 +94,10 @@ class Boundaries:
         in_doc = Window.partitionBy(key).orderBy(order)
         rows = sentences.select(
             key, order, "start_idx", "end_idx",
-            F.regexp_extract(text, f"({WORD})[^\\p{{L}}]*$", 1).alias("tail"),
+            F.regexp_extract(text, f"(?<!\\p{{L}})({WORD})[^\\p{{L}}]*$", 1).alias("tail"),
             F.regexp_extract(text, WORD, 0).alias("head"),
-            text.rlike(r"^\p{L}").alias("opens"),
-            text.rlike(r"\p{L}\.$").alias("stops"),
+            F.left(text, F.lit(1)).rlike(r"^\p{L}").alias("opens"),
+            F.right(text, F.lit(4)).rlike(r"\p{L}\.$").alias("stops"),  # $ also stands before a last line break
             text.rlike(f"^{WORD}$").alias("whole"),
         )
         before = lambda c: F.lag(c).over(in_doc)
@@ -108,17 +111,21 @@ class Boundaries:
         last = F.aggregate(
             "parts", F.lit(""), lambda word, p: F.when(p["whole"], F.concat(word, p["tail"])).otherwise(p["tail"])
         )
-        bare = lambda w: F.regexp_replace(w, r"\.$", "")
         rows = rows.select(
             key, F.col("_run").alias(order), "start_idx", "end_idx",
-            F.when(F.endswith(last, F.lit(".")), bare(last)).alias("last"),
-            bare(F.col("parts")[0]["head"]).alias("next"),
+            F.when(F.endswith(last, F.lit(".")), _bare(last)).alias("last"),
+            _bare(F.col("parts")[0]["head"]).alias("next"),
         )
         rows = rows.withColumn("word", before("last")).drop("last")
-        known = lambda table, *on: table.withColumn("_" + "_".join(on), F.lit(True))
-        rows = rows.join(known(self.abbreviations, "abbreviation"), "word", "left")
-        rows = rows.join(known(self.starters.withColumnRenamed("word", "next"), "starter"), "next", "left")
-        rows = rows.join(known(self.collocations, "collocation"), ["word", "next"], "left")
+        # Many rows have no word and some words are frequent; tables of checked size are looked up where the rows are.
+        rows = rows.withColumn("_both", F.concat("word", F.lit(" "), "next"))
+        both = self.collocations.select(F.concat("word", F.lit(" "), "next").alias("_both"))
+        for table, on, name in (
+            (self.abbreviations, "word", "abbreviation"),
+            (self.starters.withColumnRenamed("word", "next"), "next", "starter"),
+            (both, "_both", "collocation"),
+        ):
+            rows = lookup_join(rows, table.withColumn(f"_{name}", F.lit(True)), on, key, order, how="left")
         glued = F.col("_abbreviation").isNotNull() & (F.col("_starter").isNull() | F.col("_collocation").isNotNull())
         number = F.sum(F.when(glued, 0).otherwise(1)).over(in_doc) - 1
         return rows.withColumn("_sentence", number).groupBy(key, F.col("_sentence").alias(order)).agg(

@@ -7,6 +7,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from spanloom.operators import boundaries, sentences
 
 NAMES = "Alder Birch Cedar Dogwood Elder Fir Gorse Hazel Ivy Juniper".split()
@@ -98,3 +100,29 @@ def test_without_texts(spark):
     assert learned.abbreviations.count() == learned.starters.count() == learned.collocations.count() == 0
     empty = spark.createDataFrame([], "doc_id bigint, sent_idx bigint, text string, start_idx bigint, end_idx bigint")
     assert learned.joined(empty).count() == 0
+
+
+def test_only_words_and_neighbours_over_a_period_are_sent(spark):
+    got = boundaries._followers(table(spark, [(0, "a b a c. D e"), (1, "a b b."), (2, None), (3, "1 - 2")]), "text")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [("a", False, None, 3), ("b", False, None, 2), ("b", True, None, 1), ("c", True, "d", 1), ("d", False, None, 1), ("e", False, None, 1)],
+        key=str,
+    )
+
+
+def test_spans_are_shuffled_once(spark):
+    learned = boundaries.Boundaries(table(spark, corpus(n=60)))
+    rows = spark.createDataFrame([(0, 0, "A b.", 0, 4)], "doc_id bigint, sent_idx bigint, text string, start_idx bigint, end_idx bigint")
+    plan = learned.joined(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_words_with_periods_and_apostrophes(spark):
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("ab\u00e9\U00010400.'\n 1") for _ in range(12))) for i in range(2000)] + [(9000, "don't.x"), (9001, "e.g. i.e.'s")]
+    plain = r"(?:\p{L}+\.)*\p{L}+(?:'\p{L}+)*\.?"
+    every = lambda word: F.regexp_extract_all("text", F.lit(word), F.lit(0))
+    last = lambda before, word: F.regexp_extract("text", f"{before}({word})[^\\p{{L}}]*$", 1)
+    rows = table(spark, texts).select("text", every(plain).alias("a"), every(boundaries.WORD).alias("b"),
+                                      last("", plain).alias("c"), last(r"(?<!\p{L})", boundaries.WORD).alias("d"))
+    assert rows.where("a != b or c != d").collect() == []
