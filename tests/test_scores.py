@@ -91,6 +91,18 @@ def test_perplexity(spark):
     assert math.isnan(textgen.perplexity(train, held.limit(0)).first().perplexity)
 
 
+def test_bigrams_of_both_sides_are_counted_together(spark):
+    texts = spark.createDataFrame([("a b", 0), ("a c a b", 0), ("a b", 1), (None, 1)], "text string, held int")
+    got = textgen.bigrams(texts, "text", (1 - F.col("held")).alias("n"), F.col("held").alias("times")).collect()
+    want = {("<s>", "a"): (2, 1), ("a", "b"): (2, 1), ("b", "</s>"): (2, 1), ("a", "c"): (1, 0), ("c", "a"): (1, 0), ("<s>", "</s>"): (0, 1)}
+    assert {(r.prev, r.next): (r.n, r.times) for r in got} == want
+    # A null text is an empty one on either side.
+    train = spark.createDataFrame([("a b",), ("a c a b",)], "text string")
+    none = spark.createDataFrame([(None,)], "text string")
+    assert math.isclose(textgen.perplexity(train, none).first().perplexity, 2 + 5, rel_tol=1e-9)
+    assert math.isclose(textgen.perplexity(train.limit(0), none).first().perplexity, 1, rel_tol=1e-9)
+
+
 def test_word_diversity(spark):
     df = spark.createDataFrame([("a b a",), ("b",), ("",)], "generated string")
     assert textgen.word_diversity(df).first().diversity == 0.5
