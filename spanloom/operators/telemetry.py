@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.operators.ranking import global_rank
+from spanloom.session import cut_lineage
 
 
 def every_nth(rows: DataFrame, n: int, step: str = "step") -> DataFrame:
@@ -93,28 +94,14 @@ def _replay(start: pd.Series, values: pd.Series, momenta: pd.Series) -> pd.Serie
     return pd.Series([run(*row) for row in zip(start, values, momenta, strict=True)])
 
 
-def _compose(rows: pd.DataFrame) -> pd.DataFrame:
-    """The effect of consecutive blocks on a state as one factor and one summand."""
-    rows = rows.sort_values("_block")
-    keep, add = 1.0, 0.0
-    for k, a in zip(rows["_keep"], rows["_add"], strict=True):
-        keep, add = k * keep, k * add + a
-    first = rows.iloc[:1]
-    return pd.DataFrame(
-        {"_key": first["_key"], "_super": first["_super"], "_first": first["_first"], "_keep": keep, "_add": add}
-    )
-
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _carried(start: pd.Series, keeps: pd.Series, adds: pd.Series) -> pd.Series:
+    """The state before each of consecutive blocks."""
 
-def _carry(level: str):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(level)
-        state, states = rows["_first"].iloc[0], []
-        for keep, add in zip(rows["_keep"], rows["_add"], strict=True):
-            states.append(state)
-            state = keep * state + add
-        return pd.DataFrame({"_key": rows["_key"], level: rows[level], "_start": states})
+    def run(y0, ks, bs):
+        return list(accumulate(zip(ks[:-1], bs[:-1], strict=True), lambda y, s: s[0] * y + s[1], initial=y0))
 
-    return run
+    return pd.Series([run(*row) for row in zip(start, keeps, adds, strict=True)])
 
 
 def ema(
@@ -155,20 +142,32 @@ def ema(
             "_add"
         ),
     )
-    kind = ranked.schema["_key"].dataType.simpleString()
     # Two levels: a key's groups of SUPER blocks are composed first, so what meets in one place
     # is one row per SUPER * block_rows rows, and each group is then carried over on its own.
+    # A list per group, not a task's data frame: there are as many groups as keys that cross a border.
     borders = borders.withColumn("_super", F.floor(F.col("_block") / SUPER))
-    groups = borders.groupBy("_key", "_super").applyInPandas(
-        _compose, f"_key {kind}, _super bigint, _first double, _keep double, _add double"
-    )
-    begins = groups.groupBy("_key").applyInPandas(
-        _carry("_super"), f"_key {kind}, _super bigint, _start double"
+    groups = cut_lineage(borders.groupBy("_key", "_super").agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_first", "_keep", "_add"))).alias("b")
+    ))
+    # The effect of consecutive blocks on a state as one factor and one summand.
+    effect = F.aggregate(
+        "b",
+        F.struct(F.lit(1.0).alias("keep"), F.lit(0.0).alias("add")),
+        lambda e, r: F.struct(
+            (r["_keep"] * e["keep"]).alias("keep"), (r["_keep"] * e["add"] + r["_add"]).alias("add")
+        ),
     )
-    borders = borders.join(begins, ["_key", "_super"]).withColumn("_first", F.col("_start")).drop("_start")
-    starts = borders.groupBy("_key", "_super").applyInPandas(
-        _carry("_block"), f"_key {kind}, _block bigint, _start double"
+    supers = groups.select("_key", "_super", F.col("b")[0]["_first"].alias("_first"), effect.alias("e"))
+    lists = supers.groupBy("_key").agg(
+        F.array_sort(F.collect_list(F.struct("_super", "_first", "e.keep", "e.add"))).alias("g")
     )
+    state = _carried(F.col("g")[0]["_first"], F.col("g.keep"), F.col("g.add"))
+    begins = lists.select("_key", "g", state.alias("y")).select("_key", F.explode(F.arrays_zip("g", "y")).alias("r"))
+    begins = begins.select("_key", F.col("r.g._super").alias("_super"), F.col("r.y").alias("_start"))
+    state = _carried(F.col("_start"), F.col("b._keep"), F.col("b._add"))
+    starts = groups.join(begins, ["_key", "_super"]).select("_key", "b", state.alias("y"))
+    starts = starts.select("_key", F.explode(F.arrays_zip("b", "y")).alias("r"))
+    starts = starts.select("_key", F.col("r.b._block").alias("_block"), F.col("r.y").alias("_start"))
     begun = series.join(starts, ["_key", "_block"], "left").withColumn(
         "_start", F.coalesce("_start", F.col("s")[0]["_x"])
     )

@@ -40,6 +40,19 @@ def test_ema_equals_a_plain_fold(spark, block, m):
     assert all(math.isclose(r.ema, want[r.i], abs_tol=1e-12) for r in got)
 
 
+def test_ema_carries_lists_and_no_data_frame_per_key(spark, monkeypatch):
+    monkeypatch.setattr(telemetry, "SUPER", 2)
+    rows = [("a", i, float(i)) for i in range(40)] + [(f"k{i}", i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    got = telemetry.ema(df, "k", "i", value="x", momentum=0.5, block_rows=3)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    state, want = 0.0, {}
+    for i in range(40):
+        state = 0.5 * state + 0.5 * i
+        want["a", i], want[f"k{i}", i] = state, float(i)
+    assert {(r.k, r.i): r.ema for r in got.collect()} == pytest.approx(want, abs=1e-12)
+
+
 def test_best_so_far(spark):
     values = [5.0, 5.0, 4.0, 6.0, 4.0, 3.5, 3.5, 1.0, 2.0, 0.5]
     df = spark.createDataFrame(list(enumerate(values)), "step bigint, loss double")
