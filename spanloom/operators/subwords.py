@@ -22,6 +22,7 @@ from spanloom.session import cut_lineage
 BEGIN = "▁"  # in front of a word
 BATCH = 64  # pairs looked at in a round
 MAX_HELD_MERGES = 1 << 20  # merges that every task of the encoder may hold
+FEW_MERGES = 256  # so many are made one by one in all words of a batch together
 
 
 def symbols(token: Column) -> Column:
@@ -80,12 +81,14 @@ def learn_merges(words: DataFrame, merges: int, batch: int = BATCH) -> DataFrame
             break
         found += [(len(found) + i, r["left"], r["right"], r["n"]) for i, r in enumerate(taken)]
         pairs = [(r["left"], r["right"]) for r in taken]
-        changed = state.withColumn("t", _merged(F.col("s"), pairs))
-        touched = changed.where(F.col("s") != F.col("t"))
-        delta = _pair_counts(touched, "s", -F.col("n")).unionByName(_pair_counts(touched, "t", F.col("n")))
+        # Every word is merged and written once; the few that change are read again for their pairs.
+        changed = cut_lineage(state.select("s", _merged(F.col("s"), pairs).alias("t"), "n"))
+        sides = F.array(F.struct("s", (-F.col("n")).alias("n")), F.struct(F.col("t").alias("s"), "n"))
+        touched = changed.where(F.col("s") != F.col("t")).select(F.explode(sides).alias("w")).select("w.*")
+        delta = _pair_counts(touched, "s", F.col("n"))
         counts = counts.unionByName(delta).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0")
         counts = cut_lineage(counts)
-        state = cut_lineage(changed.select(F.col("t").alias("s"), "n"))
+        state = changed.select(F.col("t").alias("s"), "n")
     return words.sparkSession.createDataFrame(found, "rank int, left string, right string, n bigint")
 
 
@@ -108,6 +111,30 @@ def cut_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return parts
 
 
+def _in_order(pairs: list[tuple[str, str]]) -> bool:
+    """Whether no merge can make a pair that an earlier one joins: each symbol is made once, and before it is used."""
+    made: set[str] = set()
+    for pair in pairs:
+        if any(len(symbol.removeprefix(BEGIN)) > 1 and symbol not in made for symbol in pair):
+            return False
+        new = pair[0] + pair[1]
+        if new in made or len(new.removeprefix(BEGIN)) < 2:
+            return False
+        made.add(new)
+    return True
+
+
+def cut_words(words: list[str], pairs: list[tuple[str, str]]) -> list[list[str]]:
+    """The pieces of all words, by merges that are ``_in_order``: one after the other, each in all words at once."""
+    if any(" " in w or "\n" in w for w in words):  # the marks between symbols and between words
+        ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        return [cut_word(w, ranks) for w in words]
+    text = "\n".join([f" {BEGIN}{'  '.join(w)} " for w in words])
+    for left, right in pairs:
+        text = text.replace(f" {left}  {right} ", f" {left}{right} ")
+    return [line[1:-1].split("  ") for line in text.split("\n")] if words else []
+
+
 def word_pieces(words: DataFrame, merges: DataFrame) -> DataFrame:
     """(token, pieces) per row of words(token), also words that the merges were not learned from.
 
@@ -116,11 +143,15 @@ def word_pieces(words: DataFrame, merges: DataFrame) -> DataFrame:
     rows = merges.limit(MAX_HELD_MERGES + 1).collect()
     if len(rows) > MAX_HELD_MERGES:
         raise ValueError(f"more than {MAX_HELD_MERGES} merges do not fit every task")
-    held = words.sparkSession.sparkContext.broadcast({(r["left"], r["right"]): r["rank"] for r in rows})
+    ranks = {(r["left"], r["right"]): r["rank"] for r in rows}
+    pairs = sorted(ranks, key=ranks.get)
+    few = len(rows) == len(ranks) <= FEW_MERGES and _in_order(pairs)
+    held = words.sparkSession.sparkContext.broadcast(pairs if few else ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = [cut_word(w, held.value) for w in batch.column(0).to_pylist()]
+            each = batch.column(0).to_pylist()
+            pieces = cut_words(each, held.value) if few else [cut_word(w, held.value) for w in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.string()))], names=["token", "pieces"])
 
     return words.select("token").mapInArrow(run, "token string, pieces array<string>")

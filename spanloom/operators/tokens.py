@@ -21,16 +21,18 @@ HEAD_TOKENS = 200_000
 HEAD_TOKEN_BYTES = 64
 
 
+def token_counts(texts: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(token, n) of all distinct tokens, in no order."""
+    tokens = texts.select(F.explode(tx.tokens(F.col(text_col))).alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("n"))
+
+
 def vocabulary(texts: DataFrame, *, text_col: str = "text", size: int | None = None) -> DataFrame:
     """Tokens by falling count (ties by token) with their ids.
 
     With ``size`` only the most frequent tokens get an id, as in a tokenizer of fixed size.
     """
-    counts = (
-        texts.select(F.explode(tx.tokens(F.col(text_col))).alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = token_counts(texts, text_col=text_col)
     order = (F.col("n").desc(), F.col("token"))
     if size is None:
         return global_rank(counts, *order, name="rank").select(

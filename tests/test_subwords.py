@@ -1,5 +1,6 @@
 """Merges in rounds against merges one by one, and pieces against the merged words."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -78,3 +79,27 @@ def test_ids_and_unseen_words(spark):
     assert {x for p in found.values() for x in p} <= set(ids)
     none = subwords.learn_merges(table(spark, words).limit(0), 5)
     assert none.count() == 0 and subwords.learn_merges(table(spark, {"a": 1}), 5).count() == 0
+
+
+def test_merges_made_in_all_words_at_once():
+    pairs = [("a", "b"), ("ab", "a"), (f"{subwords.BEGIN}c", "ab"), ("b", "b"), ("aba", "bb")]
+    ranks = {pair: rank for rank, pair in enumerate(pairs)}
+    assert subwords._in_order(pairs)
+    words = ["", *("".join(w) for n in range(1, 7) for w in itertools.product("abc", repeat=n))]
+    assert subwords.cut_words(words, pairs) == [subwords.cut_word(w, ranks) for w in words]
+    odd = ["a b", "ab\n", "ab"]
+    assert subwords.cut_words(odd, pairs) == [subwords.cut_word(w, ranks) for w in odd]
+    assert subwords.cut_words([], pairs) == []
+    # A symbol made twice, used before it is made, or equal to the begin of a word: an earlier merge may apply again.
+    assert not subwords._in_order([("a", "b"), ("ab", "c"), ("b", "c"), ("a", "bc")])
+    assert not subwords._in_order([("ab", "c"), ("a", "b")])
+    assert not subwords._in_order([(subwords.BEGIN, "a")])
+
+
+def test_a_symbol_made_twice(spark):
+    rows = [(0, "a", "b"), (1, "ab", "c"), (2, "abc", "d"), (3, "b", "c"), (4, "a", "bc")]
+    merges = spark.createDataFrame([(*r, 1) for r in rows], "rank int, left string, right string, n bigint")
+    ranks = {(a, b): rank for rank, a, b in rows}
+    words = spark.createDataFrame([("xabcd",), ("xbcabcd",)], "token string")
+    got = {r.token: r.pieces for r in subwords.word_pieces(words, merges).collect()}
+    assert got == {w: subwords.cut_word(w, ranks) for w in got} and len(got) == 2
