@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as tx
 from spanloom.operators import logits, textgen
 
 WORDS = "the cat sat on a mat dog ran".split()
@@ -91,6 +92,20 @@ def test_perplexity(spark):
     assert math.isnan(textgen.perplexity(train, held.limit(0)).first().perplexity)
 
 
+def test_scores_of_lists_of_words(spark):
+    """Words that were cut before score as the texts do, also with blanks of every kind and more than one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        _, df = generations(spark)
+        df = df.unionByName(spark.createDataFrame([(900, "\u3000a\x1f b\u2005c ", "a\x85 b c d")], df.schema))
+        for score, cut in ((textgen.sentence_bleu, tx.words), (textgen.rouge_n, tx.rouge_words), (textgen.rouge_l, tx.rouge_words)):
+            lists = df.select("id", cut(F.col("original")).alias("original"), cut(F.col("generated")).alias("generated"))
+            assert sorted(score(lists, "id", cut=None).collect()) == sorted(score(df, "id").collect())
+        assert {r.id: r.rougeL for r in textgen.rouge_l(df, "id").collect()}[900] == 2.0 * 3 / 7
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_bigrams_of_both_sides_are_counted_together(spark):
     texts = spark.createDataFrame([("a b", 0), ("a c a b", 0), ("a b", 1), (None, 1)], "text string, held int")
     got = textgen.bigrams(texts, "text", (1 - F.col("held")).alias("n"), F.col("held").alias("times")).collect()
