@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from spanloom.operators import funnel, pairs, sentences, telemetry
@@ -255,3 +256,23 @@ def test_counters_come_with_the_pairs(spark, small, tmp_path):
     assert written.count() == want["context_target_pairs"] > want["pairs_val"] > 0
     assert written.where("split = 'val'").count() == want["pairs_val"]
     assert written.columns == pairs.split_pairs(docs).select("doc_id", "pair_idx", "context", "target", "split").columns
+
+
+def test_pairs_are_written_with_a_file_of_each_side_open(spark, small, tmp_path, monkeypatch):
+    """No task sorts its pairs by side: both folders are written at once, and the session's setting comes back."""
+    made = pairs.split_pairs(spark.read.parquet(f"{small}/documents.parquet"), val_fraction=0.2)
+    seen, parquet = [], DataFrameWriter.parquet
+
+    def write(self, path):
+        seen.append(spark.conf.get(sinks.WRITERS, None))
+        return parquet(self, path)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    before = spark.conf.get(sinks.WRITERS, None)
+    sinks.write_pairs(made, str(tmp_path / "pairs"))
+    assert seen == [str(sinks.SIDES)] and spark.conf.get(sinks.WRITERS, None) == before
+    with pytest.raises(Exception):
+        sinks.write_pairs(made.drop("split"), str(tmp_path / "none"))
+    assert spark.conf.get(sinks.WRITERS, None) == before
+    got = sinks.read_pairs(spark, str(tmp_path / "pairs")).select(made.columns)
+    assert got.exceptAll(made).isEmpty() and made.exceptAll(got).isEmpty()
