@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from spanloom.functions import vectors as vec
 from spanloom.operators import concepts, gram, pairs, predictor, quality, retrieval
+from spanloom.session import shared_dir
 from spanloom.sources import tables
 
 RNG = np.random.default_rng(3)
@@ -424,3 +426,23 @@ def test_pair_cosines_are_those_of_the_pair_sums(spark, small):
         got = {(r.doc_id, r.at): r.c for r in got.collect()}
         assert got.keys() == want.keys() and len(got) > 100
         assert all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+
+
+@pytest.mark.parametrize("k", [1, 6])
+def test_queries_beyond_a_broadcast_do_not_move_per_ball(spark, k):
+    """On vectors without groups each query reaches nearly all balls; what is written follows the rows, not the visits."""
+    rng = np.random.default_rng(21)
+    corpus, queries = rng.normal(size=(3000, 24)).astype(np.float32), rng.normal(size=(400, 24)).astype(np.float32)
+    queries[:5], queries[5] = corpus[:5], 0
+    asked = vectors(spark, queries.astype(float)).withColumnRenamed("id", "query_id")
+    shared_dir(spark)  # the first call makes the folder
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    options = {"k": k, "max_broadcast_bytes": 0, "rows_per_block": 64}
+    got = retrieval.nearest(asked, vectors(spark, corpus.astype(float)).repartition(3), "id", **options).collect()
+    want = brute_nearest(queries, corpus, k)
+    assert {(r.query_id, r["rank"], r.id) for r in got} == {(i, n + 1, j) for i in want for n, (j, _) in enumerate(want[i])}
+    assert size() - before < 8 * (corpus.nbytes + queries.nbytes)
+    again = retrieval.nearest(asked, vectors(spark, corpus.astype(float)), "id", round_bytes=20_000, **options).collect()
+    assert sorted(again) == sorted(got)
