@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators.ranking import global_rank
-from spanloom.session import compute_once, cut_lineage
+from spanloom.session import compute_once, written
 
 # Ids of the special tokens; words follow them.
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
@@ -154,10 +154,12 @@ def _coded(rows: DataFrame, vocab: DataFrame, lists: Column, ids: tuple[str, ...
     found = asked.join(rest, "token", "left").groupBy(*ids).agg(
         F.array_sort(F.collect_list(F.struct("_at", number))).alias("_found")
     )
+    # The open tokens went to their join; from here on a row has but its ids.
+    coded = coded.withColumn("_c", F.col("_c.ids"))
     joined = coded.join(found.select(*ids, F.col("_found.i").alias("_found")), list(ids), "left")
     told = lambda x: F.when(x < 0, F.get("_found", -x - 1)).otherwise(x)
-    filled = F.transform("_c.ids", lambda part: F.transform(part, lambda said: F.transform(said, told)))
-    filled = F.when(F.col("_found").isNull(), F.col("_c.ids")).otherwise(filled)
+    filled = F.transform("_c", lambda part: F.transform(part, lambda said: F.transform(said, told)))
+    filled = F.when(F.col("_found").isNull(), F.col("_c")).otherwise(filled)
     return joined.withColumn("_ids", filled).drop("_found", "_c")
 
 
@@ -198,17 +200,35 @@ def with_specials(ids: Column, max_length: int | None) -> Column:
     return F.concat(F.array(F.lit(BOS)), body, F.array(F.lit(EOS)))
 
 
+def framed_size(size: Column, max_length: int | None) -> Column:
+    """How many ids ``with_specials`` makes of so many."""
+    return (size if max_length is None else F.least(size, F.lit(max(max_length - 2, 0)))) + 2
+
+
+def batch_lengths(rows: DataFrame, position: str, batch_size: int, *, size_col: str, out: str = "seq_len") -> DataFrame:
+    """Add the longest size of each row's batch of consecutive positions.
+
+    A batch holds at most ``batch_size`` rows, which bounds every window group.
+    """
+    batch = F.floor(F.col(position) / batch_size).cast("bigint")
+    return rows.withColumn(out, F.max(size_col).over(Window.partitionBy(batch)))
+
+
 def make_batches(
-    rows: DataFrame, position: str, batch_size: int, *, ids_col: str = "token_ids"
+    rows: DataFrame, position: str, batch_size: int, *, ids_col: str = "token_ids", length_col: str | None = None
 ) -> DataFrame:
     """Batches of consecutive positions, padded to their longest member, with a mask.
 
-    A batch holds at most ``batch_size`` rows, which bounds every window group.
+    ``length_col`` names the length of each row's batch where the rows have it from ``batch_lengths``; then no sequence moves.
     """
-    batch = Window.partitionBy("batch_id")
+    if length_col is None:
+        sized = rows.withColumn("_size", F.size(ids_col))
+        rows = batch_lengths(sized, position, batch_size, size_col="_size", out="_length").drop("_size")
+        length_col = "_length"
     return (
         rows.withColumn("batch_id", F.floor(F.col(position) / batch_size).cast("bigint"))
-        .withColumn("seq_len", F.max(F.size(ids_col)).over(batch))
+        .withColumn("seq_len", F.col(length_col))
+        .drop(*({length_col} - {"seq_len"}))
         .withColumn("_gap", F.col("seq_len") - F.size(ids_col))
         .withColumn(
             "mask",
@@ -275,20 +295,28 @@ def decode(
     Ids of the broadcast head get their words in the row. The rest are joined once per row and id; ``ids`` must
     identify a row.
     """
-    words = F.filter(F.coalesce(F.col(ids_col).cast("array<bigint>"), F.array().cast("array<bigint>")), lambda i: i >= FIRST_WORD)
+    kind = "array<bigint>" if dict(rows.dtypes)[ids_col] == "array<bigint>" else "array<int>"
+    words = F.filter(F.coalesce(F.col(ids_col).cast(kind), F.array().cast(kind)), lambda i: i >= FIRST_WORD)
     run = _named(rows.sparkSession, _head(vocab, head_size))
-    named = rows.select(*ids, words.alias("_asked")).select("*", run("_asked").alias("_words"))
     rest = _rest(vocab, head_size)
-    if not rest.isEmpty():
-        # The rows are read twice: to ask for the rest, and to take its words.
-        named = cut_lineage(named)
-        open_ = F.array_distinct(F.filter("_asked", lambda i, at: F.get("_words", at).isNull()))
-        found = (
-            named.select(*ids, F.explode(open_).alias("token_id"))
-            .join(rest, "token_id")
-            .groupBy(*ids)
-            .agg(F.map_from_entries(F.collect_list(F.struct("token_id", "token"))).alias("_found"))
-        )
-        filled = F.zip_with("_words", "_asked", lambda w, i: F.coalesce(w, F.try_element_at("_found", i)))
-        named = named.join(found, list(ids), "left").withColumn("_words", filled)
+    asked = rows.select(*ids, words.alias("_asked"))
+    if rest.isEmpty():
+        named = asked.select(*ids, run("_asked").alias("_words"))
+        return named.select(*ids, F.array_join("_words", " ").alias(out))
+    # Rows are read three times: to ask for the rest, to take its words, and those that ask for none. Only ids are
+    # written and only rows that ask move; words are put in last.
+    open_ = F.array_distinct(F.filter("_asked", lambda i, at: F.get("_words", at).isNull()))
+    asked = asked.withColumn("_words", run("_asked"))
+    asked = written(asked.select(*ids, "_asked", open_.alias("_open")), "asked-ids")
+    found = (
+        asked.select(*ids, F.explode("_open").alias("token_id"))
+        .join(rest, "token_id")
+        .groupBy(*ids)
+        .agg(F.map_from_entries(F.collect_list(F.struct("token_id", "token"))).alias("_found"))
+    )
+    lacking = asked.where(F.size("_open") > 0).drop("_open").join(found, list(ids), "left")
+    lacking = lacking.select(*ids, "_asked", run("_asked").alias("_words"), "_found")
+    filled = F.zip_with("_words", "_asked", lambda w, i: F.coalesce(w, F.try_element_at("_found", i.cast("bigint"))))
+    whole = asked.where(F.size("_open") == 0).select(*ids, run("_asked").alias("_words"))
+    named = whole.unionByName(lacking.select(*ids, filled.alias("_words")))
     return named.select(*ids, F.array_join("_words", " ").alias(out))

@@ -1,9 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import pairs, tokens
 from spanloom.sources import tables
 from spanloom.functions import text as tx
+from spanloom.session import shared_dir
 
 TEXTS = ["b a a c", "a b, c!", "", "zeta a", None]
 
@@ -96,3 +99,16 @@ def test_open_tokens_are_joined_without_the_others(spark):
         got = {r.doc_id: r._ids[0][0] for r in coded.collect()}
         words = {r.doc_id: (r.text or "").split() for r in docs.collect()}
         assert got == {d: [number.get(w, tokens.UNK) for w in said] for d, said in words.items()}
+
+
+def test_decode_writes_ids_and_no_words(spark):
+    """What decoding writes for its join follows the ids; rows that lack no word do not join."""
+    vocab = spark.createDataFrame([(f"{i:05}" + "w" * 40, 1, tokens.FIRST_WORD + i) for i in range(60)], "token string, n bigint, token_id bigint")
+    rows = spark.range(2000).select("id", F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: (i + F.col("id") % 11 + 4).cast("int")).alias("token_ids"))
+    shared_dir(spark)  # the first call makes the folder
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    got = {r.id: r.text for r in tokens.decode(rows, vocab, "id", head_size=55).collect()}
+    assert got == {i: " ".join(f"{j + i % 11:05}" + "w" * 40 for j in range(50)) for i in range(2000)}
+    assert size() - before < 2000 * 50 * 8
