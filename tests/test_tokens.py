@@ -112,3 +112,25 @@ def test_decode_writes_ids_and_no_words(spark):
     got = {r.id: r.text for r in tokens.decode(rows, vocab, "id", head_size=55).collect()}
     assert got == {i: " ".join(f"{j + i % 11:05}" + "w" * 40 for j in range(50)) for i in range(2000)}
     assert size() - before < 2000 * 50 * 8
+
+
+def test_batch_lengths_without_the_sequences(spark, small):
+    """The sizes of contexts are known without them, and rows with the length of their batch are padded where they are."""
+    docs = tables.documents(spark, small)
+    cut = tokens.sentence_tokens(pairs.split_sentences(docs, max_sentence_len=None))
+    sizes = pairs.context_sizes(F.transform("text_tokens", F.size), F.transform("gap_tokens", F.size), window_size=8)
+    lists = {"tokens": ("unit_tokens", "text_tokens")}
+    made = pairs.sentence_pairs(cut.withColumn("sizes", sizes), sides=(), lists=lists, ready={"n": "sizes"})
+    assert made.where(F.size("context_tokens") != F.col("n")).isEmpty() and not made.isEmpty()
+    for limit in (None, 8):
+        ids = F.transform("context_tokens", F.length)
+        kept = made.where(F.size(tokens.with_specials(ids, limit)) != tokens.framed_size(F.col("n"), limit))
+        assert kept.isEmpty()
+
+    rows = spark.createDataFrame([(i, list(range(10, 10 + i))) for i in range(9)], "p bigint, token_ids array<int>")
+    sized = tokens.batch_lengths(rows.withColumn("n", F.size("token_ids")), "p", 4, size_col="n", out="longest")
+    assert sorted((r.p, r.longest) for r in sized.collect()) == [(i, 3 if i < 4 else 7 if i < 8 else 8) for i in range(9)]
+    told = sized.drop("n").localCheckpoint()
+    known = tokens.make_batches(told, "p", 4, length_col="longest")
+    assert "Exchange" not in known._jdf.queryExecution().executedPlan().toString()
+    assert sorted(known.collect()) == sorted(tokens.make_batches(rows, "p", 4).collect())
