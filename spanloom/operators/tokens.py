@@ -214,6 +214,26 @@ def batch_lengths(rows: DataFrame, position: str, batch_size: int, *, size_col:
     return rows.withColumn(out, F.max(size_col).over(Window.partitionBy(batch)))
 
 
+def places_of_documents(places: DataFrame, batch_size: int, *, id_col: str = "doc_id") -> DataFrame:
+    """Per document the ``positions`` of its pairs, in order, and the ``lengths`` of their batches.
+
+    ``places`` has a row per pair: id, ``pair_idx``, ``position``, and the ``size`` of its sequence. Rows of one id share the first places
+    of all their pairs, so a place is as long as the longest of the pairs that take it.
+    """
+    entry = F.struct("pair_idx", "position", "size")
+    held = places.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("p"))
+    last = F.element_at("p", -1)["pair_idx"]
+    longest = lambda i: F.array_max(F.transform(F.filter("p", lambda e: e["pair_idx"] == i), lambda e: e["size"]))
+    once = F.size("p") == last + 1
+    sizes = F.when(once, F.col("p.size")).otherwise(F.transform(F.sequence(F.lit(0), last), longest))
+    held = held.select(id_col, F.col("p.position").alias("position"), sizes.alias("size"))
+    taken = F.zip_with(F.slice("position", F.lit(1), F.size("size")), "size", lambda p, n: F.struct(p.alias("position"), n.alias("size")))
+    rows = held.select(id_col, F.posexplode(taken).alias("at", "e")).select(id_col, "at", "e.position", "e.size")
+    rows = batch_lengths(rows, "position", batch_size, size_col="size", out="length")
+    listed = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "position", "length"))).alias("p"))
+    return listed.select(id_col, F.col("p.position").alias("positions"), F.col("p.length").alias("lengths"))
+
+
 def make_batches(
     rows: DataFrame, position: str, batch_size: int, *, ids_col: str = "token_ids", length_col: str | None = None
 ) -> DataFrame:

@@ -134,3 +134,12 @@ def test_batch_lengths_without_the_sequences(spark, small):
     known = tokens.make_batches(told, "p", 4, length_col="longest")
     assert "Exchange" not in known._jdf.queryExecution().executedPlan().toString()
     assert sorted(known.collect()) == sorted(tokens.make_batches(rows, "p", 4).collect())
+
+
+def test_places_of_documents_of_one_id(spark):
+    """Two documents of one id take the same places; a batch is as long as the longest pair in it, and no row without an id counts."""
+    given = [(1, 0, 0, 5), (1, 1, 3, 2), (2, 0, 1, 4), (2, 0, 2, 9), (2, 1, 5, 3), (None, 0, 4, 99)]
+    places = spark.createDataFrame(given, "doc_id bigint, pair_idx int, position bigint, size int")
+    got = {r.doc_id: (r.positions, r.lengths) for r in tokens.places_of_documents(places, 2).collect()}
+    # Of id 2 the pairs 0 and 1 of both rows take the places 1 and 2, with 9 and 3 ids at most.
+    assert got == {1: ([0, 3], [9, 3]), 2: ([1, 2], [9, 3])}
