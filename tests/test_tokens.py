@@ -1,3 +1,4 @@
+import hashlib
 from pathlib import Path
 
 import pytest
@@ -103,15 +104,18 @@ def test_open_tokens_are_joined_without_the_others(spark):
 
 def test_decode_writes_ids_and_no_words(spark):
     """What decoding writes for its join follows the ids; rows that lack no word do not join."""
-    vocab = spark.createDataFrame([(f"{i:05}" + "w" * 40, 1, tokens.FIRST_WORD + i) for i in range(60)], "token string, n bigint, token_id bigint")
-    rows = spark.range(2000).select("id", F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: (i + F.col("id") % 11 + 4).cast("int")).alias("token_ids"))
+    names = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(5000)]
+    vocab = spark.createDataFrame([(w, 1, tokens.FIRST_WORD + i) for i, w in enumerate(names)], "token string, n bigint, token_id bigint")
+    places = {i: [(i * 7919 + j * 104_729) % 5000 for j in range(50)] for i in range(1500)}
+    rows = spark.createDataFrame([(i, [tokens.FIRST_WORD + p for p in row]) for i, row in places.items()], "id bigint, token_ids array<int>")
     shared_dir(spark)  # the first call makes the folder
     folder = Path(shared_dir(spark).removeprefix("file:"))
     size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
     before = size()
-    got = {r.id: r.text for r in tokens.decode(rows, vocab, "id", head_size=55).collect()}
-    assert got == {i: " ".join(f"{j + i % 11:05}" + "w" * 40 for j in range(50)) for i in range(2000)}
-    assert size() - before < 2000 * 50 * 8
+    got = {r.id: r.text for r in tokens.decode(rows, vocab, "id", head_size=4950).collect()}
+    assert got == {i: " ".join(names[p] for p in row) for i, row in places.items()}
+    grew = size() - before
+    assert grew < 1500 * 50 * 8, grew
 
 
 def test_batch_lengths_without_the_sequences(spark, small):
